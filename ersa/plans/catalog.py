@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ersa.plans import counts, oracle, times
+from ersa.plans import counts, erf, oracle, times
 from ersa.sources.tables import fire_dep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,8 @@ def queries() -> dict[str, Query]:
     }
     for name, spec in times.TIME_SPECS.items():
         q[name] = _time_query(spec)
+    for name, spec in erf.ERF_SPECS.items():
+        q[name] = _on_fire_dep(erf.erf_report, spec)
     return q
 
 
@@ -47,4 +49,6 @@ def oracle_sql() -> dict[str, str]:
     o["r7_response_by_priority"] = oracle.response_by_priority_sql()
     for name, spec in times.TIME_SPECS.items():
         o[name] = oracle.time_stat_sql(spec)
+    for name, spec in erf.ERF_SPECS.items():
+        o[name] = oracle.erf_sql(spec)
     return o
