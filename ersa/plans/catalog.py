@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ersa.plans import counts, erf, oracle, times
+from ersa.plans import concurrency, counts, erf, oracle, times
 from ersa.sources.tables import fire_dep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,15 @@ def queries() -> dict[str, Query]:
         q[name] = _time_query(spec)
     for name, spec in erf.ERF_SPECS.items():
         q[name] = _on_fire_dep(erf.erf_report, spec)
+    q.update({
+        "c1_row_pairs": _on_fire_dep(concurrency.row_pair_concurrency),
+        "c2_calls": _on_fire_dep(concurrency.concurrent_calls),
+        "c3_histogram": _on_fire_dep(concurrency.concurrency_histogram),
+        "c4_cohort_stats": _on_fire_dep(concurrency.cohort_response_stats),
+        "c5_slowest": _on_fire_dep(concurrency.slowest_at_fraction),
+        "c6_calls_at_level": _on_fire_dep(concurrency.calls_at_level, 5),
+        "c6_month_calls": _on_fire_dep(concurrency.month_calls, "November"),
+    })
     return q
 
 
@@ -51,4 +60,5 @@ def oracle_sql() -> dict[str, str]:
         o[name] = oracle.time_stat_sql(spec)
     for name, spec in erf.ERF_SPECS.items():
         o[name] = oracle.erf_sql(spec)
+    o.update(oracle.CONCURRENCY_SQL)
     return o
