@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ersa.session import materialize
+
 EPOCH = "1970-01-01 00:00:00"
 DEFAULT_BIN_SECONDS = 3600
 
@@ -52,10 +54,10 @@ def prefix_counts(events: DataFrame, weights: Sequence[str], bin_seconds: int =
     )
 
 
-def _lookup(df: DataFrame, pc: DataFrame, at: str, cols: dict[str, Column]) -> DataFrame:
-    """Left-join prefix-count columns at time ``df[at]`` (NULL time -> NULL columns)."""
-    sel = pc.select(F.col("t").alias(f"_t_{at}"), *[c.alias(n) for n, c in cols.items()])
-    return df.join(sel, df[at] == sel[f"_t_{at}"], "left").drop(f"_t_{at}")
+def _terms_at(queries: DataFrame, pc: DataFrame) -> DataFrame:
+    """Join each query row ``(_k, _t, …)`` to the prefix counts at its own time ``_t``
+    (left join: a NULL time finds nothing)."""
+    return queries.join(pc, queries["_t"] == pc["t"], "left")
 
 
 def call_concurrency(calls: DataFrame, key: str = "CallID", start: str = "start", end: str = "end",
@@ -65,28 +67,35 @@ def call_concurrency(calls: DataFrame, key: str = "CallID", start: str = "start"
 
     Exact for NULL and reversed (end < start) intervals: every call gets a row, with 0
     when its start is NULL.  Keys must be unique.
+
+    count(a) = LE(ws, a.start) - LT(we, a.start)
+             + [a well-formed] * (LE(ns, a.end) - LT(ns, a.start) - EQ(ws, a.start))
+    with ws / we the starts / ends of well-formed calls and ns all non-NULL starts.
+    Each call contributes one query row at its start and one at its end; both look up
+    the prefix table in a single join and the terms are summed per call.
     """
     s, e = F.col(start), F.col(end)
     wf = s.isNotNull() & e.isNotNull() & (e >= s)
     base = calls.select(F.col(key).alias("_k"), s.alias("_s"), e.alias("_e"), wf.alias("_wf"))
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    ev_start = base.where(F.col("_s").isNotNull()).select(
-        F.col("_s").alias("t"), F.when(F.col("_wf"), one).otherwise(zero).alias("ws"), zero.alias("we"),
-        one.alias("ns"))
-    ev_end = base.where(F.col("_wf")).select(F.col("_e").alias("t"), zero.alias("ws"), one.alias("we"), zero.alias("ns"))
-    pc = prefix_counts(ev_start.unionByName(ev_end), ["ws", "we", "ns"], bin_seconds)
-    x = _lookup(base, pc, "_s", {
-        "_le_ws_s": F.col("cum_ws"),                       # well-formed starts <= a.start
-        "_lt_we_s": F.col("cum_we") - F.col("we"),         # well-formed ends   <  a.start
-        "_lt_ns_s": F.col("cum_ns") - F.col("ns"),         # starts             <  a.start
-        "_eq_ws_s": F.col("ws"),                           # well-formed starts =  a.start
-    })
-    x = _lookup(x, pc, "_e", {"_le_ns_e": F.col("cum_ns")})  # starts <= a.end
-    covering = F.col("_le_ws_s") - F.col("_lt_we_s")
-    inside = F.col("_le_ns_e") - F.col("_lt_ns_s") - F.col("_eq_ws_s")
-    cnt = F.when(F.col("_s").isNull(), zero).otherwise(
-        covering + F.when(F.col("_wf"), inside).otherwise(zero))
-    return x.select(F.col("_k").alias(key), cnt.cast("bigint").alias("concurrent_count"))
+    ev = base.select(F.explode(F.array(
+        F.struct(F.col("_s").alias("t"), F.when(F.col("_wf"), one).otherwise(zero).alias("ws"), zero.alias("we"),
+                 F.when(F.col("_s").isNotNull(), one).otherwise(zero).alias("ns")),
+        F.struct(F.when(F.col("_wf"), F.col("_e")).alias("t"), zero.alias("ws"),
+                 F.when(F.col("_wf"), one).otherwise(zero).alias("we"), zero.alias("ns")),
+    )).alias("x")).select("x.*").where(F.col("t").isNotNull())
+    pc = prefix_counts(ev, ["ws", "we", "ns"], bin_seconds)
+    queries = base.select("_k", "_wf", F.explode(F.array(
+        F.struct(F.col("_s").alias("_t"), F.lit(0).alias("_role")),
+        F.struct(F.when(F.col("_wf"), F.col("_e")).alias("_t"), F.lit(1).alias("_role")),
+    )).alias("q")).select("_k", "_wf", "q.*")
+    x = _terms_at(queries, pc)
+    wf_c = F.col("_wf")
+    at_start = (F.col("cum_ws") - (F.col("cum_we") - F.col("we"))
+                - F.when(wf_c, (F.col("cum_ns") - F.col("ns")) + F.col("ws")).otherwise(zero))
+    at_end = F.col("cum_ns")
+    term = F.when(F.col("_t").isNull(), zero).when(F.col("_role") == 0, at_start).otherwise(at_end)
+    return x.groupBy(F.col("_k").alias(key)).agg(F.sum(term).cast("bigint").alias("concurrent_count"))
 
 
 def _explode_bins(lo: Column, hi: Column, bin_seconds: int) -> Column:
@@ -98,43 +107,60 @@ def row_overlap_pairs(rows: DataFrame, key: str = "CallID", start: str = "start"
     """Per key, the number of (own row, any row) pairs with ``a.start <= b.end`` and
     ``a.end >= b.start``; keys with no such pair are absent.
 
-    Uses ``#{b.start <= a.end} - #{b.end < a.start} + X(a)`` where
-    ``X(a) = #{b: b.end < a.start and b.start > a.end}``, which is non-zero only when a
-    or b is reversed (end < start).  X is computed exactly by a bin-keyed join over the
-    pairs that involve a reversed row.
+    count(a) = #{b.start <= a.end} - #{b.end < a.start} + X(a), where
+    X(a) = #{b: b.end < a.start and b.start > a.end} is non-zero only when a or b is
+    reversed (end < start).  X is computed exactly by a bin-keyed join restricted to
+    pairs that involve a reversed row (that set is checkpointed and usually empty).
     """
     s, e = F.col(start), F.col(end)
     base = rows.where(s.isNotNull() & e.isNotNull()).select(F.col(key).alias("_k"), s.alias("_s"), e.alias("_e"))
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    ev = base.select(F.col("_s").alias("t"), one.alias("S"), zero.alias("E")).unionByName(
-        base.select(F.col("_e").alias("t"), zero.alias("S"), one.alias("E")))
+    ev = base.select(F.explode(F.array(
+        F.struct(F.col("_s").alias("t"), one.alias("S"), zero.alias("E")),
+        F.struct(F.col("_e").alias("t"), zero.alias("S"), one.alias("E")),
+    )).alias("x")).select("x.*")
     pc = prefix_counts(ev, ["S", "E"], bin_seconds)
-    x = _lookup(base, pc, "_e", {"_le_s_e": F.col("cum_S")})
-    x = _lookup(x, pc, "_s", {"_lt_e_s": F.col("cum_E") - F.col("E")})
-    linear = x.select("_k", (F.col("_le_s_e") - F.col("_lt_e_s")).alias("_c"))
-
-    # X(a): pairs where a or b is reversed.  A reversed row spans the bins between its end
-    # and its start; its partner has a timestamp inside that span, so each pair meets in
-    # exactly one bin of the join below.
-    b_ = lambda c: time_bin(F.col(c), bin_seconds)
-    rev = base.where(F.col("_e") < F.col("_s"))
-    fwd = base.where(F.col("_e") >= F.col("_s"))
-    rev_span = rev.select("_k", "_s", "_e", _explode_bins(F.col("_e"), F.col("_s"), bin_seconds).alias("_bin"))
-    a_cols = lambda df: df.select("_k", F.col("_s").alias("_as"), F.col("_e").alias("_ae"), "_bin")
-    b_cols = lambda df: df.select(F.col("_s").alias("_bs"), F.col("_e").alias("_be"), "_bin")
-    hit = (F.col("_be") < F.col("_as")) & (F.col("_bs") > F.col("_ae"))
-    # (a well-formed, b reversed): b.end < a.start <= a.end < b.start: a.start lies in b's span.
-    xa = a_cols(fwd.withColumn("_bin", b_("_s"))).join(b_cols(rev_span), "_bin").where(hit)
-    # (a reversed, b well-formed): a.end < b.start <= b.end < a.start: b.start lies in a's span.
-    xb = a_cols(rev_span).join(b_cols(fwd.withColumn("_bin", b_("_s"))), "_bin").where(hit)
-    # (both reversed): the spans overlap from max(a.end, b.end) on; meet in that point's bin.
-    xc1 = a_cols(rev_span).join(b_cols(rev.withColumn("_bin", b_("_e"))), "_bin") \
-        .where(hit & (F.col("_be") >= F.col("_ae")))
-    xc2 = a_cols(rev.withColumn("_bin", b_("_e"))).join(b_cols(rev_span), "_bin") \
-        .where(hit & (F.col("_be") < F.col("_ae")))
-    extra = reduce(lambda p, q: p.unionByName(q), [d.select("_k") for d in (xa, xb, xc1, xc2)]) \
-        .select("_k", F.lit(1).cast("bigint").alias("_c"))
-
-    per_row = linear.unionByName(extra)
+    queries = base.select("_k", F.explode(F.array(
+        F.struct(F.col("_e").alias("_t"), F.lit(0).alias("_role")),     # + starts <= a.end
+        F.struct(F.col("_s").alias("_t"), F.lit(1).alias("_role")),     # - ends   <  a.start
+    )).alias("q")).select("_k", "q.*")
+    x = _terms_at(queries, pc)
+    linear = x.select("_k", F.when(F.col("_role") == 0, F.col("cum_S"))
+                      .otherwise(F.col("E") - F.col("cum_E")).alias("_c"))
+
+    rev = materialize(base.where(F.col("_e") < F.col("_s")))
+    parts = [linear]
+    if not rev.isEmpty():
+        parts.append(_reversed_pairs(base, rev, bin_seconds))
+    per_row = reduce(lambda p, q: p.unionByName(q), parts)
     return per_row.groupBy(F.col("_k").alias(key)).agg(F.sum("_c").alias("concurrent_count")) \
         .where(F.col("concurrent_count") > 0)
+
+
+def _reversed_pairs(base: DataFrame, rev: DataFrame, bin_seconds: int) -> DataFrame:
+    """Rows ``(_k, _c=1)``, one per (a, b) with ``b.end < a.start and b.start > a.end``
+    where a or b is reversed.  A reversed row spans the bins between its end and its
+    start; its partner has a timestamp inside that span, and each pair meets in exactly
+    one bin of the joins below."""
+    one = F.lit(1).cast("bigint")
+    span = rev.select("_k", "_s", "_e", _explode_bins(F.col("_e"), F.col("_s"), bin_seconds).alias("_bin"))
+    # A well-formed f and a reversed r qualify (in either role) iff r.end < f.start and
+    # f.end < r.start: then f.start lies in r's span.  Each hit counts once for f and
+    # once for r.
+    fwd = base.where(F.col("_e") >= F.col("_s")).select(
+        F.col("_k").alias("_fk"), F.col("_s").alias("_fs"), F.col("_e").alias("_fe"),
+        time_bin(F.col("_s"), bin_seconds).alias("_bin"))
+    fr = fwd.join(span.select(F.col("_k").alias("_rk"), F.col("_s").alias("_rs"), F.col("_e").alias("_re"), "_bin"),
+                  "_bin").where((F.col("_re") < F.col("_fs")) & (F.col("_fe") < F.col("_rs")))
+    mixed = fr.select(F.explode(F.array(F.col("_fk"), F.col("_rk"))).alias("_k"))
+    # Two reversed rows a, b: b.end < a.start and b.start > a.end means the spans overlap
+    # from max(a.end, b.end) on; they meet in the bin of that point.
+    a_span = span.select("_k", F.col("_s").alias("_as"), F.col("_e").alias("_ae"), "_bin")
+    a_pt = rev.select("_k", F.col("_s").alias("_as"), F.col("_e").alias("_ae"),
+                      time_bin(F.col("_e"), bin_seconds).alias("_bin"))
+    b_span = span.select(F.col("_s").alias("_bs"), F.col("_e").alias("_be"), "_bin")
+    b_pt = rev.select(F.col("_s").alias("_bs"), F.col("_e").alias("_be"), time_bin(F.col("_e"), bin_seconds).alias("_bin"))
+    hit = (F.col("_be") < F.col("_as")) & (F.col("_bs") > F.col("_ae"))
+    rr1 = a_span.join(b_pt, "_bin").where(hit & (F.col("_be") >= F.col("_ae"))).select("_k")
+    rr2 = a_pt.join(b_span, "_bin").where(hit & (F.col("_be") < F.col("_ae"))).select("_k")
+    return mixed.unionByName(rr1).unionByName(rr2).select("_k", one.alias("_c"))

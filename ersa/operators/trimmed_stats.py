@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ersa.session import materialize
+
 
 def compact(df: DataFrame, measure: Column, groups: Sequence[str] = ()) -> DataFrame:
     """``(groups…, v, n)``: how many rows carry each measure value (NULL values kept)."""
@@ -65,17 +67,23 @@ def trimmed_summary(
     ``low_floor`` is given.  Groups with nothing left after trimming produce no row.
     Output columns: ``original_count, mean_rt, stddev_rt, trimmed_count, mean, median,
     pctl, stddev, min_v, max_v, pct_goal``.
+
+    ``c`` is checkpointed first: it is small, and every pass below reads it, so the
+    fact rows behind it are scanned exactly once.
     """
+    c = materialize(c)
     m = moments(c, groups).withColumn("sd", F.sqrt(F.col("var")))
     lo = F.lit(float(low_floor)) if low_floor is not None else F.col("mean") - sigma * F.col("sd")
-    band = m.select(*groups, F.col("mean").alias("shift"), lo.alias("lo"),
-                    (F.col("mean") + sigma * F.col("sd")).alias("hi"))
+    # The band row also carries the untrimmed statistics, so ``m`` is read only once.
+    band = m.select(*groups, "n_all", "mean", "sd", lo.alias("lo"), (F.col("mean") + sigma * F.col("sd")).alias("hi"))
     v, n = F.col("v"), F.col("n")
     kept = _attach(c, band, groups).where(v.between(F.col("lo"), F.col("hi")))
-    d = v - F.col("shift")   # shifted by the untrimmed mean: stable one-pass variance
+    d = v - F.col("mean")   # shifted by the untrimmed mean: stable one-pass variance
     agg = kept.groupBy(*groups).agg(
         F.sum(n).alias("trimmed_count"),
-        F.first("shift").alias("shift"),
+        F.first("n_all").alias("original_count"),
+        F.first("mean").alias("mean_rt"),
+        F.first("sd").alias("stddev_rt"),
         F.sum(n * d).alias("sd1"),
         F.sum(n * d * d).alias("sd2"),
         F.min(v).alias("min_v"),
@@ -87,10 +95,13 @@ def trimmed_summary(
     ).where(F.col("trimmed_count") > 0)
     cnt = F.col("trimmed_count").cast("double")
     mean_d = F.col("sd1") / cnt
-    trimmed = agg.select(
+    return agg.select(
         *groups,
+        "original_count",
+        "mean_rt",
+        "stddev_rt",
         "trimmed_count",
-        (F.col("shift") + mean_d).alias("mean"),
+        (F.col("mean_rt") + mean_d).alias("mean"),
         F.col("median"),
         F.col("pctl"),
         F.sqrt(F.greatest(F.col("sd2") / cnt - mean_d * mean_d, F.lit(0.0))).alias("stddev"),
@@ -98,6 +109,3 @@ def trimmed_summary(
         "max_v",
         (F.lit(100.0) * F.col("goal_n") / cnt).alias("pct_goal"),
     )
-    orig = m.select(*groups, F.col("n_all").alias("original_count"), F.col("mean").alias("mean_rt"),
-                    F.col("sd").alias("stddev_rt"))
-    return _attach(trimmed, orig, groups) if groups else trimmed.crossJoin(F.broadcast(orig))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ersa.plans import concurrency, counts, erf, oracle, times
-from ersa.sources.tables import fire_dep
+from ersa.sources.tables import derived_table, fire_dep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,20 @@ def _on_fire_dep(fn, *args, **kw) -> Query:
     return run
 
 
+def concurrency_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-call concurrency table, written once to the shared folder (like the
+    stored procedure's result table) and read by the concurrency reports."""
+    return derived_table(spark, "concurrent_events", sf_dir,
+                         lambda: concurrency.concurrent_events(fire_dep(spark, sf_dir)))
+
+
+def _on_events(fn, *args, **kw) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(concurrency_events(spark, sf_dir), *args, **kw)
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
+
+
 def _time_query(spec) -> Query:
     return _on_fire_dep(times.time_stat_report, spec)
 
@@ -44,10 +58,10 @@ def queries() -> dict[str, Query]:
     q.update({
         "c1_row_pairs": _on_fire_dep(concurrency.row_pair_concurrency),
         "c2_calls": _on_fire_dep(concurrency.concurrent_calls),
-        "c3_histogram": _on_fire_dep(concurrency.concurrency_histogram),
-        "c4_cohort_stats": _on_fire_dep(concurrency.cohort_response_stats),
-        "c5_slowest": _on_fire_dep(concurrency.slowest_at_fraction),
-        "c6_calls_at_level": _on_fire_dep(concurrency.calls_at_level, 5),
+        "c3_histogram": _on_events(concurrency.concurrency_histogram),
+        "c4_cohort_stats": _on_events(concurrency.cohort_response_stats),
+        "c5_slowest": _on_events(concurrency.slowest_at_fraction),
+        "c6_calls_at_level": _on_events(concurrency.calls_at_level, 5),
         "c6_month_calls": _on_fire_dep(concurrency.month_calls, "November"),
     })
     return q

@@ -43,3 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir() or current
     return current.rstrip("/")
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` to the shared checkpoint folder now and read it back.
+
+    Used for small intermediate tables that several later steps read (a compact value
+    table, the per-call table), so the fact table behind them is scanned only once.
+    A reliable checkpoint survives executor loss, unlike a local one.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -71,6 +71,15 @@ def fire_dep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def derived_table(spark: SparkSession, name: str, source: str, build) -> DataFrame:
+    """A table derived from ``source`` by ``build()``, written once to the shared folder
+    and read back on later calls (replace-table semantics on rebuild)."""
+    path = table_path(spark, name, source)
+    if not _exists(spark, path):
+        write_table(build(), path)
+    return spark.read.parquet(path)
+
+
 def staffing(spark: SparkSession, seed: list[tuple[str, int]] | None = None) -> DataFrame:
     """Unit staffing dimension: (unit_prefix, firefighters_per_unit)."""
     schema = T.StructType([
