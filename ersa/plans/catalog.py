@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ersa.plans import concurrency, counts, erf, oracle, times
-from ersa.sources.tables import derived_table, fire_dep
+from ersa.schema import FIRE_DEP_COLUMNS
+from ersa.sources import csv_ingest
+from ersa.sources.tables import _exists, derived_table, district_extract, fire_dep, table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +35,15 @@ def _on_events(fn, *args, **kw) -> Query:
     return run
 
 
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed CSV load of the dispatch table, from a CRLF extract written once from it."""
+    path = table_path(spark, "fire_dep_csv", sf_dir)
+    if not _exists(spark, path):
+        csv_ingest.write_dispatch_csv(fire_dep(spark, sf_dir), path)
+    rows, _ = csv_ingest.load_dispatch_csv(spark, path)
+    return rows.select(*[f"`{n}`" for n, _, _ in FIRE_DEP_COLUMNS])
+
+
 def _time_query(spec) -> Query:
     return _on_fire_dep(times.time_stat_report, spec)
 
@@ -63,6 +74,8 @@ def queries() -> dict[str, Query]:
         "c5_slowest": _on_events(concurrency.slowest_at_fraction),
         "c6_calls_at_level": _on_events(concurrency.calls_at_level, 5),
         "c6_month_calls": _on_fire_dep(concurrency.month_calls, "November"),
+        "r23_csv_ingest": csv_roundtrip,
+        "r25_district_extract": _on_fire_dep(district_extract),
     })
     return q
 
@@ -75,4 +88,6 @@ def oracle_sql() -> dict[str, str]:
     for name, spec in erf.ERF_SPECS.items():
         o[name] = oracle.erf_sql(spec)
     o.update(oracle.CONCURRENCY_SQL)
+    o["r23_csv_ingest"] = oracle.with_fixture() + "\nSELECT * FROM fire_dep"
+    o["r25_district_extract"] = oracle.with_fixture() + f"\nSELECT * FROM fire_dep WHERE {oracle.ci_eq('CallGEOFDID', oracle.D)}"
     return o

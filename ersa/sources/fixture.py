@@ -123,8 +123,30 @@ def _duck_ts(n: str) -> str:
     return f"(TIMESTAMP '{EPOCH}' + to_seconds(CAST({n} AS BIGINT)))"
 
 
-# DuckDB twin of ``fire_dep_from_lineitem`` (only the columns the reports read; the rest
-# are typed NULL / ''). Used as a CTE by every oracle query.
+_DUCK_TYPES = {"string": "VARCHAR", "integer": "INTEGER", "timestamp_ntz": "TIMESTAMP", "decimal": "DECIMAL(10,6)"}
+_CORE = {"CallID", "UnitNumber", "ArrivalOrder", "CallGEOFDID", "FDID", "FinalCallType", "InitialCallType", "Quadrant",
+         "FinalCallPriority", "InitialCallPriority", "CreateDatetime", "StartDatetime", "DispatchDateTime",
+         "ArriveDateTime", "ClearDateTime", "DispatchTime(Sec)", "TurnoutTime(Sec)", "TravelTime(Sec)",
+         "TotalResponseTime(Sec)", "TotalCallTime(Sec)", "StartDateHour", "StartDateDay", "StartDateMonth",
+         "StartDateYear", "CallFilter", "IncidentFilter"}
+
+
+def _duck_all_columns() -> str:
+    """All 51 columns in file order: derived ones from the core CTE, the rest typed NULL / ''."""
+    out = []
+    for f in FIRE_DEP_SCHEMA.fields:
+        q = '"' + f.name + '"'
+        if f.name in _CORE:
+            out.append(q)
+        elif f.dataType.typeName() == "string":
+            out.append(f"'' AS {q}")
+        else:
+            out.append(f"CAST(NULL AS {_DUCK_TYPES[f.dataType.typeName()]}) AS {q}")
+    return ", ".join(out)
+
+
+# DuckDB twin of ``fire_dep_from_lineitem`` (all 51 columns, typed like the Spark table).
+# Used as a CTE by every oracle query.
 FIRE_DEP_DUCKDB_SQL = f"""
 fd_base AS (
   SELECT CAST((l_orderkey - l_orderkey % 4) / 4 AS BIGINT) AS c, l_orderkey, l_partkey, l_suppkey,
@@ -148,7 +170,7 @@ fd_h AS (
     1200 + (c*37) % 3600 + u*60 AS clr
   FROM fd_u
 ),
-fire_dep AS (
+fire_dep_core AS (
   SELECT
     CAST(c AS VARCHAR) AS CallID,
     {_case('px', UNIT_PREFIXES)} || CAST(40 + (c+u) % 4 AS VARCHAR) AS UnitNumber,
@@ -171,10 +193,16 @@ fire_dep AS (
     CAST(trav AS INTEGER) AS "TravelTime(Sec)",
     CASE WHEN noarr THEN NULL ELSE CAST(disp + turn + trav AS INTEGER) END AS "TotalResponseTime(Sec)",
     CASE WHEN noclr THEN NULL ELSE CAST(clr AS INTEGER) END AS "TotalCallTime(Sec)",
+    CAST(hour({_duck_ts('st + 5')}) AS INTEGER) AS StartDateHour,
+    dayname({_duck_ts('st + 5')}) AS StartDateDay,
     monthname({_duck_ts('st + 5')}) AS StartDateMonth,
+    CAST(year({_duck_ts('st + 5')}) AS INTEGER) AS StartDateYear,
     CASE WHEN u = 1 THEN 'CallRow' ELSE '' END AS CallFilter,
     CASE WHEN u <= 2 THEN 'IncidentRow' ELSE '' END AS IncidentFilter
   FROM fd_h
+),
+fire_dep AS (
+  SELECT {_duck_all_columns()} FROM fire_dep_core
 )"""
 
 

@@ -1,0 +1,38 @@
+from datetime import datetime
+from decimal import Decimal
+
+from ersa.schema import FIRE_DEP_COLUMNS
+from ersa.sources.csv_ingest import load_dispatch_csv
+
+NAMES = [n for n, _, _ in FIRE_DEP_COLUMNS]
+
+
+def _line(**vals) -> str:
+    return ",".join(vals.get(n, "") for n in NAMES)
+
+
+def test_csv_ingest_types_blanks_quotes_and_rejects(spark, tmp_path):
+    lines = [
+        ",".join(NAMES),
+        _line(CallID="1", UnitNumber="E40", Location='"12 Main St, Apt 4"', CreateDatetime="2024-01-02 03:04:05",
+              LatitudeY="47.123456", **{"TravelTime(Sec)": "61"}),
+        _line(CallID="2", UnitNumber="M41", Location='"the ""big"" one"', Quadrant=""),
+        _line(CallID="3", UnitNumber="L40", **{"TravelTime(Sec)": "abc"}),           # bad integer
+        _line(CallID="4", UnitNumber="ENGINE-NUMBER-40"),                           # longer than 10
+        _line(CallID="5", UnitNumber="A40", ArriveDateTime="not a time"),            # bad datetime
+    ]
+    path = tmp_path / "extract.csv"
+    path.write_bytes(("\r\n".join(lines) + "\r\n").encode())
+    rows, rejects = load_dispatch_csv(spark, str(path))
+    got = {r.CallID: r for r in rows.collect()}
+    assert sorted(got) == ["1", "2"]
+    r1, r2 = got["1"], got["2"]
+    assert r1.Location == "12 Main St, Apt 4"
+    assert r1.CreateDatetime == datetime(2024, 1, 2, 3, 4, 5)
+    assert r1.LatitudeY == Decimal("47.123456")
+    assert r1["TravelTime(Sec)"] == 61
+    assert r1.CallFilter == "" and r1.ArriveDateTime is None and r1["TurnoutTime(Sec)"] is None
+    assert r2.Location == 'the "big" one'
+    assert r2.Quadrant == "" and r2.UnitNumber_uc == "M41"
+    reasons = {r.CallID: r.reject_reason for r in rejects.collect()}
+    assert reasons == {"3": "bad TravelTime(Sec)", "4": "UnitNumber longer than 10", "5": "bad ArriveDateTime"}

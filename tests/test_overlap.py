@@ -1,0 +1,92 @@
+import random
+
+import pytest
+
+from ersa.operators.overlap import call_concurrency, row_overlap_pairs
+from tests.conftest import at
+
+SCHEMA = "k string, s timestamp_ntz, e timestamp_ntz"
+
+
+def _df(spark, rows):
+    return spark.createDataFrame([(k, None if s is None else at(s), None if e is None else at(e)) for k, s, e in rows],
+                                 SCHEMA)
+
+
+def _brute_calls(rows):
+    out = {}
+    for k, s, e in rows:
+        n = 0
+        for _, bs, be in rows:
+            c1 = s is not None and bs is not None and be is not None and bs <= s <= be
+            c2 = s is not None and e is not None and bs is not None and s <= bs <= e
+            n += c1 or c2
+        out[k] = n
+    return out
+
+
+def _brute_pairs(rows):
+    out = {}
+    for k, s, e in rows:
+        for _, bs, be in rows:
+            if None not in (s, e, bs, be) and s <= be and e >= bs:
+                out[k] = out.get(k, 0) + 1
+    return out
+
+
+FIX = [("a", 0, 10), ("b", 10, 20), ("c", 21, 30), ("d", 5, None)]
+
+
+def test_call_concurrency_fixture(spark):
+    got = {r.k: r.concurrent_count for r in call_concurrency(_df(spark, FIX), "k", "s", "e").collect()}
+    assert got == {"a": 3, "b": 2, "c": 1, "d": 1}
+
+
+def test_row_pairs_fixture(spark):
+    got = {r.k: r.concurrent_count for r in row_overlap_pairs(_df(spark, FIX), "k", "s", "e").collect()}
+    assert got == {"a": 2, "b": 2, "c": 1}
+    three = [("x", 0, 10)] * 3
+    assert row_overlap_pairs(_df(spark, three), "k", "s", "e").first().concurrent_count == 9
+
+
+def _random_rows(seed, n, with_reversed):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        s = rnd.randint(0, 60)
+        d = rnd.randint(-8 if with_reversed else 0, 12)
+        e = None if rnd.random() < 0.08 else s + d
+        if rnd.random() < 0.04:
+            s = None
+        rows.append((f"k{i}", s, e))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("bin_seconds", [1, 7, 3600])
+def test_call_concurrency_matches_brute_force(spark, seed, bin_seconds):
+    rows = _random_rows(seed, 150, with_reversed=True)
+    got = {r.k: r.concurrent_count for r in call_concurrency(_df(spark, rows), "k", "s", "e", bin_seconds).collect()}
+    assert got == _brute_calls(rows)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+@pytest.mark.parametrize("bin_seconds", [1, 7, 3600])
+def test_row_pairs_match_brute_force_with_reversed_rows(spark, seed, bin_seconds):
+    rows = _random_rows(seed, 120, with_reversed=True)
+    # several rows per key, like unit rows of a call
+    rows = [(f"c{int(k[1:]) % 40}", s, e) for k, s, e in rows]
+    got = {r.k: r.concurrent_count for r in row_overlap_pairs(_df(spark, rows), "k", "s", "e", bin_seconds).collect()}
+    assert got == _brute_pairs(rows)
+
+
+def test_row_pairs_without_reversed_rows(spark):
+    rows = [(f"c{i % 30}", s, e) for i, (_, s, e) in enumerate(_random_rows(9, 100, with_reversed=False))]
+    got = {r.k: r.concurrent_count for r in row_overlap_pairs(_df(spark, rows), "k", "s", "e", 5).collect()}
+    assert got == _brute_pairs(rows)
+
+
+def test_no_quadratic_join_in_plan(spark):
+    rows = _random_rows(11, 50, with_reversed=False)
+    plan = call_concurrency(_df(spark, rows), "k", "s", "e")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
