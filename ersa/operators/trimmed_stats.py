@@ -4,7 +4,8 @@ min, max and goal compliance, before and after a kσ trim.
 Scale design: the fact rows are scanned once and compacted to ``(group, value, count)``
 (measures are integer seconds, so the number of distinct values is small and the
 aggregation combines map-side).  Every later pass — mean, σ, the trim band, the trimmed
-moments and the percentiles — runs on that compact table, never on the fact rows.
+moments and the percentiles — runs on that compact table, never on the fact rows, and
+the whole report is one job with one fact scan.
 ``percentile(value, p, count)`` is exact with frequencies and interpolates linearly
 between ranks ``floor(p(n-1))`` and ``ceil(p(n-1))``.
 """
@@ -15,8 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ersa.session import materialize
+from pyspark.sql.window import Window
 
 
 def compact(df: DataFrame, measure: Column, groups: Sequence[str] = ()) -> DataFrame:
@@ -24,35 +24,6 @@ def compact(df: DataFrame, measure: Column, groups: Sequence[str] = ()) -> DataF
     return df.groupBy(*groups, measure.alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _attach(left: DataFrame, right: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Join per-group scalars onto rows; one global row is broadcast (size is 1)."""
-    if groups:
-        return left.join(right, list(groups))
-    return left.crossJoin(F.broadcast(right))
-
-
-def moments(c: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Per group: rows (NULLs included), non-NULL rows, mean and population variance.
-
-    Two passes over the compact table (mean first, then squared deviations) keep the
-    variance numerically stable.
-    """
-    n, v = F.col("n"), F.col("v")
-    first = c.groupBy(*groups).agg(
-        F.sum(n).alias("n_all"),
-        F.sum(F.when(v.isNotNull(), n)).alias("n_val"),
-        F.sum(n * v).alias("s1"),
-    ).withColumn("mean", F.try_divide(F.col("s1").cast("double"), F.col("n_val")))
-    dev = _attach(c, first.select(*groups, "mean"), groups)
-    second = dev.groupBy(*groups).agg(
-        F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("ss")
-    )
-    return _attach(first, second, groups).select(
-        *groups, "n_all", "n_val", "mean",
-        F.try_divide(F.col("ss"), F.col("n_val")).alias("var"),
-    )
-
-
 def trimmed_summary(
     c: DataFrame,
     groups: Sequence[str] = (),
@@ -68,22 +39,26 @@ def trimmed_summary(
     Output columns: ``original_count, mean_rt, stddev_rt, trimmed_count, mean, median,
     pctl, stddev, min_v, max_v, pct_goal``.
 
-    ``c`` is checkpointed first: it is small, and every pass below reads it, so the
-    fact rows behind it are scanned exactly once.
+    The untrimmed mean and σ are window aggregates over each group of the compact table
+    (two passes: mean, then squared deviations), so the band is attached to every value
+    without a join and ``c`` is read once.  A group of ``c`` holds one row per distinct
+    measure value, never the fact rows.
     """
-    c = materialize(c)
-    m = moments(c, groups).withColumn("sd", F.sqrt(F.col("var")))
-    lo = F.lit(float(low_floor)) if low_floor is not None else F.col("mean") - sigma * F.col("sd")
-    # The band row also carries the untrimmed statistics, so ``m`` is read only once.
-    band = m.select(*groups, "n_all", "mean", "sd", lo.alias("lo"), (F.col("mean") + sigma * F.col("sd")).alias("hi"))
-    v, n = F.col("v"), F.col("n")
-    kept = _attach(c, band, groups).where(v.between(F.col("lo"), F.col("hi")))
-    d = v - F.col("mean")   # shifted by the untrimmed mean: stable one-pass variance
+    n, v = F.col("n"), F.col("v")
+    w = Window.partitionBy(*groups)
+    x = c.withColumn("n_all", F.sum(n).over(w)) \
+        .withColumn("n_val", F.sum(F.when(v.isNotNull(), n)).over(w)) \
+        .withColumn("mean_rt", F.try_divide(F.sum(n * v).over(w).cast("double"), F.col("n_val")))
+    dev = v - F.col("mean_rt")
+    x = x.withColumn("stddev_rt", F.sqrt(F.try_divide(F.sum(n * dev * dev).over(w), F.col("n_val"))))
+    lo = F.lit(float(low_floor)) if low_floor is not None else F.col("mean_rt") - sigma * F.col("stddev_rt")
+    kept = x.where(v.between(lo, F.col("mean_rt") + sigma * F.col("stddev_rt")))
+    d = v - F.col("mean_rt")   # shifted by the untrimmed mean: stable one-pass variance
     agg = kept.groupBy(*groups).agg(
         F.sum(n).alias("trimmed_count"),
         F.first("n_all").alias("original_count"),
-        F.first("mean").alias("mean_rt"),
-        F.first("sd").alias("stddev_rt"),
+        F.first("mean_rt").alias("mean_rt"),
+        F.first("stddev_rt").alias("stddev_rt"),
         F.sum(n * d).alias("sd1"),
         F.sum(n * d * d).alias("sd2"),
         F.min(v).alias("min_v"),
