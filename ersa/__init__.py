@@ -1,0 +1 @@
+"""Emergency-response analytics on Spark: parameterised reports over dispatch extracts."""

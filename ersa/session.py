@@ -31,18 +31,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors for materialised tables and checkpoints.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names.  Only when the
-    session has none (local tests) do we create one and register it.
+    On a cluster this is the folder named by ``spark.checkpoint.dir`` (its root, so tables
+    written there outlive one application).  Only when the session names none (local
+    tests) do we create one and register it.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not current:
-        current = spark.conf.get("spark.checkpoint.dir", None)
-        if not current:
-            current = tempfile.mkdtemp(prefix="ersa-ckpt-")
-        sc.setCheckpointDir(current)
-        current = sc.getCheckpointDir() or current
-    return current.rstrip("/")
+    root = sc.getConf().get("spark.checkpoint.dir", None)
+    if not sc.getCheckpointDir():
+        if not root:
+            root = tempfile.mkdtemp(prefix="ersa-ckpt-")
+        sc.setCheckpointDir(root)
+    return (root or sc.getCheckpointDir()).rstrip("/")
 
 
 def materialize(df):

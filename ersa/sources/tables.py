@@ -13,7 +13,7 @@ from ersa.schema import CI_COLUMNS, DISTRICT, STAFFING_SEED, TEXT_COLUMNS, uc
 from ersa.session import shared_dir
 from ersa.sources.fixture import fire_dep_from_lineitem, load_lineitem
 
-TABLE_VERSION = "v3"
+TABLE_VERSION = "v4"
 # Rows per output file when clustering the stored table by time.
 ROWS_PER_FILE = 2_000_000
 
@@ -32,8 +32,10 @@ def normalise(df: DataFrame) -> DataFrame:
 
 def cluster_by_time(df: DataFrame, rows_hint: int | None = None) -> DataFrame:
     """Range-partition by start time and sort inside files, so every report's time window
-    prunes files and row groups through Parquet min/max statistics."""
-    n = max(1, (rows_hint or ROWS_PER_FILE) // ROWS_PER_FILE)
+    prunes files and row groups through Parquet min/max statistics.  At least one file per
+    task slot, so a scan is never narrower than the cluster."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    n = max(slots, (rows_hint or ROWS_PER_FILE) // ROWS_PER_FILE)
     return df.repartitionByRange(n, "StartDatetime", "CallID").sortWithinPartitions("StartDatetime", "CallID")
 
 

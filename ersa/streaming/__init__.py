@@ -1,0 +1,5 @@
+"""Streaming.
+
+The reference analyses batch extracts only (no watermarks, windows over event time or
+stateful operators), so there is nothing to build here; see README, "Not built".
+"""
