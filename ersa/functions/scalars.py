@@ -62,6 +62,13 @@ def ci_rlike(name: str, pattern: str) -> Column:
     return F.col(name).rlike("(?i)" + pattern)
 
 
+def ntz_literal(value) -> Column:
+    """A zone-free timestamp literal.  Goes through text, so neither the Python process
+    zone nor the session zone can shift it."""
+    text = value.strftime("%Y-%m-%d %H:%M:%S.%f") if hasattr(value, "strftime") else str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def in_window(name: str, start, end) -> Column:
     """Closed window ``start <= col <= end`` (literal bounds, pushed to the scan)."""
-    return col(name).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+    return col(name).between(ntz_literal(start), ntz_literal(end))

@@ -19,10 +19,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", os.environ.get("ERSA_SESSION_TZ", "UTC"))
         .config("spark.driver.memory", os.environ.get("ERSA_DRIVER_MEMORY", "8g"))
         .config("spark.sql.ansi.enabled", "true")
     )
+    if os.environ.get("ERSA_CHECKPOINT_DIR"):
+        builder = builder.config("spark.checkpoint.dir", os.environ["ERSA_CHECKPOINT_DIR"])
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
