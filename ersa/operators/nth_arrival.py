@@ -36,3 +36,22 @@ def threshold_row(
     return hit.groupBy(key).agg(
         F.min_by(F.struct(*[F.col(c) for c in keep], F.col("_cum").alias("cumulative")), F.col("_rn")).alias(alias)
     )
+
+
+def first_and_threshold(
+    rows: DataFrame, key: str, weight: str, order: Sequence[Column], n: int,
+    first_keep: Sequence[str], nth_keep: Sequence[str],
+) -> DataFrame:
+    """``(key, first, nth)`` in one window pass: the first row in ``order`` and the first
+    row whose running total of ``weight`` reaches ``n``.  Requires every weight >= 1 (so
+    the first row is among the top N and the N-th total is reached within N rows).
+    Keys that never reach ``n`` are absent."""
+    w = Window.partitionBy(key).orderBy(*order)
+    top = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    run = top.withColumn("_cum", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rn = F.col("_rn")
+    return run.groupBy(key).agg(
+        F.min_by(F.struct(*[F.col(c) for c in first_keep]), rn).alias("first"),
+        F.min_by(F.when(F.col("_cum") >= n, F.struct(*[F.col(c) for c in nth_keep])),
+                 F.when(F.col("_cum") >= n, rn)).alias("nth"),
+    ).where(F.col("nth").isNotNull())

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ersa import schema as S
 from ersa.functions.scalars import ci_eq, ci_in, col, in_window, sec_to_time, seconds_between, unit_prefix
-from ersa.operators.nth_arrival import first_row, threshold_row
+from ersa.operators.nth_arrival import first_and_threshold, first_row, threshold_row
 from ersa.schema import ErfSpec, uc
 
 
@@ -71,11 +71,16 @@ def erf_report(fd: DataFrame, spec: ErfSpec, staffing_rows=S.STAFFING_SEED) -> D
     nth = ordinal(spec.n)
     weight = "firefighters_per_unit"
     if spec.generation == "v2024":
-        order = [F.col(c) for c in TIME_ORDER]
-        first = first_row(b, "callid", order + [F.col("DispatchDateTime")],
-                          ["UnitNumber", "ArriveDateTime", "DispatchDateTime", "FinalCallType"], "f")
-        last = threshold_row(b, "callid", weight, order, spec.n, ["UnitNumber", "ArriveDateTime"], "t")
-        j = first.join(last, "callid")
+        order = [F.col(c) for c in TIME_ORDER] + [F.col("DispatchDateTime")]
+        first_cols = ["UnitNumber", "ArriveDateTime", "DispatchDateTime", "FinalCallType"]
+        if min(int(w) for _, w in staffing_rows) >= 1:
+            # Every staffed unit brings a firefighter: one bounded window pass gives both rows.
+            j = first_and_threshold(b, "callid", weight, order, spec.n, first_cols, ["UnitNumber", "ArriveDateTime"]) \
+                .select("callid", F.col("first").alias("f"), F.col("nth").alias("t"))
+        else:
+            first = first_row(b, "callid", order, first_cols, "f")
+            last = threshold_row(b, "callid", weight, order, spec.n, ["UnitNumber", "ArriveDateTime"], "t")
+            j = first.join(last, "callid")
         out = [
             F.col("callid").alias("CallID"),
             sec_to_time(seconds_between(F.col("f.DispatchDateTime"), F.col("t.ArriveDateTime")))
