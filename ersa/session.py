@@ -55,3 +55,25 @@ def materialize(df):
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_conf(total_input_bytes: int, cores: int) -> dict[str, str]:
+    """Suggested settings for a large cluster run (pass to ``SparkSession.builder.config``).
+
+    Shuffle partitions start from ~256 MB of input per partition (at least two per core)
+    and AQE coalesces the small stages and splits skewed join partitions at run time.
+    Scans read 256 MB splits.  The broadcast threshold stays at Spark's default: the
+    library broadcasts explicitly only tables whose size is known in advance.
+    """
+    target = 256 * 1024 * 1024
+    partitions = max(2 * cores, total_input_bytes // target)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.session.timeZone": "UTC",
+    }
