@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,13 +53,46 @@ def table_path(spark: SparkSession, name: str, source: str) -> str:
     return f"{shared_dir(spark)}/ersa_tables/{TABLE_VERSION}/{_slug(source)}/{name}"
 
 
+def _fs_path(spark: SparkSession, path: str):
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, hpath = _fs_path(spark, path + "/_SUCCESS")
     return bool(fs.exists(hpath))
 
 
+def _build_once(spark: SparkSession, path: str, build) -> None:
+    """Write ``build()`` to ``path`` unless a complete table is already there.
+
+    The table is written to a private folder and then renamed into place, so a reader
+    never sees a half-written table and two concurrent builders cannot interleave files;
+    the loser of a race drops its copy and uses the winner's.
+    """
+    if _exists(spark, path):
+        return
+    tmp = f"{path}.build-{uuid.uuid4().hex}"
+    write_table(build(), tmp)
+    _publish(spark, tmp, path)
+
+
+def _publish(spark: SparkSession, tmp: str, path: str) -> None:
+    """Rename a finished build folder into place (see ``_build_once``)."""
+    fs, target = _fs_path(spark, path)
+    _, staged = _fs_path(spark, tmp)
+    if _exists(spark, path):               # another builder finished first
+        fs.delete(staged, True)
+        return
+    if fs.exists(target):                  # an interrupted earlier build without _SUCCESS
+        fs.delete(target, True)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(staged, target):
+        fs.delete(staged, True)
+        if not _exists(spark, path):
+            raise RuntimeError(f"could not publish table at {path}")
+
+
 def fire_dep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normalised dispatch table for a test-data folder.
 
@@ -66,10 +100,12 @@ def fire_dep(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored as Parquet in the shared folder; later calls read the stored table.
     """
     path = table_path(spark, "fire_dep", sf_dir)
-    if not _exists(spark, path):
+
+    def build() -> DataFrame:
         lineitem = load_lineitem(spark, sf_dir)
-        rows = lineitem.count()
-        write_table(cluster_by_time(normalise(fire_dep_from_lineitem(lineitem)), rows), path)
+        return cluster_by_time(normalise(fire_dep_from_lineitem(lineitem)), lineitem.count())
+
+    _build_once(spark, path, build)
     return spark.read.parquet(path)
 
 
@@ -77,8 +113,7 @@ def derived_table(spark: SparkSession, name: str, source: str, build) -> DataFra
     """A table derived from ``source`` by ``build()``, written once to the shared folder
     and read back on later calls (replace-table semantics on rebuild)."""
     path = table_path(spark, name, source)
-    if not _exists(spark, path):
-        write_table(build(), path)
+    _build_once(spark, path, build)
     return spark.read.parquet(path)
 
 
