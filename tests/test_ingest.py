@@ -36,3 +36,15 @@ def test_csv_ingest_types_blanks_quotes_and_rejects(spark, tmp_path):
     assert r2.Quadrant == "" and r2.UnitNumber_uc == "M41"
     reasons = {r.CallID: r.reject_reason for r in rejects.collect()}
     assert reasons == {"3": "bad TravelTime(Sec)", "4": "UnitNumber longer than 10", "5": "bad ArriveDateTime"}
+
+
+def test_quality_counts(spark):
+    from ersa.sources.csv_ingest import quality_counts
+    from tests.conftest import at, make_fire_dep
+    fd = make_fire_dep(spark, [
+        {"CallID": "1", "ArrivalOrder": "1abc", "StartDatetime": at(10), "ClearDateTime": at(5)},
+        {"CallID": "", "ArrivalOrder": "01", "StartDatetime": at(0), "ClearDateTime": at(5)},
+        {"CallID": "2", "ArrivalOrder": "", "StartDatetime": at(0), "ClearDateTime": None},
+    ])
+    r = quality_counts(fd).first()
+    assert (r.rows, r.arrival_order_lenient_only, r.blank_call_id, r.reversed_intervals) == (3, 1, 1, 1)
