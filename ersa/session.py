@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", os.environ.get("ERSA_SESSION_TZ", "UTC"))
         .config("spark.driver.memory", os.environ.get("ERSA_DRIVER_MEMORY", "8g"))
         .config("spark.sql.ansi.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if os.environ.get("ERSA_CHECKPOINT_DIR"):
         builder = builder.config("spark.checkpoint.dir", os.environ["ERSA_CHECKPOINT_DIR"])
@@ -76,4 +77,6 @@ def cluster_conf(total_input_bytes: int, cores: int) -> dict[str, str]:
         "spark.sql.files.maxPartitionBytes": str(target),
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.session.timeZone": "UTC",
+        # checkpoints cut lineage inside one report; drop their files once unreferenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
