@@ -16,12 +16,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.enabled", os.environ.get("ERSA_AQE", "true"))
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", os.environ.get("ERSA_SESSION_TZ", "UTC"))
         .config("spark.driver.memory", os.environ.get("ERSA_DRIVER_MEMORY", "8g"))
-        .config("spark.sql.ansi.enabled", "true")
+        .config("spark.sql.ansi.enabled", os.environ.get("ERSA_ANSI", "true"))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if os.environ.get("ERSA_CHECKPOINT_DIR"):
