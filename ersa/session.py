@@ -42,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
         if not root:
-            root = tempfile.mkdtemp(prefix="ersa-ckpt-")
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+            root = tempfile.mkdtemp(prefix="ersa-ckpt-")   # local mode only (tests)
         sc.setCheckpointDir(root)
     return (root or sc.getCheckpointDir()).rstrip("/")
 
