@@ -28,41 +28,61 @@ def _distinct_calls(fd: DataFrame, pred: Column, window: Window) -> DataFrame:
     return fd.where(pred & in_window(window.column, window.start, window.end))
 
 
-def calls_in_district(fd: DataFrame, window: Window = Window(), district: str = DISTRICT) -> DataFrame:
+def _n_calls(approximate: bool = False) -> Column:
+    """Distinct calls: exact by default; ``approximate`` trades exactness (HyperLogLog++,
+    ~1% error) for a fixed-size aggregation buffer."""
+    return F.approx_count_distinct("CallID", 0.01) if approximate else F.count_distinct("CallID")
+
+
+def calls_in_district(
+    fd: DataFrame, window: Window = Window(), district: str = DISTRICT, approximate: bool = False
+) -> DataFrame:
     return _distinct_calls(fd, _preds(district)["r1"], window).agg(
-        F.count_distinct("CallID").alias("Total_Calls_In_District"))
+        _n_calls(approximate).alias("Total_Calls_In_District"))
 
 
-def responses_by_department(fd: DataFrame, window: Window = Window(), district: str = DISTRICT) -> DataFrame:
-    return _distinct_calls(fd, _preds(district)["r2"], window).agg(F.count_distinct("CallID").alias("call_count"))
+def responses_by_department(
+    fd: DataFrame, window: Window = Window(), district: str = DISTRICT, approximate: bool = False
+) -> DataFrame:
+    return _distinct_calls(fd, _preds(district)["r2"], window).agg(_n_calls(approximate).alias("call_count"))
 
 
-def responses_in_district(fd: DataFrame, window: Window = Window(), district: str = DISTRICT) -> DataFrame:
-    return _distinct_calls(fd, _preds(district)["r3"], window).agg(F.count_distinct("CallID").alias("call_count"))
+def responses_in_district(
+    fd: DataFrame, window: Window = Window(), district: str = DISTRICT, approximate: bool = False
+) -> DataFrame:
+    return _distinct_calls(fd, _preds(district)["r3"], window).agg(_n_calls(approximate).alias("call_count"))
 
 
-def aid_received(fd: DataFrame, window: Window = Window(), district: str = DISTRICT) -> DataFrame:
+def aid_received(
+    fd: DataFrame, window: Window = Window(), district: str = DISTRICT, approximate: bool = False
+) -> DataFrame:
     """District calls where another department responded: calls and their unit call time."""
     return _distinct_calls(fd, _preds(district)["r4"], window).agg(
-        F.count_distinct("CallID").alias("call_count"),
+        _n_calls(approximate).alias("call_count"),
         F.sum(col("TotalCallTime(Sec)")).cast("bigint").alias("total_call_time(sec)"),
     )
 
 
-def aid_given(fd: DataFrame, window: Window = Window(), district: str = DISTRICT) -> DataFrame:
+def aid_given(
+    fd: DataFrame, window: Window = Window(), district: str = DISTRICT, approximate: bool = False
+) -> DataFrame:
     """Calls outside the district that the department answered."""
     return _distinct_calls(fd, _preds(district)["r5"], window).agg(
-        F.count_distinct("CallID").alias("call_count"),
+        _n_calls(approximate).alias("call_count"),
         F.sum(col("TotalCallTime(Sec)")).cast("bigint").alias("total_call_time"),
     )
 
 
-def first_arrivals_own(fd: DataFrame, window: Window = Window(), district: str = DISTRICT) -> DataFrame:
-    return _distinct_calls(fd, _preds(district)["r8"], window).agg(F.count_distinct("CallID").alias("call_count"))
+def first_arrivals_own(
+    fd: DataFrame, window: Window = Window(), district: str = DISTRICT, approximate: bool = False
+) -> DataFrame:
+    return _distinct_calls(fd, _preds(district)["r8"], window).agg(_n_calls(approximate).alias("call_count"))
 
 
-def first_arrivals_aid(fd: DataFrame, window: Window = Window(), district: str = DISTRICT) -> DataFrame:
-    return _distinct_calls(fd, _preds(district)["r9"], window).agg(F.count_distinct("CallID").alias("call_count"))
+def first_arrivals_aid(
+    fd: DataFrame, window: Window = Window(), district: str = DISTRICT, approximate: bool = False
+) -> DataFrame:
+    return _distinct_calls(fd, _preds(district)["r9"], window).agg(_n_calls(approximate).alias("call_count"))
 
 
 def _per_call_flags(fd: DataFrame, window: Window, district: str) -> DataFrame:

@@ -47,3 +47,9 @@ def test_scorecard_matches_individual_reports(spark):
         "aid_received_calls": 3, "aid_received_call_time": 280, "aid_given_calls": 1, "aid_given_call_time": 70,
         "total_calls_for_service": 5, "first_arrivals_own": 2, "first_arrivals_aid": 2, "total_first_arrivals": 4,
     }
+
+
+def test_approximate_counts_agree_on_small_sets(spark):
+    fd = _fd(spark)
+    assert counts.calls_in_district(fd, W, approximate=True).first()[0] == 4
+    assert counts.aid_received(fd, W, approximate=True).first()[0] == 3
