@@ -42,3 +42,16 @@ def test_seconds_between_ignores_zones(spark):
         assert df.select(seconds_between(F.col("a"), F.col("b"))).first()[0] == 7200
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_sec_to_time_matches_the_oracle_expression(spark):
+    import duckdb
+
+    from ersa.plans.oracle import sec_to_time as sql_sec_to_time
+    vals = [0, 1, 59, 60, 3599, 3600, 86399, 86400, 90061, 359999, 360000, 3_020_399, 3_020_400, 10**8,
+            -1, -59, -3661, -3_020_399, -10**8, None]
+    spark_out = _one(spark, sec_to_time, vals, T.LongType())
+    con = duckdb.connect()
+    rows = con.execute("SELECT " + sql_sec_to_time("x") + " FROM (SELECT unnest(?) AS x, generate_subscripts(?, 1) AS i) "
+                       "ORDER BY i", [vals, vals]).fetchall()
+    assert [r[0] for r in rows] == spark_out
