@@ -48,3 +48,20 @@ def test_quality_counts(spark):
     ])
     r = quality_counts(fd).first()
     assert (r.rows, r.arrival_order_lenient_only, r.blank_call_id, r.reversed_intervals) == (3, 1, 1, 1)
+
+
+def test_one_pass_ingest_to_parquet(spark, tmp_path):
+    from ersa.sources.csv_ingest import ingest_csv
+    lines = [
+        ",".join(NAMES),
+        _line(CallID="1", UnitNumber="E40", StartDatetime="2024-01-02 03:04:05", **{"TravelTime(Sec)": "61"}),
+        _line(CallID="2", UnitNumber="M41", StartDatetime="2024-01-01 00:00:00"),
+        _line(CallID="3", UnitNumber="L40", **{"TravelTime(Sec)": "abc"}),
+    ]
+    src = tmp_path / "in.csv"
+    src.write_bytes(("\r\n".join(lines) + "\r\n").encode())
+    rows, rejects = ingest_csv(spark, str(src), str(tmp_path / "table"))
+    got = {r.CallID: r for r in rows.collect()}
+    assert sorted(got) == ["1", "2"] and got["1"]["TravelTime(Sec)"] == 61 and got["2"].UnitNumber_uc == "M41"
+    (bad,) = rejects.collect()
+    assert bad.reject_reason == "bad TravelTime(Sec)" and '"TravelTime(Sec)":"abc"' in bad.raw_fields
