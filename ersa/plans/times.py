@@ -215,4 +215,5 @@ def response_by_priority(
         F.round("stddev", 3).alias("stddev_time_seconds"),
         F.col("min_v").alias("min_response_time_seconds"),
         F.col("max_v").alias("max_response_time_seconds"),
-    ).orderBy(F.when(F.col("FinalCallPriority") == "TOTAL", 2).otherwise(1), "FinalCallPriority")
+    ).coalesce(1).sortWithinPartitions(  # at most one row per listed priority + TOTAL
+        F.when(F.col("FinalCallPriority") == "TOTAL", 2).otherwise(1), "FinalCallPriority")
