@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ersa import schema as S
-from ersa.functions.scalars import ci_eq, ci_in, col, in_window, sec_to_time, seconds_between, unit_prefix
+from ersa.functions.scalars import (
+    ci_eq, ci_in, col, in_window, leading_number, sec_to_time, seconds_between, unit_prefix,
+)
 from ersa.operators.nth_arrival import first_and_threshold, first_row, threshold_row
 from ersa.schema import ErfSpec, uc
 
@@ -98,10 +100,15 @@ def erf_report(fd: DataFrame, spec: ErfSpec, staffing_rows=S.STAFFING_SEED) -> D
 
     # v2025: the running total follows ArrivalOrder text; every row at or after the row
     # that completes N (in that order) qualifies, and the earliest arrival among them wins.
-    text = [F.col(c) for c in TEXT_ORDER]
-    t = threshold_row(b, "callid", weight, text, spec.n, TEXT_ORDER, "t")
+    if spec.arrival_order == "numeric":
+        b = b.withColumn("_arrival_rank", leading_number(F.col("ArrivalOrder")))
+        keys = ["_arrival_rank"] + TEXT_ORDER
+    else:
+        keys = TEXT_ORDER
+    text = [F.col(c) for c in keys]
+    t = threshold_row(b, "callid", weight, text, spec.n, keys, "t")
     cand = b.join(t, "callid").where(
-        F.struct(*text) >= F.struct(*[F.col(f"t.{c}") for c in TEXT_ORDER])
+        F.struct(*text) >= F.struct(*[F.col(f"t.{c}") for c in keys])
     )
     pick = first_row(cand, "callid", [F.col(c) for c in TIME_ORDER],
                      ["UnitNumber", "ArriveDateTime", "ArrivalOrder", "total_response_time_sec"], "p")

@@ -222,3 +222,4 @@ class ErfSpec:
     district: str = DISTRICT
     priorities: tuple[str, ...] = ()
     detail: bool = False                     # v2024: add timestamps, units and call type
+    arrival_order: str = "text"              # v2025: "text" ('10' < '2', as stored) or "numeric"

@@ -71,3 +71,12 @@ def test_running_total_is_bounded_to_top_n(spark):
 def test_ordinals():
     assert [ordinal(n) for n in (1, 2, 3, 7, 11, 12, 13, 16, 19, 21, 22)] == [
         "1st", "2nd", "3rd", "7th", "11th", "12th", "13th", "16th", "19th", "21st", "22nd"]
+
+
+def test_numeric_arrival_order_option(spark):
+    spec = ErfSpec(name="x", n=7, call_types=("FB",), generation="v2025", window=W, priorities=("1F",),
+                   arrival_order="numeric")
+    (r,) = erf_report(_fd(spark), spec).collect()
+    # Numeric order 2, 3, 4, 10 -> totals 3, 5, 7, 10; earliest arrival among totals >= 7 is L40 (10:07).
+    assert (r.unit_delivering_7th_firefighter, r.arrival_number) == ("L40", "10")
+    assert r.arrival_time_7th_firefighter == t("10:07:00")
