@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ersa.plans import concurrency, counts, erf, oracle, times
 from ersa.schema import FIRE_DEP_COLUMNS
 from ersa.sources import csv_ingest
-from ersa.sources.tables import _exists, _publish, derived_table, district_extract, fire_dep, table_path
+from ersa.sources.tables import derived_table, district_extract, fire_dep, table_path, write_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,10 +38,7 @@ def _on_events(fn, *args, **kw) -> Query:
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed CSV load of the dispatch table, from a CRLF extract written once from it."""
     path = table_path(spark, "fire_dep_csv", sf_dir)
-    if not _exists(spark, path):
-        tmp = f"{path}.build-{uuid.uuid4().hex}"
-        csv_ingest.write_dispatch_csv(fire_dep(spark, sf_dir), tmp)
-        _publish(spark, tmp, path)
+    write_once(spark, path, lambda folder: csv_ingest.write_dispatch_csv(fire_dep(spark, sf_dir), folder))
     rows, _ = csv_ingest.load_dispatch_csv(spark, path)
     return rows.select(*[f"`{n}`" for n, _, _ in FIRE_DEP_COLUMNS])
 

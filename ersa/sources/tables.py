@@ -63,20 +63,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-def _build_once(spark: SparkSession, path: str, build) -> None:
-    """Write ``build()`` to ``path`` unless a complete table is already there.
+def write_once(spark: SparkSession, path: str, write) -> None:
+    """Run ``write(folder)`` for ``path`` unless a complete output is already there.
 
-    The table is written to a private folder and then renamed into place, so a reader
+    The output is written to a private folder and then renamed into place, so a reader
     never sees a half-written table and two concurrent builders cannot interleave files;
     the loser of a race drops its copy and uses the winner's.
     """
     if _exists(spark, path):
         return
     tmp = f"{path}.build-{uuid.uuid4().hex}"
-    write_table(build(), tmp)
+    write(tmp)
     _publish(spark, tmp, path)
 
 
+def _build_once(spark: SparkSession, path: str, build) -> None:
+    """Parquet table from ``build()`` at ``path``, written once (see ``write_once``)."""
+    write_once(spark, path, lambda folder: write_table(build(), folder))
+
+
 def _publish(spark: SparkSession, tmp: str, path: str) -> None:
     """Rename a finished build folder into place (see ``_build_once``)."""
     fs, target = _fs_path(spark, path)
