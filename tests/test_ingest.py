@@ -65,3 +65,12 @@ def test_one_pass_ingest_to_parquet(spark, tmp_path):
     assert sorted(got) == ["1", "2"] and got["1"]["TravelTime(Sec)"] == 61 and got["2"].UnitNumber_uc == "M41"
     (bad,) = rejects.collect()
     assert bad.reject_reason == "bad TravelTime(Sec)" and '"TravelTime(Sec)":"abc"' in bad.raw_fields
+
+
+def test_malformed_lines_are_rejected(spark, tmp_path):
+    lines = [",".join(NAMES), _line(CallID="1", UnitNumber="E40"), "2,E41,1", _line(CallID="3") + ",extra,fields"]
+    path = tmp_path / "bad.csv"
+    path.write_bytes(("\r\n".join(lines) + "\r\n").encode())
+    rows, rejects = load_dispatch_csv(spark, str(path))
+    assert [r.CallID for r in rows.collect()] == ["1"]
+    assert sorted(r.reject_reason for r in rejects.collect()) == ["malformed line", "malformed line"]
