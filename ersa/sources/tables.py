@@ -135,3 +135,16 @@ def district_extract(fd: DataFrame, district: str = DISTRICT) -> DataFrame:
     """Every column of the rows whose call lies in ``district`` (``SELECT *``)."""
     base = [c for c in fd.columns if not c.endswith("_uc")]
     return fd.where(F.col(uc("CallGEOFDID")) == district.upper()).select(*[F.col(f"`{c}`") for c in base])
+
+
+def write_bucketed_table(df: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Store the dispatch table as an external catalog table bucketed and sorted by CallID.
+
+    Reports that group, window or join per call (first dispatched row, ERF, per-call
+    concurrency table, distinct call counts) then find their input already partitioned by
+    the call key and plan no shuffle for it.  Needs a catalog that keeps bucket metadata
+    (the session catalog within one application, or a metastore across applications).
+    """
+    df.write.mode("overwrite").bucketBy(buckets, "CallID").sortBy("CallID") \
+        .option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
