@@ -12,5 +12,5 @@ Typical use::
 
 from ersa.plans import concurrency, counts, erf, times  # noqa: F401
 from ersa.schema import ErfSpec, TimeStatSpec, Window  # noqa: F401
-from ersa.sources.csv_ingest import load_dispatch_csv, quality_counts  # noqa: F401
-from ersa.sources.tables import district_extract, normalise, staffing  # noqa: F401
+from ersa.sources.csv_ingest import ingest_csv, load_dispatch_csv, quality_counts  # noqa: F401
+from ersa.sources.tables import district_extract, normalise, staffing, write_bucketed_table  # noqa: F401
