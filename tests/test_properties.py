@@ -5,7 +5,7 @@ import os
 from dataclasses import replace
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, assume, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -45,6 +45,11 @@ def _rank_form(values, sigma, p, goal):
 @given(st.lists(st.integers(min_value=-50, max_value=3000), min_size=1, max_size=60),
        st.sampled_from([1.0, 2.0, 3.0]), st.sampled_from([0.5, 0.9, 0.25]))
 def test_trimmed_summary_equals_rank_form(spark, values, sigma, p):
+    mean = sum(values) / len(values)
+    sd = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+    # A value sitting exactly on a band edge is decided by the last bit of floating-point
+    # summation order (in any engine); such draws say nothing about the operator.
+    assume(all(abs(v - edge) > 1e-9 for v in values for edge in (mean - sigma * sd, mean + sigma * sd)))
     df = spark.createDataFrame([(v,) for v in values], "x int")
     rows = trimmed_summary(compact(df, F.col("x")), sigma=sigma, percentile=p, goal=300).collect()
     want = _rank_form(values, sigma, p, 300)
