@@ -37,3 +37,12 @@ def test_normalise_keeps_blanks_and_adds_upper_copies(spark):
 def test_cluster_by_time_has_at_least_one_file_per_slot(spark):
     fd = make_fire_dep(spark, [{"CallID": str(i)} for i in range(20)])
     assert cluster_by_time(fd, 20).rdd.getNumPartitions() >= 1
+
+
+def test_cluster_conf_sizes_shuffles_from_input():
+    from ersa.session import cluster_conf
+    big = cluster_conf(100 * 1024**4, cores=8000)                  # 100 TB on 8,000 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024**4 // (256 * 1024**2)
+    small = cluster_conf(10 * 1024**2, cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16         # never fewer than two per core
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
