@@ -161,8 +161,10 @@ MEDIC_UNIT_RE_SUBURBAN_2025 = "^(M|A)"
 PRIORITIES_1_3 = ["1F", "2F", "3F"]
 PRIORITIES_1_4 = ["1F", "2F", "3F", "4F"]
 
-# Default report window used on the fixture data (closed at both ends).
+# Report-year windows (closed at both ends, so the next 1 January 00:00:00 is included).
+# The registered queries use WINDOW_2024 for both report generations on the fixture data.
 WINDOW_2024 = (datetime(2024, 1, 1, 0, 0, 0), datetime(2025, 1, 1, 0, 0, 0))
+WINDOW_2025 = (datetime(2025, 1, 1, 0, 0, 0), datetime(2026, 1, 1, 0, 0, 0))
 
 
 # --------------------------------------------------------------------------------------
