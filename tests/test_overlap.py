@@ -90,3 +90,30 @@ def test_no_quadratic_join_in_plan(spark):
     rows = _random_rows(11, 50, with_reversed=False)
     plan = call_concurrency(_df(spark, rows), "k", "s", "e")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_row_pairs_with_reversed_fixture_rows_match_the_literal_join(spark):
+    import os
+
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from ersa.sources.tables import fire_dep
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(f"{sf}/lineitem.parquet"):
+        return
+    fd = fire_dep(spark, sf).where(F.col("FDID_uc") == "31D04")
+    swap = (F.hash("CallID", "UnitNumber", "ArrivalOrder") % 7) == 0
+    rows = fd.select(
+        "CallID",
+        F.when(swap, F.col("ClearDateTime")).otherwise(F.col("StartDatetime")).alias("s"),
+        F.when(swap, F.col("StartDatetime")).otherwise(F.col("ClearDateTime")).alias("e"),
+    )
+    pdf = rows.toPandas()
+    assert (pdf["e"] < pdf["s"]).sum() > 50                       # plenty of reversed rows
+    got = {r.CallID: r.concurrent_count for r in row_overlap_pairs(rows, "CallID", "s", "e").collect()}
+    con = duckdb.connect()
+    con.register("r", pdf)
+    want = dict(con.execute("SELECT a.CallID, COUNT(*) FROM r a JOIN r b ON a.s <= b.e AND a.e >= b.s "
+                            "GROUP BY a.CallID").fetchall())
+    assert got == want
