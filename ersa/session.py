@@ -15,7 +15,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.sql.shuffle.partitions", os.environ.get("ERSA_SHUFFLE_PARTITIONS", str(shuffle_partitions)))
         .config("spark.sql.adaptive.enabled", os.environ.get("ERSA_AQE", "true"))
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
