@@ -102,15 +102,20 @@ def _explode_bins(lo: Column, hi: Column, bin_seconds: int) -> Column:
     return F.explode(F.sequence(time_bin(lo, bin_seconds), time_bin(hi, bin_seconds)))
 
 
+PAIR_BIN_SECONDS = 60
+
+
 def row_overlap_pairs(rows: DataFrame, key: str = "CallID", start: str = "start", end: str = "end",
-                      bin_seconds: int = DEFAULT_BIN_SECONDS) -> DataFrame:
+                      bin_seconds: int = DEFAULT_BIN_SECONDS, pair_bin_seconds: int = PAIR_BIN_SECONDS) -> DataFrame:
     """Per key, the number of (own row, any row) pairs with ``a.start <= b.end`` and
     ``a.end >= b.start``; keys with no such pair are absent.
 
     count(a) = #{b.start <= a.end} - #{b.end < a.start} + X(a), where
     X(a) = #{b: b.end < a.start and b.start > a.end} is non-zero only when a or b is
     reversed (end < start).  X is computed exactly by a bin-keyed join restricted to
-    pairs that involve a reversed row (that set is checkpointed and usually empty).
+    pairs that involve a reversed row (that set is checkpointed and usually empty).  That
+    join uses minute bins, so its candidates are essentially the rows whose start lies
+    inside a reversed span.
     """
     s, e = F.col(start), F.col(end)
     base = rows.where(s.isNotNull() & e.isNotNull()).select(F.col(key).alias("_k"), s.alias("_s"), e.alias("_e"))
@@ -131,7 +136,7 @@ def row_overlap_pairs(rows: DataFrame, key: str = "CallID", start: str = "start"
     rev = materialize(base.where(F.col("_e") < F.col("_s")))
     parts = [linear]
     if not rev.isEmpty():
-        parts.append(_reversed_pairs(base, rev, bin_seconds))
+        parts.append(_reversed_pairs(base, rev, pair_bin_seconds))
     per_row = reduce(lambda p, q: p.unionByName(q), parts)
     return per_row.groupBy(F.col("_k").alias(key)).agg(F.sum("_c").alias("concurrent_count")) \
         .where(F.col("concurrent_count") > 0)

@@ -76,8 +76,11 @@ def test_row_pairs_match_brute_force_with_reversed_rows(spark, seed, bin_seconds
     rows = _random_rows(seed, 120, with_reversed=True)
     # several rows per key, like unit rows of a call
     rows = [(f"c{int(k[1:]) % 40}", s, e) for k, s, e in rows]
-    got = {r.k: r.concurrent_count for r in row_overlap_pairs(_df(spark, rows), "k", "s", "e", bin_seconds).collect()}
+    got = {r.k: r.concurrent_count
+           for r in row_overlap_pairs(_df(spark, rows), "k", "s", "e", bin_seconds, bin_seconds).collect()}
     assert got == _brute_pairs(rows)
+    default_pairs = {r.k: r.concurrent_count for r in row_overlap_pairs(_df(spark, rows), "k", "s", "e").collect()}
+    assert default_pairs == got
 
 
 def test_row_pairs_without_reversed_rows(spark):
