@@ -15,12 +15,22 @@ U64 = np.uint64
 BLOCK_BYTES = 4 << 20
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back (cuts lineage, survives lost executors)."""
+    """Write ``df`` to the shared folder and read it back (cuts lineage, survives lost executors).
+
+    The write's own shuffle files are given up as soon as it has ended, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ersa_llm/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ersa.llm import ann, packing, quality_rules, sentencepiece_codec, sharding
+from ersa.llm import ann, jaccard_join, packing, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup, suffix_dedup
 from ersa.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,26 @@ Query = Callable[[SparkSession, str], DataFrame]
 SHARD_BYTES = 16 << 20
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return found.select("doc_id", "n_words", lost.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(documents(spark, sf_dir), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -38,7 +58,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_sentencepiece, op6_quality_rules, op7_packing, op9_sharding, op10_nearest)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_substring_dedup, op4_jaccard_join, op5_sentencepiece, op6_quality_rules, op7_packing, op9_sharding, op10_nearest)}
 
 
 _STOCK = "|".join(quality_rules.BOILERPLATE)
