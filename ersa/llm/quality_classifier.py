@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from ersa.llm.common import id_text, store
 
-CHUNK = 8192
+#: Bytes compressed at a time: short, so that the dictionary rather than the text itself is what helps.
+CHUNK = 512
 LEVEL = 3
 
 
@@ -171,9 +172,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
                                        (F.col("score") >= threshold).cast("int").alias("predicted"), "size_good", "size_bad")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: Sample = Sample()) -> DataFrame:
-    """The documents whose score reaches ``threshold``, with all their columns, scored in the same pass."""
-    model = fit(docs, labels, ~held_out(), sample)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: Sample = Sample(),
+              train: DataFrame | None = None) -> DataFrame:
+    """The documents whose score reaches ``threshold``, with all their columns, scored in the same pass;
+    learnt from ``train`` (by default ``docs``)."""
+    model = fit(docs if train is None else train, labels, ~held_out(), sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ersa.llm import ann, jaccard_join, packing, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup, suffix_dedup
+from ersa.llm import ann, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup, suffix_dedup
 from ersa.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(license_scan.document_files(documents(spark, sf_dir)))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), SHARD_BYTES)
 
@@ -58,7 +62,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_substring_dedup, op4_jaccard_join, op5_sentencepiece, op6_quality_rules, op7_packing, op9_sharding, op10_nearest)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_substring_dedup, op4_jaccard_join, op5_sentencepiece, op6_quality_rules, op7_packing, op8_license_scan, op9_sharding, op10_nearest)}
 
 
 _STOCK = "|".join(quality_rules.BOILERPLATE)
@@ -127,4 +131,4 @@ FROM fit WHERE nth = 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL, "op9_sharding": OP9_SQL}
+    return {"op6_quality_rules": OP6_SQL, "op8_license_scan": license_scan.scan_sql(), "op9_sharding": OP9_SQL}
