@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ersa.schema import uc
+from ersa.schema import START_MONTH, epoch, uc
 
 # Largest magnitude a duration value can show: 838:59:59.
 MAX_DURATION_SECONDS = 838 * 3600 + 59 * 60 + 59
@@ -69,6 +70,32 @@ def ntz_literal(value) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def epoch_seconds(t: Column) -> Column:
+    """Whole seconds since 1970 of a zone-free timestamp."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t)
+
+
+def year_month(t: Column) -> Column:
+    """The month of a time as a number, 202401 for January 2024."""
+    return (F.year(t) * 100 + F.month(t)).cast("int")
+
+
+def window_columns(name: str) -> list[str]:
+    """The columns that ``in_window(name, ...)`` reads."""
+    return [name, epoch(name)] + ([START_MONTH] if name == "StartDatetime" else [])
+
+
 def in_window(name: str, start, end) -> Column:
-    """Closed window ``start <= col <= end`` (literal bounds, pushed to the scan)."""
-    return col(name).between(ntz_literal(start), ntz_literal(end))
+    """Closed window ``start <= col <= end`` with literal bounds.
+
+    The exact condition is on the time itself.  The one on its epoch seconds is what Parquet
+    applies to row groups and pages, and the one on the start month skips whole folders; both
+    admit every row that the exact condition admits.
+    """
+    lo, hi = (v if isinstance(v, datetime) else datetime.fromisoformat(str(v)) for v in (start, end))
+    first, last = (int(v.replace(microsecond=0, tzinfo=timezone.utc).timestamp()) for v in (lo, hi))
+    cond = F.col(epoch(name)).between(F.lit(first).cast("bigint"), F.lit(last).cast("bigint")) \
+        & col(name).between(ntz_literal(start), ntz_literal(end))
+    if name == "StartDatetime":
+        cond = F.col(START_MONTH).between(lo.year * 100 + lo.month, hi.year * 100 + hi.month) & cond
+    return cond

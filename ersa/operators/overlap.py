@@ -17,23 +17,16 @@ Queries then look their own timestamps up with equi-joins.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ersa.session import materialize
+from ersa.functions.scalars import epoch_seconds
 
-EPOCH = "1970-01-01 00:00:00"
 DEFAULT_BIN_SECONDS = 3600
 
 
-def epoch_seconds(t: Column) -> Column:
-    """Whole seconds since 1970 of a zone-free timestamp."""
-    return F.timestamp_diff("SECOND", F.lit(EPOCH).cast("timestamp_ntz"), t)
-
-
 def time_bin(t: Column, bin_seconds: int) -> Column:
     return F.floor(epoch_seconds(t) / F.lit(bin_seconds)).cast("bigint")
 
@@ -55,9 +48,9 @@ def prefix_counts(events: DataFrame, weights: Sequence[str], bin_seconds: int =
 
 
 def _terms_at(queries: DataFrame, pc: DataFrame) -> DataFrame:
-    """Join each query row ``(_k, _t, …)`` to the prefix counts at its own time ``_t``
-    (left join: a NULL time finds nothing)."""
-    return queries.join(pc, queries["_t"] == pc["t"], "left")
+    """Join each query row ``(_k, _t, …)`` to the prefix counts at its own time ``_t`` (which
+    is one of the table's times)."""
+    return queries.join(pc, queries["_t"] == pc["t"])
 
 
 def call_concurrency(calls: DataFrame, key: str = "CallID", start: str = "start", end: str = "end",
@@ -88,84 +81,97 @@ def call_concurrency(calls: DataFrame, key: str = "CallID", start: str = "start"
     queries = base.select("_k", "_wf", F.explode(F.array(
         F.struct(F.col("_s").alias("_t"), F.lit(0).alias("_role")),
         F.struct(F.when(F.col("_wf"), F.col("_e")).alias("_t"), F.lit(1).alias("_role")),
-    )).alias("q")).select("_k", "_wf", "q.*")
+    )).alias("q")).select("_k", "_wf", "q.*").where(F.col("_t").isNotNull())
     x = _terms_at(queries, pc)
     wf_c = F.col("_wf")
     at_start = (F.col("cum_ws") - (F.col("cum_we") - F.col("we"))
                 - F.when(wf_c, (F.col("cum_ns") - F.col("ns")) + F.col("ws")).otherwise(zero))
     at_end = F.col("cum_ns")
-    term = F.when(F.col("_t").isNull(), zero).when(F.col("_role") == 0, at_start).otherwise(at_end)
-    return x.groupBy(F.col("_k").alias(key)).agg(F.sum(term).cast("bigint").alias("concurrent_count"))
-
+    term = F.when(F.col("_role") == 0, at_start).otherwise(at_end)
+    # a call without a start has no query row: it counts 0, without going through the join
+    terms = x.select("_k", term.alias("_c")).unionByName(base.where(F.col("_s").isNull()).select("_k", zero.alias("_c")))
+    return terms.groupBy(F.col("_k").alias(key)).agg(F.sum("_c").cast("bigint").alias("concurrent_count"))
 
-def _explode_bins(lo: Column, hi: Column, bin_seconds: int) -> Column:
-    return F.explode(F.sequence(time_bin(lo, bin_seconds), time_bin(hi, bin_seconds)))
 
-
-PAIR_BIN_SECONDS = 60
+# Levels of the dyadic intervals that cover epoch seconds: 2^41 s is 70,000 years.
+LEVELS = 41
 
 
 def row_overlap_pairs(rows: DataFrame, key: str = "CallID", start: str = "start", end: str = "end",
-                      bin_seconds: int = DEFAULT_BIN_SECONDS, pair_bin_seconds: int = PAIR_BIN_SECONDS) -> DataFrame:
+                      bin_seconds: int = DEFAULT_BIN_SECONDS) -> DataFrame:
     """Per key, the number of (own row, any row) pairs with ``a.start <= b.end`` and
     ``a.end >= b.start``; keys with no such pair are absent.
 
-    count(a) = #{b.start <= a.end} - #{b.end < a.start} + X(a), where
-    X(a) = #{b: b.end < a.start and b.start > a.end} is non-zero only when a or b is
-    reversed (end < start).  X is computed exactly by a bin-keyed join restricted to
-    pairs that involve a reversed row (that set is checkpointed and usually empty).  That
-    join uses minute bins, so its candidates are essentially the rows whose start lies
-    inside a reversed span.
+    Let F be the well-formed rows and R the reversed ones (end < start).  Two rows of R never
+    pair, and a row of R pairs exactly with the rows of F that contain it.  So
+
+    * count(f) = #{F starts <= f.end} - #{F ends < f.start} + #{R inside f}
+    * count(r) = #{F that contain r}
+
+    The first two terms are prefix counts.  The containment counts are running sums too: see
+    ``_containment``.  No term builds pairs of rows.
     """
     s, e = F.col(start), F.col(end)
     base = rows.where(s.isNotNull() & e.isNotNull()).select(F.col(key).alias("_k"), s.alias("_s"), e.alias("_e"))
+    well = F.col("_e") >= F.col("_s")
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    formed = F.when(well, one).otherwise(zero)
     ev = base.select(F.explode(F.array(
-        F.struct(F.col("_s").alias("t"), one.alias("S"), zero.alias("E")),
-        F.struct(F.col("_e").alias("t"), zero.alias("S"), one.alias("E")),
+        F.struct(F.col("_s").alias("t"), formed.alias("S"), zero.alias("E"), zero.alias("R")),
+        F.struct(F.col("_e").alias("t"), zero.alias("S"), formed.alias("E"), (one - formed).alias("R")),
     )).alias("x")).select("x.*")
-    pc = prefix_counts(ev, ["S", "E"], bin_seconds)
-    queries = base.select("_k", F.explode(F.array(
+    pc = prefix_counts(ev, ["S", "E", "R"], bin_seconds)
+    # rows of one key with the same interval are one query row with a weight
+    own = base.groupBy("_k", "_s", "_e").agg(F.count(one).alias("_n"))
+    queries = own.where(well).select("_k", "_s", "_e", "_n", F.explode(F.array(
         F.struct(F.col("_e").alias("_t"), F.lit(0).alias("_role")),     # + starts <= a.end
         F.struct(F.col("_s").alias("_t"), F.lit(1).alias("_role")),     # - ends   <  a.start
-    )).alias("q")).select("_k", "q.*")
-    x = _terms_at(queries, pc)
-    linear = x.select("_k", F.when(F.col("_role") == 0, F.col("cum_S"))
-                      .otherwise(F.col("E") - F.col("cum_E")).alias("_c"))
-
-    rev = materialize(base.where(F.col("_e") < F.col("_s")))
-    parts = [linear]
-    if not rev.isEmpty():
-        parts.append(_reversed_pairs(base, rev, pair_bin_seconds))
-    per_row = reduce(lambda p, q: p.unionByName(q), parts)
-    return per_row.groupBy(F.col("_k").alias(key)).agg(F.sum("_c").alias("concurrent_count")) \
+    )).alias("q")).select("_k", "_s", "_e", "_n", "q.*")
+    terms = _terms_at(queries, pc).groupBy("_k", "_s", "_e", "_n").agg(
+        F.sum(F.when(F.col("_role") == 0, F.col("cum_S")).otherwise(F.col("E") - F.col("cum_E"))).alias("_c"),
+        F.sum(F.when(F.col("_role") == 0, F.col("cum_R")).otherwise(F.col("R") - F.col("cum_R"))).alias("_ends_inside"))
+    linear = terms.select("_k", (F.col("_c") * F.col("_n")).alias("_c"))
+    # only rows of F that hold the end of a row of R can contain one
+    holders = terms.where(F.col("_ends_inside") > 0).select("_k", "_s", "_e", "_n")
+    contained = _containment(holders, own.where(~well).select("_k", "_s", "_e", "_n"))
+    return linear.unionByName(contained).groupBy(F.col("_k").alias(key)).agg(F.sum("_c").alias("concurrent_count")) \
         .where(F.col("concurrent_count") > 0)
 
 
-def _reversed_pairs(base: DataFrame, rev: DataFrame, bin_seconds: int) -> DataFrame:
-    """Rows ``(_k, _c=1)``, one per (a, b) with ``b.end < a.start and b.start > a.end``
-    where a or b is reversed.  A reversed row spans the bins between its end and its
-    start; its partner has a timestamp inside that span, and each pair meets in exactly
-    one bin of the joins below."""
-    one = F.lit(1).cast("bigint")
-    span = rev.select("_k", "_s", "_e", _explode_bins(F.col("_e"), F.col("_s"), bin_seconds).alias("_bin"))
-    # A well-formed f and a reversed r qualify (in either role) iff r.end < f.start and
-    # f.end < r.start: then f.start lies in r's span.  Each hit counts once for f and
-    # once for r.
-    fwd = base.where(F.col("_e") >= F.col("_s")).select(
-        F.col("_k").alias("_fk"), F.col("_s").alias("_fs"), F.col("_e").alias("_fe"),
-        time_bin(F.col("_s"), bin_seconds).alias("_bin"))
-    fr = fwd.join(span.select(F.col("_k").alias("_rk"), F.col("_s").alias("_rs"), F.col("_e").alias("_re"), "_bin"),
-                  "_bin").where((F.col("_re") < F.col("_fs")) & (F.col("_fe") < F.col("_rs")))
-    mixed = fr.select(F.explode(F.array(F.col("_fk"), F.col("_rk"))).alias("_k"))
-    # Two reversed rows a, b: b.end < a.start and b.start > a.end means the spans overlap
-    # from max(a.end, b.end) on; they meet in the bin of that point.
-    a_span = span.select("_k", F.col("_s").alias("_as"), F.col("_e").alias("_ae"), "_bin")
-    a_pt = rev.select("_k", F.col("_s").alias("_as"), F.col("_e").alias("_ae"),
-                      time_bin(F.col("_e"), bin_seconds).alias("_bin"))
-    b_span = span.select(F.col("_s").alias("_bs"), F.col("_e").alias("_be"), "_bin")
-    b_pt = rev.select(F.col("_s").alias("_bs"), F.col("_e").alias("_be"), time_bin(F.col("_e"), bin_seconds).alias("_bin"))
-    hit = (F.col("_be") < F.col("_as")) & (F.col("_bs") > F.col("_ae"))
-    rr1 = a_span.join(b_pt, "_bin").where(hit & (F.col("_be") >= F.col("_ae"))).select("_k")
-    rr2 = a_pt.join(b_span, "_bin").where(hit & (F.col("_be") < F.col("_ae"))).select("_k")
-    return mixed.unionByName(rr1).unionByName(rr2).select("_k", one.alias("_c"))
+def _dyadic_cover(lo: Column, hi: Column) -> Column:
+    """The dyadic intervals (level, index) that together are the whole seconds ``lo``..``hi``: two a level at most."""
+    def at(level: Column) -> Column:
+        width = F.pow(F.lit(2.0), level).cast("bigint")
+        left = -F.floor(-lo / width).cast("bigint")               # first index that starts at or after lo
+        right = F.floor((hi + 1) / width).cast("bigint")          # first index that ends after hi
+        node = lambda i: F.struct(level.alias("level"), i.alias("index"))
+        none = F.array().cast("array<struct<level:int,index:bigint>>")
+        return F.when(left < right, F.concat(
+            F.when(F.pmod(left, F.lit(2)) == 1, F.array(node(left))).otherwise(none),
+            F.when(F.pmod(right, F.lit(2)) == 1, F.array(node(right - 1))).otherwise(none))).otherwise(none)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at))
+
+
+def _containment(holders: DataFrame, reversed_rows: DataFrame) -> DataFrame:
+    """Rows ``(_k, _c)``: per well-formed row the reversed rows inside it, per reversed row the
+    well-formed rows that contain it (``_n`` rows share an entry and weigh accordingly).
+
+    r is inside f if r.end lies in [f.start, f.end] and r.start <= f.end.  The first condition is an
+    equality: f is cut into dyadic intervals and r.end lies in one of each level, so they meet in
+    exactly one.  In each interval the second condition is a running sum over times.
+    """
+    lo, hi = epoch_seconds(F.col("_s")), epoch_seconds(F.col("_e"))
+    f = holders.select("_k", "_n", hi.alias("t"), F.explode(_dyadic_cover(lo, hi)).alias("node")) \
+        .select("_k", "_n", "t", "node.level", "node.index", F.lit(1).alias("holds"))
+    used = f.select("level", "index").distinct()
+    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(
+        k.alias("level"), F.floor(hi / F.pow(F.lit(2.0), k).cast("bigint")).cast("bigint").alias("index")))
+    r = reversed_rows.select("_k", "_n", lo.alias("t"), F.explode(levels).alias("node")) \
+        .select("_k", "_n", "t", "node.level", "node.index", F.lit(0).alias("holds")).join(used, ["level", "index"])
+    both = f.unionByName(r.select(*f.columns))
+    to_here = Window.partitionBy("level", "index").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    from_here = Window.partitionBy("level", "index").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    reverse = F.when(F.col("holds") == 0, F.col("_n")).otherwise(F.lit(0))
+    holding = F.when(F.col("holds") == 1, F.col("_n")).otherwise(F.lit(0))
+    met = F.when(F.col("holds") == 1, F.sum(reverse).over(to_here)).otherwise(F.sum(holding).over(from_here))
+    return both.select("_k", (met * F.col("_n")).alias("_c")).where(F.col("_c") > 0)

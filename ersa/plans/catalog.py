@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ersa.plans import concurrency, counts, erf, oracle, times
 from ersa.schema import FIRE_DEP_COLUMNS
 from ersa.sources import csv_ingest
-from ersa.sources.tables import derived_table, district_extract, fire_dep, table_path, write_once
+from ersa.sources.tables import derived_table, district_extract, fire_dep, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +24,9 @@ def _on_fire_dep(fn, *args, **kw) -> Query:
 def concurrency_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-call concurrency table, written once to the shared folder (like the
     stored procedure's result table) and read by the concurrency reports."""
-    return derived_table(spark, "concurrent_events", sf_dir,
-                         lambda: concurrency.concurrent_events(fire_dep(spark, sf_dir)))
+    folder = derived_table(spark, "concurrent_events", sf_dir,
+                           lambda to: write_table(concurrency.concurrent_events(fire_dep(spark, sf_dir)), to))
+    return spark.read.parquet(folder)
 
 
 def _on_events(fn, *args, **kw) -> Query:
@@ -37,9 +38,19 @@ def _on_events(fn, *args, **kw) -> Query:
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed CSV load of the dispatch table, from a CRLF extract written once from it."""
-    path = table_path(spark, "fire_dep_csv", sf_dir)
-    write_once(spark, path, lambda folder: csv_ingest.write_dispatch_csv(fire_dep(spark, sf_dir), folder))
-    rows, _ = csv_ingest.load_dispatch_csv(spark, path)
+    rows, _ = csv_ingest.load_dispatch_csv(spark, csv_extract(spark, sf_dir))
+    return rows.select(*[f"`{n}`" for n, _, _ in FIRE_DEP_COLUMNS])
+
+
+def csv_extract(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a CRLF extract of the dispatch table, written once."""
+    return derived_table(spark, "csv", sf_dir, lambda to: csv_ingest.write_dispatch_csv(fire_dep(spark, sf_dir), to))
+
+
+def csv_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dispatch table as ``ingest_csv`` stored it from the extract."""
+    folder = derived_table(spark, "ingested", sf_dir, lambda to: csv_ingest.ingest_csv(spark, csv_extract(spark, sf_dir), to))
+    rows, _ = csv_ingest.read_ingested(spark, folder)
     return rows.select(*[f"`{n}`" for n, _, _ in FIRE_DEP_COLUMNS])
 
 
@@ -72,8 +83,10 @@ def queries() -> dict[str, Query]:
         "c4_cohort_stats": _on_events(concurrency.cohort_response_stats),
         "c5_slowest": _on_events(concurrency.slowest_at_fraction),
         "c6_calls_at_level": _on_events(concurrency.calls_at_level, 5),
+        "c6_call_units": _on_fire_dep(concurrency.call_units, "100"),
         "c6_month_calls": _on_fire_dep(concurrency.month_calls, "November"),
         "r23_csv_ingest": csv_roundtrip,
+        "r23_csv_ingested_table": csv_ingested,
         "r25_district_extract": _on_fire_dep(district_extract),
     })
     return q
@@ -88,5 +101,7 @@ def oracle_sql() -> dict[str, str]:
         o[name] = oracle.erf_sql(spec)
     o.update(oracle.CONCURRENCY_SQL)
     o["r23_csv_ingest"] = oracle.with_fixture() + "\nSELECT * FROM fire_dep"
+    o["r23_csv_ingested_table"] = o["r23_csv_ingest"]
+    o["c6_call_units"] = oracle.with_fixture() + "\nSELECT * FROM fire_dep WHERE CallID = '100'"
     o["r25_district_extract"] = oracle.with_fixture() + f"\nSELECT * FROM fire_dep WHERE {oracle.ci_eq('CallGEOFDID', oracle.D)}"
     return o

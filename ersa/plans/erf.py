@@ -10,6 +10,8 @@ Two report generations:
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +23,8 @@ from ersa.functions.scalars import (
     ci_eq, ci_in, col, in_window, leading_number, sec_to_time, seconds_between, unit_prefix,
 )
 from ersa.operators.nth_arrival import first_and_threshold, first_row, threshold_row
-from ersa.schema import ErfSpec, uc
+from ersa.schema import ErfSpec, Window, uc
+from ersa.session import materialize
 
 
 def ordinal(n: int) -> str:
@@ -36,15 +39,31 @@ TIME_ORDER = ["ArriveDateTime", uc("UnitNumber"), "UnitNumber", "ArrivalOrder",
 TEXT_ORDER = ["ArrivalOrder", uc("UnitNumber"), "UnitNumber", "ArriveDateTime", "total_response_time_sec"]
 
 
-def _staffing_frame(spark, staffing_rows):
-    rows = [(p.upper(), int(n)) for p, n in staffing_rows]
-    schema = T.StructType([T.StructField("_prefix", T.StringType(), False),
-                           T.StructField("firefighters_per_unit", T.IntegerType(), False)])
-    # A seed list held on the driver: its size is known, so broadcasting it is safe.
-    return F.broadcast(spark.createDataFrame(rows, schema))
+#: Rows of a staffing table up to which it is broadcast; a larger one is joined by a shuffle.
+BROADCAST_STAFFING_ROWS = 100_000
+Staffing = DataFrame | Iterable[tuple[str, int]]
 
 
-def base_units(fd: DataFrame, spec: ErfSpec, staffing_rows=S.STAFFING_SEED) -> DataFrame:
+def _staffing_frame(spark, staffing: Staffing) -> tuple[DataFrame, bool]:
+    """(_prefix, firefighters_per_unit) of a seed list, or of the first two columns of a table, and
+    whether every unit brings at least one firefighter.  Whole, non-negative numbers are required;
+    prefixes compare case-insensitively, and each may occur once."""
+    if isinstance(staffing, DataFrame):
+        prefix, number = staffing.columns[:2]
+        table = staffing.select(F.upper(col(prefix)).alias("_prefix"), col(number).cast("decimal(20,6)").alias("n"))
+    else:
+        schema = T.StructType([T.StructField("_prefix", T.StringType()), T.StructField("n", T.DecimalType(20, 6))])
+        table = spark.createDataFrame([(p.upper(), Decimal(str(n))) for p, n in staffing], schema)
+    seen = table.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("_prefix").alias("prefixes"), F.min("n").alias("least"),
+                     F.count_if(F.col("n").isNull() | F.col("_prefix").isNull() | (F.col("n") < 0) | (F.col("n") != F.floor("n"))).alias("bad")).first()
+    if seen["bad"] or seen["rows"] != seen["prefixes"]:
+        raise ValueError("a staffing table needs one whole, non-negative number of firefighters for each unit prefix")
+    table = table.select("_prefix", F.col("n").cast("int").alias("firefighters_per_unit"))
+    everyone = seen["least"] is not None and seen["least"] >= 1
+    return (F.broadcast(table) if seen["rows"] <= BROADCAST_STAFFING_ROWS else table), everyone
+
+
+def base_units(fd: DataFrame, spec: ErfSpec, staffing: DataFrame) -> DataFrame:
     """Arrived units of matching calls with their staffing (units without a staffed
     prefix drop out, as with an inner join on the prefix)."""
     w = spec.window
@@ -65,17 +84,19 @@ def base_units(fd: DataFrame, spec: ErfSpec, staffing_rows=S.STAFFING_SEED) -> D
         "DispatchDateTime", "FinalCallType", col("TotalResponseTime(Sec)").alias("total_response_time_sec"),
         F.upper(unit_prefix(F.col("UnitNumber"))).alias("_prefix"),
     )
-    return rows.join(_staffing_frame(fd.sparkSession, staffing_rows), "_prefix").drop("_prefix")
+    return rows.join(staffing, "_prefix").drop("_prefix")
 
 
-def erf_report(fd: DataFrame, spec: ErfSpec, staffing_rows=S.STAFFING_SEED) -> DataFrame:
-    b = base_units(fd, spec, staffing_rows)
+def erf_report(fd: DataFrame, spec: ErfSpec, staffing: Staffing = tuple(S.STAFFING_SEED)) -> DataFrame:
+    """``staffing``: a list of (unit prefix, firefighters), or a table whose first two columns are these."""
+    units, everyone = _staffing_frame(fd.sparkSession, staffing)
+    b = base_units(fd, spec, units)
     nth = ordinal(spec.n)
     weight = "firefighters_per_unit"
     if spec.generation == "v2024":
         order = [F.col(c) for c in TIME_ORDER] + [F.col("DispatchDateTime")]
         first_cols = ["UnitNumber", "ArriveDateTime", "DispatchDateTime", "FinalCallType"]
-        if min(int(w) for _, w in staffing_rows) >= 1:
+        if everyone:
             # Every staffed unit brings a firefighter: one bounded window pass gives both rows.
             j = first_and_threshold(b, "callid", weight, order, spec.n, first_cols, ["UnitNumber", "ArriveDateTime"]) \
                 .select("callid", F.col("first").alias("f"), F.col("nth").alias("t"))
@@ -106,6 +127,7 @@ def erf_report(fd: DataFrame, spec: ErfSpec, staffing_rows=S.STAFFING_SEED) -> D
     else:
         keys = TEXT_ORDER
     text = [F.col(c) for c in keys]
+    b = materialize(b)          # few rows pass the filters; both steps below read them, the table once
     t = threshold_row(b, "callid", weight, text, spec.n, keys, "t")
     cand = b.join(t, "callid").where(
         F.struct(*text) >= F.struct(*[F.col(f"t.{c}") for c in keys])
@@ -128,7 +150,8 @@ def _erf(name, n, types, generation, quadrants=None, negate=False) -> ErfSpec:
         qs = ()
     return ErfSpec(
         name=name, n=n, call_types=tuple(types), generation=generation, quadrants=tuple(qs),
-        quadrants_negate=negate, priorities=tuple(S.PRIORITIES_1_4) if generation == "v2025" else (),
+        quadrants_negate=negate,
+        window=Window(*(S.WINDOW_2024 if generation == "v2024" else S.WINDOW_2025), column="CreateDatetime"), priorities=tuple(S.PRIORITIES_1_4) if generation == "v2025" else (),
         detail=generation == "v2024" and bool(qs),
     )
 

@@ -3,6 +3,7 @@ generations) and response time by priority with a TOTAL row."""
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ersa import schema as S
 from ersa.functions.scalars import (
-    arrived_first, ci_eq, ci_in, ci_rlike, col, in_window, sec_to_time, seconds_between,
+    arrived_first, ci_eq, ci_in, ci_rlike, col, in_window, sec_to_time, seconds_between, window_columns,
 )
 from ersa.operators.trimmed_stats import compact, trimmed_summary
 from ersa.schema import TimeStatSpec, Window, uc
 
 CREATE_WINDOW = Window(column="CreateDatetime")
+CREATE_WINDOW_2025 = Window(*S.WINDOW_2025, column="CreateDatetime")
 
 
 def _all(conds: list[Column]) -> Column:
@@ -59,7 +61,7 @@ def base_filter(spec: TimeStatSpec) -> Column:
 
 
 def _needed_columns(spec: TimeStatSpec) -> list[str]:
-    cols = [spec.window.column, spec.measure, uc("CallGEOFDID"), uc("FDID")]
+    cols = [*window_columns(spec.window.column), spec.measure, uc("CallGEOFDID"), uc("FDID")]
     if spec.priorities:
         cols.append(uc(spec.priority_column))
     if spec.quadrants:
@@ -115,6 +117,10 @@ def _spec(name, measure, out, goal, **kw) -> TimeStatSpec:
     return TimeStatSpec(name=name, measure=measure, out=out, window=CREATE_WINDOW, goal_seconds=goal, **kw)
 
 
+def _spec_2025(*args, **kw) -> TimeStatSpec:
+    return replace(_spec(*args, **kw), window=CREATE_WINDOW_2025)
+
+
 P13, P14 = tuple(S.PRIORITIES_1_3), tuple(S.PRIORITIES_1_4)
 U24, U25 = tuple(S.URBAN_QUADRANTS_2024), tuple(S.URBAN_QUADRANTS_2025)
 
@@ -122,14 +128,14 @@ TIME_SPECS: dict[str, TimeStatSpec] = {
     "r11_call_process_v2024": _spec(
         "r11", "DispatchTime(Sec)", "dispatch_time", 90, floor=1, first_dispatch_row=True,
         priority_column="InitialCallPriority", priorities=("1F", "2F", "3F", "4f")),
-    "r11b_call_process_v2025": _spec(
+    "r11b_call_process_v2025": _spec_2025(
         "r11b", "DispatchTime(Sec)", "dispatch_time", 90, floor=1,
         priority_column="InitialCallPriority", priorities=("1F", "2F", "3F", "4f")),
     "r12_turnout_v2024": _spec(
         "r12", "TurnoutTime(Sec)", "turnout_time", 120, floor=1, geo_district=False,
         priority_column="InitialCallPriority", priorities=P13, units=tuple(S.TURNOUT_UNITS_2024),
         trim_low_floor=True, extra_outputs=("untrimmed_stdev",)),
-    "r12b_turnout_v2025": _spec(
+    "r12b_turnout_v2025": _spec_2025(
         "r12b", "TurnoutTime(Sec)", "turnout_time", 120, floor=1, geo_district=False,
         priority_column="FinalCallPriority", priorities=P14, units=tuple(S.TURNOUT_UNITS_2025)),
     "r13_travel_urban_fire_v2024": _spec(
@@ -137,7 +143,7 @@ TIME_SPECS: dict[str, TimeStatSpec] = {
         call_type_column="FinalCallType", call_types=tuple(S.FIRE_CALL_TYPES),
         priority_column="FinalCallPriority", priorities=P13, row_filter=("CallFilter", "CallRow"),
         trim_low_floor=True, extra_outputs=("stddev_rt",), p90_as_duration=True),
-    "r13b_travel_urban_fire_v2025": _spec(
+    "r13b_travel_urban_fire_v2025": _spec_2025(
         "r13b", "TravelTime(Sec)", "travel_time", 240, floor=1, quadrants=U25,
         unit_regex=S.FIRE_UNIT_RE_URBAN_2025, call_type_column="FinalCallType",
         call_types=tuple(S.FIRE_CALL_TYPES), priority_column="FinalCallPriority", priorities=P14,
@@ -147,7 +153,7 @@ TIME_SPECS: dict[str, TimeStatSpec] = {
         unit_regex=S.FIRE_UNIT_RE_2024, call_type_column="FinalCallType", call_types=tuple(S.FIRE_CALL_TYPES),
         priority_column="FinalCallPriority", priorities=P13, row_filter=("CallFilter", "CallRow"),
         trim_low_floor=True, extra_outputs=("stddev_rt", "mean_rt")),
-    "r14b_travel_suburban_fire_v2025": _spec(
+    "r14b_travel_suburban_fire_v2025": _spec_2025(
         "r14b", "TravelTime(Sec)", "travel_time", 480, floor=5, quadrants=U25, quadrants_negate=True,
         unit_regex=S.FIRE_UNIT_RE_SUBURBAN_2025, call_type_column="FinalCallType",
         call_types=tuple(S.FIRE_CALL_TYPES), priority_column="FinalCallPriority", priorities=P14,
@@ -157,7 +163,7 @@ TIME_SPECS: dict[str, TimeStatSpec] = {
         unit_regex=S.MEDIC_UNIT_RE_2024, row_filter=("IncidentFilter", "IncidentRow"),
         call_type_column="FinalCallType", call_types=tuple(S.ALS_CALL_TYPES_2024),
         trim_low_floor=True, extra_outputs=("original_count",), p90_as_duration=True),
-    "r15b_travel_urban_als_v2025": _spec(
+    "r15b_travel_urban_als_v2025": _spec_2025(
         "r15b", "TravelTime(Sec)", "travel_time", 360, floor=1, quadrants=U25,
         unit_regex=S.MEDIC_UNIT_RE_URBAN_2025, priority_column="FinalCallPriority", priorities=P14,
         row_filter=("IncidentFilter", "IncidentRow"), call_type_column="InitialCallType",
@@ -167,7 +173,7 @@ TIME_SPECS: dict[str, TimeStatSpec] = {
         unit_regex=S.MEDIC_UNIT_RE_2024, row_filter=("IncidentFilter", "IncidentRow"),
         call_type_column="FinalCallType", call_types=tuple(S.ALS_CALL_TYPES_2024),
         trim_low_floor=True, extra_outputs=("original_count",)),
-    "r16b_travel_suburban_als_v2025": _spec(
+    "r16b_travel_suburban_als_v2025": _spec_2025(
         "r16b", "TravelTime(Sec)", "travel_time", 600, floor=5, quadrants=U25, quadrants_negate=True,
         unit_regex=S.MEDIC_UNIT_RE_SUBURBAN_2025, priority_column="FinalCallPriority", priorities=P14,
         call_type_column="InitialCallType", call_types=tuple(S.ALS_CALL_TYPES_2025)),
@@ -215,5 +221,5 @@ def response_by_priority(
         F.round("stddev", 3).alias("stddev_time_seconds"),
         F.col("min_v").alias("min_response_time_seconds"),
         F.col("max_v").alias("max_response_time_seconds"),
-    ).coalesce(1).sortWithinPartitions(  # at most one row per listed priority + TOTAL
+    ).orderBy(  # at most one row per listed priority + TOTAL
         F.when(F.col("FinalCallPriority") == "TOTAL", 2).otherwise(1), "FinalCallPriority")

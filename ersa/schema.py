@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 _S, _I, _TS = T.StringType(), T.IntegerType(), T.TimestampNTZType()
 _DEC = T.DecimalType(10, 6)
 
-# (name, Spark type, max text length or None)
+# Fixed values: (name, Spark type, max text length or None), in file order.
 FIRE_DEP_COLUMNS: list[tuple[str, T.DataType, int | None]] = [
     ("CallID", _S, 30),
     ("UnitNumber", _S, 10),
@@ -101,6 +101,22 @@ def uc(name: str) -> str:
     return f"{name}_uc"
 
 
+# Time columns that reports filter by a window.  Parquet does not apply filters on zone-free
+# timestamps, so stored tables carry whole epoch seconds of each (suffix ``_s``, BIGINT), and the
+# month of the start time, by which the stored table is partitioned.
+WINDOW_COLUMNS = ["CreateDatetime", "StartDatetime"]
+START_MONTH = "StartDatetime_m"
+
+
+def epoch(name: str) -> str:
+    """Name of the stored epoch-second copy of a time column."""
+    return f"{name}_s"
+
+
+# Columns that stored tables carry beside the 51.
+DERIVED_COLUMNS = [uc(c) for c in CI_COLUMNS] + [epoch(c) for c in WINDOW_COLUMNS] + [START_MONTH]
+
+
 # --------------------------------------------------------------------------------------
 # Fixed values that must equal the reference reports' literals.
 # --------------------------------------------------------------------------------------
@@ -162,7 +178,7 @@ PRIORITIES_1_3 = ["1F", "2F", "3F"]
 PRIORITIES_1_4 = ["1F", "2F", "3F", "4F"]
 
 # Report-year windows (closed at both ends, so the next 1 January 00:00:00 is included).
-# The registered queries use WINDOW_2024 for both report generations on the fixture data.
+# Each report generation has its own year.
 WINDOW_2024 = (datetime(2024, 1, 1, 0, 0, 0), datetime(2025, 1, 1, 0, 0, 0))
 WINDOW_2025 = (datetime(2025, 1, 1, 0, 0, 0), datetime(2026, 1, 1, 0, 0, 0))
 

@@ -27,7 +27,9 @@ INITIAL_PRIORITIES = ["1F", "2F", "3F", "4f", "9X"]
 # InitialCallType by c % 12.
 INITIAL_CALL_TYPES = {6: "AIDP", 7: "MED1", 11: "MED1", 8: "MVCE", 9: "AWWX"}
 EPOCH = "2024-01-01 00:00:00"
-SPAN_SECONDS = 380 * 86400
+SPAN_SECONDS = 760 * 86400
+# Starts of the two later years, in seconds after EPOCH (2024 has 366 days).
+YEAR_2025, YEAR_2026 = 366 * 86400, 731 * 86400
 
 
 def _pick(index: Column, values: list[str], default: str | None = None) -> Column:
@@ -54,7 +56,10 @@ def fire_dep_from_lineitem(lineitem: DataFrame) -> DataFrame:
     x = x.select(
         c,
         u,
-        ((c * c * 7919 + c * 104729) % SPAN_SECONDS).alias("st"),
+        # created, or started, exactly at a window's end; crowds of calls within six hours; all others anywhere
+        F.when(c % 211 == 7, YEAR_2025).when(c % 223 == 9, YEAR_2025 - 5).when(c % 227 == 11, YEAR_2026)
+        .when(c % 31 == 1, (c % 5) * 150 * 86400 + c * 37 % 21600)
+        .otherwise((c * c * 7919 + c * 104729) % SPAN_SECONDS).alias("st"),
         F.when(c % 53 == 0, 0).when(c % 97 == 1, 2000 + c % 7).otherwise(10 + (c * 31) % 120).alias("disp"),
         F.when((c + u) % 41 == 0, 0)
         .when((c + u) % 101 == 1, 3000 + u)
@@ -65,7 +70,8 @@ def fire_dep_from_lineitem(lineitem: DataFrame) -> DataFrame:
         .otherwise(60 + (c * 13 + u * 61) % 600)
         .alias("trav"),
         ((c * 5 + u) % 19 == 0).alias("noarr"),
-        ((c * 11 + u) % 211 == 0).alias("noclr"),
+        (((c * 11 + u) % 211 == 0) | (c % 89 == 5)).alias("noclr"),
+        ((c * 13 + u) % 197 == 3).alias("back"),
         ((c * 7 + u * 3) % 17).alias("px"),
     )
     st, disp, turn, trav = F.col("st"), F.col("disp"), F.col("turn"), F.col("trav")
@@ -75,7 +81,8 @@ def fire_dep_from_lineitem(lineitem: DataFrame) -> DataFrame:
     cols = {
         "CallID": c.cast("string"),
         "UnitNumber": F.concat(_pick(F.col("px"), UNIT_PREFIXES), (40 + (c + u) % 4).cast("string")),
-        "ArrivalOrder": F.when(noarr, F.lit("")).otherwise(u.cast("string")),
+        "ArrivalOrder": F.when(noarr, F.lit("")).when((u == 1) & (c % 23 == 4), F.lit("01"))
+        .when((u == 1) & (c % 29 == 5), F.lit("1abc")).otherwise(u.cast("string")),
         "CallGEOFDID": F.when(c % 5 < 3, "31D04").when(c % 5 == 3, "31D01").otherwise(""),
         "FDID": F.when((c + u) % 8 < 4, "31D04")
         .when((c + u) % 8 == 4, "31d04")
@@ -90,7 +97,7 @@ def fire_dep_from_lineitem(lineitem: DataFrame) -> DataFrame:
         "StartDatetime": start_ts,
         "DispatchDateTime": _ts(st + 5 + disp),
         "ArriveDateTime": F.when(~noarr, _ts(st + 5 + disp + turn + trav)),
-        "ClearDateTime": F.when(~noclr, _ts(st + 5 + clear_off)),
+        "ClearDateTime": F.when(~noclr, _ts(st + 5 + F.when(F.col("back"), -600 - c % 3000).otherwise(clear_off))),
         "DispatchTime(Sec)": disp.cast("int"),
         "TurnoutTime(Sec)": turn.cast("int"),
         "TravelTime(Sec)": trav.cast("int"),
@@ -160,12 +167,14 @@ fd_u AS (
 ),
 fd_h AS (
   SELECT c, u,
-    (c*c*7919 + c*104729) % {SPAN_SECONDS} AS st,
+    CASE WHEN c % 211 = 7 THEN {YEAR_2025} WHEN c % 223 = 9 THEN {YEAR_2025} - 5 WHEN c % 227 = 11 THEN {YEAR_2026}
+         WHEN c % 31 = 1 THEN (c % 5)*150*86400 + c*37 % 21600 ELSE (c*c*7919 + c*104729) % {SPAN_SECONDS} END AS st,
     CASE WHEN c % 53 = 0 THEN 0 WHEN c % 97 = 1 THEN 2000 + c % 7 ELSE 10 + (c*31) % 120 END AS disp,
     CASE WHEN (c+u) % 41 = 0 THEN 0 WHEN (c+u) % 101 = 1 THEN 3000 + u ELSE 20 + (c*17 + u*29) % 150 END AS turn,
     CASE WHEN (c+u) % 43 = 0 THEN 0 WHEN (c*3+u) % 103 = 1 THEN 5000 + u ELSE 60 + (c*13 + u*61) % 600 END AS trav,
     (c*5 + u) % 19 = 0 AS noarr,
-    (c*11 + u) % 211 = 0 AS noclr,
+    (c*11 + u) % 211 = 0 OR c % 89 = 5 AS noclr,
+    (c*13 + u) % 197 = 3 AS back,
     (c*7 + u*3) % 17 AS px,
     1200 + (c*37) % 3600 + u*60 AS clr
   FROM fd_u
@@ -174,7 +183,8 @@ fire_dep_core AS (
   SELECT
     CAST(c AS VARCHAR) AS CallID,
     {_case('px', UNIT_PREFIXES)} || CAST(40 + (c+u) % 4 AS VARCHAR) AS UnitNumber,
-    CASE WHEN noarr THEN '' ELSE CAST(u AS VARCHAR) END AS ArrivalOrder,
+    CASE WHEN noarr THEN '' WHEN u = 1 AND c % 23 = 4 THEN '01' WHEN u = 1 AND c % 29 = 5 THEN '1abc'
+         ELSE CAST(u AS VARCHAR) END AS ArrivalOrder,
     CASE WHEN c % 5 < 3 THEN '31D04' WHEN c % 5 = 3 THEN '31D01' ELSE '' END AS CallGEOFDID,
     CASE WHEN (c+u) % 8 < 4 THEN '31D04' WHEN (c+u) % 8 = 4 THEN '31d04' WHEN (c+u) % 8 = 5 THEN ''
          ELSE '31D07' END AS FDID,
@@ -187,7 +197,7 @@ fire_dep_core AS (
     {_duck_ts('st + 5')} AS StartDatetime,
     {_duck_ts('st + 5 + disp')} AS DispatchDateTime,
     CASE WHEN noarr THEN NULL ELSE {_duck_ts('st + 5 + disp + turn + trav')} END AS ArriveDateTime,
-    CASE WHEN noclr THEN NULL ELSE {_duck_ts('st + 5 + clr')} END AS ClearDateTime,
+    CASE WHEN noclr THEN NULL WHEN back THEN {_duck_ts('st + 5 - 600 - c % 3000')} ELSE {_duck_ts('st + 5 + clr')} END AS ClearDateTime,
     CAST(disp AS INTEGER) AS "DispatchTime(Sec)",
     CAST(turn AS INTEGER) AS "TurnoutTime(Sec)",
     CAST(trav AS INTEGER) AS "TravelTime(Sec)",
@@ -206,5 +216,9 @@ fire_dep AS (
 )"""
 
 
+def lineitem_path(sf_dir: str) -> str:
+    return f"{sf_dir.rstrip('/')}/lineitem.parquet"
+
+
 def load_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    return spark.read.parquet(lineitem_path(sf_dir))

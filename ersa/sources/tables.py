@@ -2,124 +2,134 @@
 
 from __future__ import annotations
 
-import os
-import re
+import hashlib
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ersa.schema import CI_COLUMNS, DISTRICT, STAFFING_SEED, TEXT_COLUMNS, uc
+from ersa.functions.scalars import epoch_seconds, year_month
+from ersa.schema import (
+    CI_COLUMNS, DERIVED_COLUMNS, DISTRICT, STAFFING_SEED, START_MONTH, TEXT_COLUMNS, WINDOW_COLUMNS, epoch, uc,
+)
 from ersa.session import shared_dir
-from ersa.sources.fixture import fire_dep_from_lineitem, load_lineitem
+from ersa.sources.fixture import fire_dep_from_lineitem, lineitem_path, load_lineitem
 
-TABLE_VERSION = "v4"
+# Changes with the layout and with the recipe of the derived dispatch table.
+TABLE_VERSION = "v8"
 # Rows per output file when clustering the stored table by time.
 ROWS_PER_FILE = 2_000_000
+# Rows per Parquet page: the unit that a time window skips inside a file.
+ROWS_PER_PAGE = 5_000
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    """Text columns keep '' instead of NULL and gain an upper-cased ``_uc`` copy.
+    """Text columns keep '' instead of NULL; the derived columns are added.
 
     Reports compare codes case-insensitively; comparing the stored ``_uc`` copy against
-    upper-cased literals keeps the predicate a plain column filter (Parquet pushdown).
+    upper-cased literals keeps the predicate a plain column filter (Parquet pushdown).  Time
+    windows filter the epoch-second copies and the start month for the same reason.
     """
     cols = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in TEXT_COLUMNS else F.col(f"`{c}`")
-            for c in df.columns]
-    out = df.select(*cols)
-    return out.select("*", *[F.upper(F.col(c)).alias(uc(c)) for c in CI_COLUMNS])
+            for c in df.columns if c not in DERIVED_COLUMNS]
+    return df.select(*cols).select(
+        "*", *[F.upper(F.col(c)).alias(uc(c)) for c in CI_COLUMNS],
+        *[epoch_seconds(F.col(c)).alias(epoch(c)) for c in WINDOW_COLUMNS],
+        year_month(F.col("StartDatetime")).alias(START_MONTH))
 
 
 def cluster_by_time(df: DataFrame, rows_hint: int | None = None) -> DataFrame:
-    """Range-partition by start time and sort inside files, so every report's time window
-    prunes files and row groups through Parquet min/max statistics.  At least one file per
-    task slot, so a scan is never narrower than the cluster."""
+    """Range-partition by start time and sort inside files, so that file, row-group and page
+    statistics are narrow in time.  At least one file per task slot, so a scan is never narrower
+    than the cluster."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     n = max(slots, (rows_hint or ROWS_PER_FILE) // ROWS_PER_FILE)
     return df.repartitionByRange(n, "StartDatetime", "CallID").sortWithinPartitions("StartDatetime", "CallID")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Replace-table sink (DROP + CREATE / CTAS)."""
-    df.write.mode(mode).parquet(path)
+    """Replace-table sink (DROP + CREATE / CTAS); a table with a start month is partitioned by it."""
+    writer = df.write.mode(mode).option("parquet.page.row.count.limit", ROWS_PER_PAGE)
+    (writer.partitionBy(START_MONTH) if START_MONTH in df.columns else writer).parquet(path)
 
 
-def _slug(text: str) -> str:
-    return re.sub(r"[^A-Za-z0-9]+", "_", os.path.abspath(text)).strip("_")
+# ---- stored tables -------------------------------------------------------------------------
+
+def _fs_path(spark: SparkSession, path: str):
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
+
+
+def source_key(spark: SparkSession, source: str) -> str:
+    """A digest of a source's full address and of its files' names, sizes and modification times:
+    other content, or another place, is another key."""
+    fs, hpath = _fs_path(spark, source)
+    root = fs.makeQualified(hpath)
+    seen = [root.toString()]
+    files = fs.listFiles(root, True)
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join([seen[0], *sorted(seen[1:])]).encode()).hexdigest()[:32]
 
 
 def table_path(spark: SparkSession, name: str, source: str) -> str:
-    return f"{shared_dir(spark)}/ersa_tables/{TABLE_VERSION}/{_slug(source)}/{name}"
+    """Where the versions of a table derived from ``source`` are kept."""
+    return f"{shared_dir(spark)}/ersa_tables/{TABLE_VERSION}/{source_key(spark, source)}/{name}"
 
 
-def _fs_path(spark: SparkSession, path: str):
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The newest published version below ``path``."""
+    fs, hpath = _fs_path(spark, path)
+    if not fs.exists(hpath):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(hpath) if not s.isDirectory()]
+    marks = [n.removesuffix(PUBLISHED) for n in names if n.endswith(PUBLISHED)]
+    return max(marks, default=None)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, hpath = _fs_path(spark, path + "/_SUCCESS")
-    return bool(fs.exists(hpath))
+PUBLISHED = ".published"
 
 
-def write_once(spark: SparkSession, path: str, write) -> None:
-    """Run ``write(folder)`` for ``path`` unless a complete output is already there.
+def stored(spark: SparkSession, path: str, write, refresh: bool = False) -> str:
+    """The folder of the current version of the table kept at ``path``, built by ``write(folder)``
+    if there is none yet, or anew with ``refresh``.
 
-    The output is written to a private folder and then renamed into place, so a reader
-    never sees a half-written table and two concurrent builders cannot interleave files;
-    the loser of a race drops its copy and uses the winner's.
+    A version is complete once its (empty) mark exists beside it; the mark is written last, and
+    nothing is renamed, which holds on object stores too.  Earlier versions stay for their readers.
+    Concurrent builders write versions of their own, and the newest is current.
     """
-    if _exists(spark, path):
-        return
-    tmp = f"{path}.build-{uuid.uuid4().hex}"
-    write(tmp)
-    _publish(spark, tmp, path)
-
-
-def _build_once(spark: SparkSession, path: str, build) -> None:
-    """Parquet table from ``build()`` at ``path``, written once (see ``write_once``)."""
-    write_once(spark, path, lambda folder: write_table(build(), folder))
-
-
-def _publish(spark: SparkSession, tmp: str, path: str) -> None:
-    """Rename a finished build folder into place (see ``_build_once``)."""
-    fs, target = _fs_path(spark, path)
-    _, staged = _fs_path(spark, tmp)
-    if _exists(spark, path):               # another builder finished first
-        fs.delete(staged, True)
-        return
-    if fs.exists(target):                  # an interrupted earlier build without _SUCCESS
-        fs.delete(target, True)
-    fs.mkdirs(target.getParent())
-    if not fs.rename(staged, target):
-        fs.delete(staged, True)
-        if not _exists(spark, path):
-            raise RuntimeError(f"could not publish table at {path}")
-
-
-def fire_dep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    version = None if refresh else current_version(spark, path)
+    if version is None:
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        write(f"{path}/{version}")
+        fs, mark = _fs_path(spark, f"{path}/{version}{PUBLISHED}")
+        fs.create(mark, True).close()
+    return f"{path}/{version}"
+
+
+def fire_dep(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
     """The normalised dispatch table for a test-data folder.
 
-    Built once from ``lineitem`` (see ``ersa.sources.fixture``), clustered by time and
-    stored as Parquet in the shared folder; later calls read the stored table.
+    Built from ``lineitem`` (see ``ersa.sources.fixture``), clustered by time and stored as
+    Parquet in the shared folder; later calls read the stored table while the source is the same.
     """
-    path = table_path(spark, "fire_dep", sf_dir)
-
-    def build() -> DataFrame:
+    def write(folder: str) -> None:
         lineitem = load_lineitem(spark, sf_dir)
-        return cluster_by_time(normalise(fire_dep_from_lineitem(lineitem)), lineitem.count())
+        write_table(cluster_by_time(normalise(fire_dep_from_lineitem(lineitem)), lineitem.count()), folder)
+
+    return spark.read.parquet(stored(spark, table_path(spark, "fire_dep", lineitem_path(sf_dir)), write, refresh))
 
-    _build_once(spark, path, build)
-    return spark.read.parquet(path)
 
+def derived_table(spark: SparkSession, name: str, sf_dir: str, write, refresh: bool = False) -> str:
+    """The folder of a table derived from the dispatch table by ``write(folder)``.
 
-def derived_table(spark: SparkSession, name: str, source: str, build) -> DataFrame:
-    """A table derived from ``source`` by ``build()``, written once to the shared folder
-    and read back on later calls (replace-table semantics on rebuild)."""
-    path = table_path(spark, name, source)
-    _build_once(spark, path, build)
-    return spark.read.parquet(path)
+    It is kept per version of the dispatch table, so a new one is never answered from an old one's."""
+    parent = table_path(spark, "fire_dep", lineitem_path(sf_dir))
+    fire_dep(spark, sf_dir)
+    return stored(spark, f"{parent}-{current_version(spark, parent)}-{name}", write, refresh)
 
 
 def staffing(spark: SparkSession, seed: list[tuple[str, int]] | None = None) -> DataFrame:
@@ -133,7 +143,7 @@ def staffing(spark: SparkSession, seed: list[tuple[str, int]] | None = None) ->
 
 def district_extract(fd: DataFrame, district: str = DISTRICT) -> DataFrame:
     """Every column of the rows whose call lies in ``district`` (``SELECT *``)."""
-    base = [c for c in fd.columns if not c.endswith("_uc")]
+    base = [c for c in fd.columns if c not in DERIVED_COLUMNS]
     return fd.where(F.col(uc("CallGEOFDID")) == district.upper()).select(*[F.col(f"`{c}`") for c in base])
 
 

@@ -80,3 +80,25 @@ def test_numeric_arrival_order_option(spark):
     # Numeric order 2, 3, 4, 10 -> totals 3, 5, 7, 10; earliest arrival among totals >= 7 is L40 (10:07).
     assert (r.unit_delivering_7th_firefighter, r.arrival_number) == ("L40", "10")
     assert r.arrival_time_7th_firefighter == t("10:07:00")
+
+
+def test_staffing_as_a_table(spark):
+    from ersa.plans import erf
+    from ersa.schema import STAFFING_SEED
+    from ersa.sources.tables import fire_dep, staffing
+    import pytest
+    fd, spec = fire_dep(spark, "/root/testdata/sf0.001"), erf.ERF_SPECS["r21_erf_residential_urban_v2024"]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    listed = rows(erf.erf_report(fd, spec))
+    assert listed and rows(erf.erf_report(fd, spec, staffing(spark))) == listed
+    none = [(p, 0) if p == "CH" else (p, n) for p, n in STAFFING_SEED]
+    without = [(p, n) for p, n in none if p != "CH"]
+    generation = erf.ERF_SPECS["r21_erf_residential_urban_v2025"]
+    assert rows(erf.erf_report(fd, spec, staffing(spark, none))) == rows(erf.erf_report(fd, spec, none))
+    with_zero, dropped = (rows(erf.erf_report(fd, generation, s).select("callid")) for s in (none, without))
+    assert with_zero == dropped                         # a unit that brings nobody completes no force
+    empty = spark.createDataFrame([], "unit string, n int")
+    assert erf.erf_report(fd, spec, empty).count() == 0 and erf.erf_report(fd, generation, empty).count() == 0
+    for bad in ([("E", 0.5)], [("E", -1)], [("E", 2), ("e", 3)]):
+        with pytest.raises(ValueError):
+            erf.erf_report(fd, spec, bad)

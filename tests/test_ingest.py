@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 from ersa.schema import FIRE_DEP_COLUMNS
@@ -48,6 +48,7 @@ def test_quality_counts(spark):
     ])
     r = quality_counts(fd).first()
     assert (r.rows, r.arrival_order_lenient_only, r.blank_call_id, r.reversed_intervals) == (3, 1, 1, 1)
+    assert (r.odd_measures, r.odd_times) == (0, 0)
 
 
 def test_one_pass_ingest_to_parquet(spark, tmp_path):
@@ -74,3 +75,51 @@ def test_malformed_lines_are_rejected(spark, tmp_path):
     rows, rejects = load_dispatch_csv(spark, str(path))
     assert [r.CallID for r in rows.collect()] == ["1"]
     assert sorted(r.reject_reason for r in rejects.collect()) == ["malformed line", "malformed line"]
+
+
+def test_partial_dates_fractions_and_integral_decimals(spark, tmp_path):
+    lines = [",".join(NAMES),
+             _line(CallID="1", CreateDatetime="2024-01-02 03:04:05.6", **{"TravelTime(Sec)": "12.0"}),
+             _line(CallID="2", CreateDatetime="2024-12-31 23:59:59.5", **{"TravelTime(Sec)": "-3"}),
+             _line(CallID="3", CreateDatetime="2024"),
+             _line(CallID="4", CreateDatetime="2024-01-02"),
+             _line(CallID="5", CreateDatetime="2024-13-02 00:00:00"),
+             _line(CallID="6", **{"TravelTime(Sec)": "12.5"}),
+             _line(CallID="7", **{"TravelTime(Sec)": "99999999999"})]
+    path = tmp_path / "in.csv"
+    path.write_bytes(("\r\n".join(lines) + "\r\n").encode())
+    rows, rejects = load_dispatch_csv(spark, str(path))
+    got = {r.CallID: (r.CreateDatetime, r["TravelTime(Sec)"]) for r in rows.collect()}
+    assert got == {"1": (datetime(2024, 1, 2, 3, 4, 6), 12), "2": (datetime(2025, 1, 1), -3)}
+    assert {r.CallID: r.reject_reason for r in rejects.collect()} == {
+        "3": "bad CreateDatetime", "4": "bad CreateDatetime", "5": "bad CreateDatetime",
+        "6": "bad TravelTime(Sec)", "7": "bad TravelTime(Sec)"}
+
+
+def test_quoted_line_breaks_load_with_multiline(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    text = ",".join(NAMES) + "\r\n" + _line(CallID="1", Location='"12 Main St\nrear"', UnitNumber="E40") + "\r\n" + _line(CallID="2") + "\r\n"
+    path.write_bytes(text.encode())
+    rows, rejects = load_dispatch_csv(spark, str(path), multiline=True)
+    assert {r.CallID: r.Location for r in rows.collect()} == {"1": "12 Main St\nrear", "2": ""} and rejects.count() == 0
+    rows, rejects = load_dispatch_csv(spark, str(path))
+    assert [r.CallID for r in rows.collect()] == ["2"] and rejects.count() == 2
+
+
+def test_ingested_table_applies_code_and_time_filters_in_the_scan(spark, tmp_path):
+    from ersa.functions.scalars import ci_eq, in_window
+    from ersa.sources.csv_ingest import ingest_csv, read_ingested
+    from ersa.sources.tables import ROWS_PER_PAGE
+    from tests.test_tables import scan_rows
+    lines = [",".join(NAMES)] + [
+        _line(CallID=str(i), FDID="31d04" if i < 50 else "X",
+              StartDatetime=str(datetime(2024, 1, 1) + timedelta(minutes=(i * 7919) % 40_000))) for i in range(40_000)]
+    path = tmp_path / "in.csv"
+    path.write_bytes(("\r\n".join(lines) + "\r\n").encode())
+    ingest_csv(spark, str(path), str(tmp_path / "t"))
+    rows, rejects = read_ingested(spark, str(tmp_path / "t"))
+    assert rejects.count() == 0 and rows.where(ci_eq("FDID", "31D04")).count() == 50
+    day = rows.where(in_window("StartDatetime", datetime(2024, 1, 10), datetime(2024, 1, 11))).select("CallID", "StartDatetime")
+    assert day.count() == 1441 and scan_rows(day) <= 3 * ROWS_PER_PAGE
+    text = rows.where(ci_eq("FDID", "31D04"))._jdf.queryExecution().toString()
+    assert "EqualTo(FDID_uc,31D04)" in text

@@ -77,7 +77,7 @@ def test_row_pairs_match_brute_force_with_reversed_rows(spark, seed, bin_seconds
     # several rows per key, like unit rows of a call
     rows = [(f"c{int(k[1:]) % 40}", s, e) for k, s, e in rows]
     got = {r.k: r.concurrent_count
-           for r in row_overlap_pairs(_df(spark, rows), "k", "s", "e", bin_seconds, bin_seconds).collect()}
+           for r in row_overlap_pairs(_df(spark, rows), "k", "s", "e", bin_seconds).collect()}
     assert got == _brute_pairs(rows)
     default_pairs = {r.k: r.concurrent_count for r in row_overlap_pairs(_df(spark, rows), "k", "s", "e").collect()}
     assert default_pairs == got
@@ -120,3 +120,34 @@ def test_row_pairs_with_reversed_fixture_rows_match_the_literal_join(spark):
     want = dict(con.execute("SELECT a.CallID, COUNT(*) FROM r a JOIN r b ON a.s <= b.e AND a.e >= b.s "
                             "GROUP BY a.CallID").fetchall())
     assert got == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_row_pairs_with_long_and_far_reversals(spark, seed):
+    rnd, year = random.Random(seed), 366 * 86_400
+    rows = [(f"k{i % 40}", s := rnd.randint(0, 500), s + rnd.choice([0, 1, 30, 200, rnd.randint(0, 400)])) for i in range(120)]
+    rows += [(f"k{i % 50}", s := rnd.randint(0, 500), s - rnd.choice([1, 20, 100, year, 54 * year])) for i in range(25)]
+    rows += [("long", -54 * year, 75 * year), ("same", 10, 10), ("back", 75 * year, -54 * year)]
+    got = {r.k: r.concurrent_count for r in row_overlap_pairs(_df(spark, rows), "k", "s", "e").collect()}
+    assert got == _brute_pairs(rows)
+
+
+def test_reversed_rows_make_no_pairs_of_rows(spark):
+    rows = [(f"k{i}", i * 30, i * 30 + 1000) for i in range(3000)] + [(f"r{i}", i * 400, i * 400 - 366 * 86_400) for i in range(40)]
+    df = row_overlap_pairs(_df(spark, rows), "k", "s", "e")
+    assert df.count() == 3000            # no reversed row lies inside a well-formed one
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    most, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    assert most < 60_000                 # two endpoints a row and 41 levels for each reversed one, far from 3000 * 40 pairs

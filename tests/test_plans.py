@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from ersa.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(f"{SF}/lineitem.parquet"), reason="test data not present")
@@ -18,11 +18,11 @@ def final_plan(df) -> str:
 
 
 def plans(spark, prefix):
-    return {n: final_plan(fn(spark, SF)) for n, fn in E.queries().items() if n.startswith(prefix)}
+    return {n: final_plan(fn(spark, SF)) for n, fn in catalog.queries().items() if n.startswith(prefix)}
 
 
 def test_no_cartesian_products(spark):
-    for name, fn in E.queries().items():
+    for name, fn in catalog.queries().items():
         assert "CartesianProduct" not in final_plan(fn(spark, SF)), name
 
 
@@ -42,12 +42,23 @@ def test_erf_limits_each_call_before_the_shuffle(spark):
 
 def test_concurrency_has_no_nested_loop_join(spark):
     for name in ("c1_row_pairs", "c2_calls"):
-        p = final_plan(E.queries()[name](spark, SF))
+        p = final_plan(catalog.queries()[name](spark, SF))
         assert "BroadcastNestedLoopJoin" not in p, name
 
 
-def test_time_window_is_pushed_to_the_scan(spark):
-    df = E.queries()["r13_travel_urban_fire_v2024"](spark, SF)
+def test_time_window_reaches_the_scan(spark):
+    df = catalog.queries()["r13_travel_urban_fire_v2024"](spark, SF)
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     text = df._jdf.queryExecution().explainString(mode)
-    assert "GreaterThanOrEqual(CreateDatetime" in text and "LessThanOrEqual(CreateDatetime" in text
+    assert "GreaterThanOrEqual(CreateDatetime_s" in text and "LessThanOrEqual(CreateDatetime_s" in text
+    df = catalog.queries()["r1_calls_in_district"](spark, SF)
+    text = df._jdf.queryExecution().explainString(mode)
+    assert re.search(r"PartitionFilters: \[.*StartDatetime_m", text)
+
+
+def test_erf_v2025_scans_the_fact_table_once(spark):
+    from ersa.plans import erf
+    from ersa.sources.tables import fire_dep
+    spec = erf.ERF_SPECS["r21_erf_residential_urban_v2025"]
+    p = final_plan(erf.erf_report(fire_dep(spark, SF), spec))
+    assert "Scan parquet" not in p and "Scan ExistingRDD" in p, p      # the base was written once, both steps read it

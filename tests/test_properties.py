@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, assume, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
+from ersa.plans import catalog
 from ersa.operators.trimmed_stats import compact, trimmed_summary
 from ersa.plans import erf, times
 from ersa.plans.concurrency import concurrent_events
@@ -82,7 +82,7 @@ def test_every_well_formed_call_overlaps_itself(spark):
 @needs_data
 def test_trimmed_never_exceeds_original(spark):
     for name in ("r15_travel_urban_als_v2024", "r16_travel_suburban_als_v2024"):
-        for r in E.queries()[name](spark, SF).collect():
+        for r in catalog.queries()[name](spark, SF).collect():
             assert r.trimmed_count <= r.original_count
 
 
@@ -102,6 +102,6 @@ def test_erf_time_is_monotone_in_n(spark):
 
 @needs_data
 def test_response_priority_total_is_its_own_group(spark):
-    rows = {r.FinalCallPriority: r for r in E.queries()["r7_response_by_priority"](spark, SF).collect()}
+    rows = {r.FinalCallPriority: r for r in catalog.queries()["r7_response_by_priority"](spark, SF).collect()}
     assert "TOTAL" in rows
     assert rows["TOTAL"].original_call_count == sum(r.original_call_count for k, r in rows.items() if k != "TOTAL")

@@ -5,7 +5,7 @@ from datetime import datetime
 
 import pytest
 
-import __spark_entry__ as E
+from ersa.plans import catalog
 from ersa.plans import counts, times
 from ersa.schema import TimeStatSpec, Window
 from ersa.sources.tables import fire_dep
@@ -16,18 +16,27 @@ pytestmark = pytest.mark.skipif(not os.path.exists(f"{SF}/lineitem.parquet"), re
 W2024 = Window(start=datetime(2024, 1, 1), end=datetime(2024, 12, 31, 23, 59, 59), column="StartDatetime")
 
 BASE_ROWS = {  # rows entering each time report after its base filter
-    "r11_call_process_v2024": 1946, "r11b_call_process_v2025": 31110,
-    "r12_turnout_v2024": 10867, "r12b_turnout_v2025": 8064,
-    "r13_travel_urban_fire_v2024": 265, "r13b_travel_urban_fire_v2025": 231,
-    "r14_travel_suburban_fire_v2024": 194, "r14b_travel_suburban_fire_v2025": 347,
-    "r15_travel_urban_als_v2024": 89, "r15b_travel_urban_als_v2025": 132,
-    "r16_travel_suburban_als_v2024": 77, "r16b_travel_suburban_als_v2025": 1800,
+    "r11_call_process_v2024": 1001,
+    "r11b_call_process_v2025": 14988,
+    "r12_turnout_v2024": 5596,
+    "r12b_turnout_v2025": 3950,
+    "r13_travel_urban_fire_v2024": 142,
+    "r13b_travel_urban_fire_v2025": 105,
+    "r14_travel_suburban_fire_v2024": 107,
+    "r14b_travel_suburban_fire_v2025": 177,
+    "r15_travel_urban_als_v2024": 46,
+    "r15b_travel_urban_als_v2025": 71,
+    "r16_travel_suburban_als_v2024": 39,
+    "r16b_travel_suburban_als_v2025": 839,
 }
 
 ERF_CALLS = {
-    "r17_erf_brush": (186, 172), "r18_erf_fwi": (163, 150), "r19_erf_commercial_urban": (164, 106),
-    "r20_erf_commercial_suburban": (111, 150), "r21_erf_residential_urban": (199, 140),
-    "r22_erf_residential_suburban": (145, 177),
+    "r17_erf_brush": (93, 81),
+    "r18_erf_fwi": (80, 76),
+    "r19_erf_commercial_urban": (88, 52),
+    "r20_erf_commercial_suburban": (49, 81),
+    "r21_erf_residential_urban": (106, 67),
+    "r22_erf_residential_suburban": (81, 81),
 }
 
 
@@ -37,15 +46,15 @@ def fd(spark):
 
 
 def test_counts(fd):
-    assert counts.calls_in_district(fd, W2024).first()[0] == 2179
-    assert tuple(counts.aid_received(fd, W2024).first()) == (2177, 45_830_232)
-    assert tuple(counts.aid_given(fd, W2024).first()) == (1442, 50_805_706)
-    assert counts.first_arrivals_aid(fd, W2024).first()[0] == 773
+    assert counts.calls_in_district(fd, W2024).first()[0] == 1107
+    assert tuple(counts.aid_received(fd, W2024).first()) == (1106, 23_149_165)
+    assert tuple(counts.aid_given(fd, W2024).first()) == (709, 24_391_339)
+    assert counts.first_arrivals_aid(fd, W2024).first()[0] == 414
 
 
 def test_concurrency_histogram(spark):
-    got = {r.concurrent_count: r.call_count for r in E.queries()["c3_histogram"](spark, SF).collect()}
-    assert got == {1: 1298, 2: 693, 3: 220, 4: 35, 5: 4}
+    got = {r.concurrent_count: r.call_count for r in catalog.queries()["c3_histogram"](spark, SF).collect()}
+    assert got == {0: 21, 1: 1642, 2: 415, 3: 64, 4: 4, 5: 3, 6: 5, 7: 13, 8: 16, 9: 17, 10: 10, 11: 15, 12: 4, 13: 1, 20: 20}
 
 
 def test_turnout_statistics(fd):
@@ -67,5 +76,5 @@ def test_time_report_base_rows(fd, name):
 
 @pytest.mark.parametrize("stem", sorted(ERF_CALLS))
 def test_erf_call_counts(spark, stem):
-    q = E.queries()
+    q = catalog.queries()
     assert (q[f"{stem}_v2024"](spark, SF).count(), q[f"{stem}_v2025"](spark, SF).count()) == ERF_CALLS[stem]

@@ -1,42 +1,113 @@
-import os
+import time
 
-from ersa.sources.tables import _build_once, _exists, cluster_by_time, normalise
-from tests.conftest import make_fire_dep
+from pyspark.sql import functions as F
 
+from ersa.plans import catalog
+from ersa.schema import DERIVED_COLUMNS
+from ersa.sources import tables
+from ersa.sources.tables import cluster_by_time, current_version, normalise, source_key, stored
+from tests.conftest import at, make_fire_dep
 
-def test_build_once_publishes_and_reuses(spark, tmp_path):
-    path = str(tmp_path / "t")
-    calls = []
+LINEITEM = "/root/testdata/sf0.001/lineitem.parquet"
+
+
+def test_stored_table_is_built_once_and_refreshed_on_demand(spark, tmp_path):
+    path, sizes = str(tmp_path / "t"), iter((5, 7))
 
-    def build():
-        calls.append(1)
-        return spark.range(5).toDF("x")
+    def write(folder):
+        spark.range(next(sizes)).write.parquet(folder)
 
-    _build_once(spark, path, build)
-    _build_once(spark, path, build)
-    assert len(calls) == 1 and _exists(spark, path)
-    assert spark.read.parquet(path).count() == 5
-    assert not [p for p in os.listdir(tmp_path) if ".build-" in p]
+    first = stored(spark, path, write)
+    assert stored(spark, path, write) == first and spark.read.parquet(first).count() == 5
+    second = stored(spark, path, write, refresh=True)
+    assert second != first and stored(spark, path, write) == second
+    assert spark.read.parquet(second).count() == 7 and spark.read.parquet(first).count() == 5
 
 
-def test_interrupted_build_is_replaced(spark, tmp_path):
+def test_an_unpublished_version_is_not_read(spark, tmp_path):
     path = tmp_path / "t"
-    path.mkdir()
-    (path / "part-garbage.parquet").write_bytes(b"not parquet")   # no _SUCCESS: incomplete
-    _build_once(spark, str(path), lambda: spark.range(3).toDF("x"))
-    assert spark.read.parquet(str(path)).count() == 3
+    spark.range(2).write.parquet(str(path / "00000000000000000001-dead"))        # complete, but no mark
+    assert current_version(spark, str(path)) is None
+    folder = stored(spark, str(path), lambda to: spark.range(3).write.parquet(to))
+    assert spark.read.parquet(folder).count() == 3
+
+
+def test_source_key_follows_content_and_place(spark, tmp_path):
+    for name in ("b-c", "b_c"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.csv").write_text("1")
+    one, other = (source_key(spark, str(tmp_path / n)) for n in ("b-c", "b_c"))
+    assert one != other and source_key(spark, f"file://{tmp_path}/b-c") == one
+    (tmp_path / "b-c" / "x.csv").write_text("12")
+    assert source_key(spark, str(tmp_path / "b-c")) != one
+
+
+def _write_lineitem(spark, folder, orders):
+    spark.read.parquet(LINEITEM).where(F.col("l_orderkey") < orders).coalesce(1).write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
+
+
+def test_reports_follow_a_changed_source_and_keep_folders_apart(spark, tmp_path):
+    q = catalog.queries()
 
+    def calls(folder):
+        r1 = q["r1_calls_in_district"](spark, folder).first()[0]
+        return r1, q["c3_histogram"](spark, folder).first().total_calls
 
-def test_normalise_keeps_blanks_and_adds_upper_copies(spark):
-    fd = make_fire_dep(spark, [{"CallID": "1", "FDID": "31d04", "Quadrant": None}])
+    a, b = str(tmp_path / "b-c"), str(tmp_path / "b_c")
+    _write_lineitem(spark, a, 400)
+    _write_lineitem(spark, b, 800)
+    small, large = calls(a), calls(b)
+    assert small[0] < large[0] and small[1] < large[1]
+    time.sleep(1.1)
+    _write_lineitem(spark, a, 800)
+    assert calls(a) == large
+
+
+def test_normalise_keeps_blanks_and_adds_derived_columns(spark):
+    fd = make_fire_dep(spark, [{"CallID": "1", "FDID": "31d04", "Quadrant": None, "StartDatetime": at(7)}])
     r = fd.first()
     assert r.Quadrant == "" and r.FDID == "31d04" and r.FDID_uc == "31D04"
-    assert normalise(fd.select(*[c for c in fd.columns if not c.endswith("_uc")])).columns == fd.columns
+    assert r.StartDatetime_s == 1709287207 and r.StartDatetime_m == 202403 and r.CreateDatetime_s is None
+    assert normalise(fd.select(*[c for c in fd.columns if c not in DERIVED_COLUMNS])).columns == fd.columns
+    assert normalise(fd).columns == fd.columns
+
+
+def test_cluster_by_time_writes_disjoint_time_ranges(spark, tmp_path):
+    fd = make_fire_dep(spark, [{"CallID": str(i), "StartDatetime": at((i * 7919) % 1000)} for i in range(1000)])
+    path = str(tmp_path / "t")
+    cluster_by_time(fd, 1000).write.parquet(path)
+    spans = spark.read.parquet(path).groupBy(F.input_file_name()).agg(
+        F.min("StartDatetime_s").alias("lo"), F.max("StartDatetime_s").alias("hi")).orderBy("lo").collect()
+    assert len(spans) >= 2 and all(a.hi <= b.lo for a, b in zip(spans, spans[1:]))
+
 
+def scan_rows(df):
+    """Rows that the scans of the executed plan put out, before any filter of Spark's."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    total, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().startswith("Scan"):
+            total += node.metrics().apply("numOutputRows").value()
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return total
 
-def test_cluster_by_time_has_at_least_one_file_per_slot(spark):
-    fd = make_fire_dep(spark, [{"CallID": str(i)} for i in range(20)])
-    assert cluster_by_time(fd, 20).rdd.getNumPartitions() >= 1
+
+def test_a_time_window_is_applied_by_the_scan(spark, tmp_path):
+    from ersa.functions.scalars import in_window
+    fd = make_fire_dep(spark, [{"CallID": str(i), "StartDatetime": at(i * 60), "CreateDatetime": at(i * 60 - 5)} for i in range(60_000)])
+    path = str(tmp_path / "t")
+    tables.write_table(cluster_by_time(fd, 60_000), path)
+    table = spark.read.parquet(path)
+    for column in ("StartDatetime", "CreateDatetime"):
+        day = table.where(in_window(column, at(86_400 * 20), at(86_400 * 21))).select("CallID", column)
+        assert day.count() in (1440, 1441)
+        assert scan_rows(day) <= 3 * tables.ROWS_PER_PAGE
 
 
 def test_cluster_conf_sizes_shuffles_from_input():
