@@ -198,7 +198,8 @@ def _scan(asked: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     q = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(qblocks)).cast("int"))
     c = classes.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)))) \
         .withColumn("cb", F.pmod(F.col("class"), F.lit(max(1, -(-classes.count() // SCAN_ROWS)))).cast("int"))
-    q = q.join(c.select("qb", "cb").distinct(), "qb")
+    tasks = c.select("qb", F.col("cb").alias("task")).distinct()
+    q = q.join(tasks, "qb").select("id", "v", F.col("qb").alias("left_qb"), F.col("task").alias("left_cb"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -210,5 +211,5 @@ def _scan(asked: DataFrame, classes: DataFrame, k: int) -> DataFrame:
             out += [(i, c, s) for s, c in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score double") \
+    return q.groupBy("left_qb", "left_cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score double") \
         .groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -1,0 +1,119 @@
+"""Tokenising and packing against the libraries and against counting."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from ersa.llm import packing, sentencepiece_codec as S
+from tests.llm.conftest import awkward_rows
+
+spm = pytest.importorskip("sentencepiece")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return spm.SentencePieceProcessor(model_file=S.default_model())
+
+
+def test_codec_equals_the_library(library):
+    codec, rnd = S.Codec(S.default_model()), random.Random(1)
+    alphabet = " \n\tabcdeéß▁☃漢字thehe  1234.,!?()\x00 ÀĀ"
+    for i in range(4000):
+        text = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40)))
+        if i % 3 == 0:
+            text = " " * rnd.randint(0, 60) + text + " " * rnd.randint(0, 40)
+        ids = library.encode(text, add_eos=True)
+        assert codec.encode(text) == ids, repr(text)
+        assert codec.row(text) == (" ".join(map(str, ids)), len(ids), library.decode(ids))
+        some = [rnd.choice([rnd.randrange(32_000), rnd.randrange(260)]) for _ in range(9)]
+        assert codec.decode(some) == library.decode(some)
+
+
+def test_codec_on_documents(spark, awkward, empty, library, monkeypatch):
+    out = S.encode_documents(awkward, columns=("n_tokens", "ids", "decoded"))
+    expected = []
+    for i, t, *_ in awkward_rows():
+        ids = library.encode(t or "", add_eos=True)
+        expected.append((i, len(ids), ids, library.decode(ids)))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(expected, key=repr)
+    back = S.decode_documents(out.select("doc_id", "ids"))
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(((i, d) for i, _, _, d in expected), key=repr)
+    assert S.encode_documents(empty).collect() == []
+
+
+def brute_best_fit(lengths, size):
+    """Number of bins of best-fit decreasing, piece by piece."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - n)
+        else:
+            rooms.append(size - n)
+    return len(rooms), sorted(rooms)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_best_fit_decreasing(seed):
+    rnd = random.Random(seed)
+    size = rnd.choice([10, 64, 100])
+    lengths = [rnd.randint(1, size) if rnd.random() < 0.7 else rnd.randint(1, 5) for _ in range(rnd.choice([1, 30, 400]))]
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    bins = {}
+    for length, a, b, first, per, offset in packing.best_fit_plan(counts, size):
+        for i in range(b - a):
+            bins.setdefault(first + i // per, []).append((offset + i % per * length, length))
+    assert sorted(n for v in bins.values() for _, n in v) == sorted(lengths)
+    rooms = []
+    for placed in bins.values():
+        at = 0
+        for offset, n in sorted(placed):
+            assert offset == at
+            at += n
+        rooms.append(size - at)
+    assert (len(bins), sorted(rooms)) == brute_best_fit(lengths, size)
+
+
+def test_capacity_tree():
+    tree, rnd, is_open = packing.CapacityTree(37), random.Random(2), set()
+    for _ in range(500):
+        c = rnd.randint(0, 37)
+        is_open ^= {c}
+        tree.set(c, c in is_open)
+        need = rnd.randint(0, 37)
+        assert tree.tightest(need) == min((x for x in is_open if x >= need), default=None)
+
+
+def test_ids_are_those_of_the_tokenizers_library():
+    bpe = packing.ByteBpe(packing.default_tokenizer())
+    for text in ["", "a", "<|endoftext|> x", "déjà \U0001f600 ▁", " " * 3000 + "x", "\n" * 50, *[r[1] for r in awkward_rows() if r[1]]]:
+        assert bpe.ids(text).tolist() == bpe.slow_ids(text).tolist()
+
+
+def test_packing(awkward, empty, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 7)
+    out = packing.pack(awkward, seq_len=64).collect()
+    bpe, expected = packing.ByteBpe(packing.default_tokenizer()), []
+    for i, t, *_ in awkward_rows():
+        ids = [*bpe.slow_ids(t or "").tolist(), 2]
+        cut = len(ids) % 64 or 64
+        pieces = [ids[:cut]] + [ids[k:k + 64] for k in range(cut, len(ids), 64)]
+        at = 0
+        for k, p in enumerate(pieces):
+            expected.append((i, k, at, len(p), zlib.crc32(np.array(p, dtype="<u4").tobytes())))
+            at += len(p)
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out), key=repr) == sorted(expected, key=repr)
+    sequences = {}
+    for r in out:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for placed in sequences.values():
+        at = 0
+        for offset, n in sorted(placed):
+            assert offset == at
+            at += n
+        assert at <= 64
+    assert len(sequences) == brute_best_fit([e[3] for e in expected], 64)[0]
+    assert packing.pack(empty).collect() == []
