@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,7 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not root:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            root = tempfile.mkdtemp(prefix="ersa-ckpt-")   # local mode only (tests)
+            root = tempfile.mkdtemp(prefix="ersa-ckpt-")   # local mode only (tests); gone with the process
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
         sc.setCheckpointDir(root)
     return (root or sc.getCheckpointDir()).rstrip("/")
 
