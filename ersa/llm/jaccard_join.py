@@ -39,13 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ersa.llm.common import U64, doc_words, id_text, mix, pair_name, store
+from ersa.llm.common import U64, doc_words, id_text, mix, pair_name, spark_salt, store
 from ersa.llm.components import components
 from ersa.llm.repeats import deal, group_starts, pack, unpack
 
 PIECE_BYTES = 2 << 20
 DIMENSIONS = 64
 LEAF = 512
+#: Points of small keys that one group searches.
+SEARCH_ROWS = 50_000
 #: Documents of one piece under one key from which the key is known to be shared and goes around its bucket.
 HOT_IN_PIECE = 8
 
@@ -166,10 +168,10 @@ def shapes(docs: DataFrame, gram: int) -> DataFrame:
             for ids, texts in _pieces(batch):
                 tokens, begin = token_sets(texts, gram)
                 one, two = set_names(tokens, begin)
-                vectors = np.minimum(count_vectors(tokens, begin), 2**31 - 1).astype("<i4")
+                vectors = encode_counts(count_vectors(tokens, begin))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(np.diff(begin), pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                     pa.array([v.tobytes() for v in vectors], pa.binary())], names=["doc_id", "n", "s1", "s2", "counts"])
+                     pa.array(vectors, pa.binary())], names=["doc_id", "n", "s1", "s2", "counts"])
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, counts binary")
 
 
@@ -253,29 +255,66 @@ def bounded_pairs(left: tuple, right: tuple, percent: int) -> tuple[np.ndarray,
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
 
 
+def encode_counts(vectors: np.ndarray) -> list[bytes]:
+    """Count vectors in the narrowest of 1, 2 or 4 bytes a count that holds them exactly."""
+    most = vectors.max(axis=1, initial=0)
+    one, two, four = vectors.astype("u1"), vectors.astype("<u2"), vectors.astype("<u4")
+    return [(one if m < 1 << 8 else two if m < 1 << 16 else four)[i].tobytes() for i, m in enumerate(most)]
+
+
+def decode_counts(blobs) -> np.ndarray:
+    out = np.zeros((len(blobs), DIMENSIONS), dtype=np.int64)
+    sizes = np.array([len(b) for b in blobs], dtype=np.int64)
+    for width, kind in ((1, "u1"), (2, "<u2"), (4, "<u4")):
+        at = np.flatnonzero(sizes == width * DIMENSIONS)
+        if len(at):
+            out[at] = np.frombuffer(b"".join([blobs[i] for i in at]), dtype=kind).reshape(-1, DIMENSIONS)
+    return out
+
+
 def _points(table: pd.DataFrame) -> tuple:
-    x = np.frombuffer(b"".join(table["counts"]), dtype="<i4").reshape(-1, DIMENSIONS)
-    return table["n"].to_numpy(), x, table["c"].to_numpy()
+    return table["n"].to_numpy(), decode_counts(table["counts"].to_list()), table["c"].to_numpy()
+
+
+def pairs_under_keys(key: np.ndarray, ids: np.ndarray, points: tuple, percent: int, step: int = 200_000) -> np.ndarray:
+    """Distinct id pairs (smaller first) under a common key that the bounds allow, for many small keys at once."""
+    n, x, c = points
+    order = np.lexsort((ids, key))
+    key, ids, n, x, c = key[order], ids[order], n[order], x[order], c[order]
+    starts = group_starts(key)
+    size = np.diff(np.append(starts, len(key)))
+    later = np.repeat(starts + size, size) - np.arange(len(key)) - 1            # rows of the key behind each row
+    found, a = [np.zeros((0, 2), dtype=np.int64)], 0
+    ends = np.cumsum(later)
+    while a < len(key):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, side="right")))
+        i = np.repeat(np.arange(a, b), later[a:b])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
+        ok = (c[i] != c[j]) & (ids[i] != ids[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        ok = np.minimum(x[i], x[j]).sum(axis=1) >= needed(n[i], n[j], percent)
+        found.append(np.unique(np.stack([ids[i][ok], ids[j][ok]], axis=1), axis=0))
+        a = b
+    return np.unique(np.concatenate(found), axis=0)
 
 
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) of documents under a common key, of different components, whose minima allow a link.
 
-    ``members``: key, doc_id, n, counts, c.  Leaves under a key hold about LEAF points, by size; pairs of
-    leaves are formed on their boxes, and a pair of leaves is one group, so no key is one task.
+    ``members``: key, doc_id, n, counts, c.  A key of at most LEAF points is one leaf; many such keys are
+    searched together.  Leaves under a larger key hold about LEAF points, by size; pairs of leaves are
+    formed on their boxes, and a pair of leaves is one group, so no key is one task.
     """
     spread = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo != hi")
-    held = members.join(spread.select("key", "m"), "key")
+    held = store(members.join(spread.select("key", "m"), "key"), "held")
     small = held.where(F.col("m") <= LEAF)
+    groups = max(1, small.count() // SEARCH_ROWS)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        p = _points(group)
-        i, j = bounded_pairs(p, p, percent)
-        ids = group["doc_id"].to_numpy()
-        keep = ids[i] < ids[j]
-        return pd.DataFrame({"a": ids[i][keep], "b": ids[j][keep]})
+        pairs = pairs_under_keys(group["key"].to_numpy(), group["doc_id"].to_numpy(), _points(group), percent)
+        return pd.DataFrame(pairs, columns=["a", "b"])
 
-    pairs = small.groupBy("key").applyInPandas(search, "a long, b long")
+    pairs = small.groupBy(spark_salt("key", n=groups).alias("group")).applyInPandas(search, "a long, b long")
     large = held.where(F.col("m") > LEAF)
     order = Window.partitionBy("key", "salt").orderBy("n", "counts", "doc_id")
     # leaves: the key's points dealt to blocks by size range, each block cut into runs of LEAF points
@@ -287,7 +326,7 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     def box(group: pd.DataFrame) -> pd.DataFrame:
         n, x, _ = _points(group)
         return pd.DataFrame({"key": [int(group["key"].iloc[0])], "salt": [int(group["salt"].iloc[0])], "leaf": [int(group["leaf"].iloc[0])],
-                             "least": [int(n.min())], "most": [int(n.max())], "corner": [x.max(axis=0).astype("<i4").tobytes()]})
+                             "least": [int(n.min())], "most": [int(n.max())], "corner": encode_counts(x.max(axis=0, keepdims=True))})
 
     boxes = leaves.groupBy("key", "salt", "leaf").applyInPandas(box, "key long, salt int, leaf long, least long, most long, corner binary")
     boxes = store(boxes, "boxes")
@@ -298,8 +337,7 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     def allow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            x = np.frombuffer(b"".join(t["corner"]), "<i4").reshape(-1, DIMENSIONS) if len(t) else np.zeros((0, DIMENSIONS))
-            y = np.frombuffer(b"".join(t["l_corner"]), "<i4").reshape(-1, DIMENSIONS) if len(t) else np.zeros((0, DIMENSIONS))
+            x, y = decode_counts(t["corner"].to_list()), decode_counts(t["l_corner"].to_list())
             ok = np.minimum(x, y).sum(axis=1) >= needed(t["least"].to_numpy(), t["l_least"].to_numpy(), percent)
             yield t.loc[ok, ["key", "l_salt", "l_leaf", "salt", "leaf"]]
 
@@ -385,7 +423,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, DIMENSIONS) for c in ("x", "y"))
+            x, y = (decode_counts(batch.column(c).to_pylist()) for c in ("x", "y"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             ok = np.minimum(x, y).sum(axis=1) >= needed(na, nb, percent)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
