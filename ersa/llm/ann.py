@@ -6,19 +6,22 @@ ones: moving one coordinate to the neighbouring cell costs the squared distance
 border, a set of moves costs their sum, and buckets are visited in order of that score, the
 estimated order of success.  Candidates of all tables merge and are reranked by exact distance.
 
-Every row is indexed.  Equal vectors form one class; a class stands for its ``k + 1`` smallest
-ids, which is exact because equal distances go to smaller ids and a query excludes only itself.
-So copies of one vector, however many, are one bucket entry.  The number of hash functions grows
-with the logarithm of the table so that buckets keep their size.  A query that finds fewer than
-``k`` rows falls back to an exact scan in blocks against all rows.
-
-The cell width comes from a bounded sample (WIDTH_SAMPLE vectors, smallest content hashes): the
-median distance from a vector to its nearest neighbours within the sample.
+Every row is indexed.  Rows lie in blocks, each with its own part of the tables; the query set's
+probes visit every block (a stated query set against all rows, in blocks), and a block returns its
+``k`` best of each query, so no bucket, however full, is gathered in one task and no candidate rows
+travel.  Equal vectors form one class; a class stands for its ``k + 1`` smallest ids, which is
+exact because equal distances go to smaller ids and a query excludes only itself.
+
+Width and number of probes are fitted on a bounded sample: the exact neighbours of SAMPLE_QUERIES
+queries (over all rows) and SAMPLE_ROWS rows.  Of the settings tried, the one that visits the
+fewest sample rows among those that reach TARGET_RECALL is taken (else the one with most recall).
+Where vectors hardly differ in distance, as random ones in many dimensions do, that is a large
+part of the rows.  A query that finds fewer than ``k`` rows falls back to an exact scan in blocks.
 
 Edge cases: vectors that are null, empty, all zero, of another length than the most common one,
 or hold null or non-finite components take no part, as queries or as candidates; a table of
 such rows gives an empty result; repeated (id, vector) rows count once; an id with several
-vectors is a candidate with each.
+vectors is a candidate with each, and as a query searches with each.
 """
 
 from __future__ import annotations
@@ -28,14 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ersa.llm.common import store
 
-WIDTH_SAMPLE = 2_000
-SCAN_ROWS = 4_096
+SAMPLE_QUERIES, SAMPLE_ROWS = 64, 2_000
+TARGET_RECALL = 0.96
+WIDTHS = (0.75, 1.0, 1.25, 1.5, 1.75, 2.0, 2.25, 2.5, 3.0, 4.0)
+PROBES = (16, 32, 64, 128)
+#: Rows, and queries, of one block.
+BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_048
 
 
 def usable(vec: Column) -> Column:
@@ -103,31 +109,37 @@ class Tables:
         return out
 
 
-def _vectors(col: pa.Array) -> np.ndarray:
-    flat = col.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(col), -1).astype(np.float64)
-
-
-def _fit_width(classes: DataFrame) -> float:
-    """Median distance to the fifth-nearest neighbour within a bounded sample, times 1.5."""
-    rows = classes.orderBy(F.xxhash64("v"), "v").limit(WIDTH_SAMPLE).select("v").collect()
-    x = np.array([r["v"] for r in rows], dtype=np.float64)
-    if len(x) < 3:
-        return 1.0
-    near = []
-    for i in range(0, len(x), 256):
-        d = ((x[i:i + 256] ** 2).sum(1)[:, None] + (x ** 2).sum(1) - 2 * x[i:i + 256] @ x.T).clip(0) ** 0.5
-        near.append(np.partition(d, min(5, len(x) - 1), axis=1)[:, min(5, len(x) - 1)])
-    return float(np.median(np.concatenate(near)) * 1.5) or 1.0
-
-
-def _squared(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
-                       F.lit(0.0), lambda s, x: s + x)
-
-
-def nearest(table: DataFrame, queries: Column, k: int = 10, tables: int = 8, probes: int = 24, hashes: int | None = None,
-            width: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _fit(asked: DataFrame, classes: DataFrame, dim: int, tables: int, hashes: int, k: int) -> tuple[Tables, int]:
+    """Tables and number of probes (see the module's text)."""
+    picked = store(asked.orderBy(F.xxhash64("v"), "id", "v").limit(SAMPLE_QUERIES), "sample")
+    near = _search(picked, classes, k).join(classes.select("v", F.explode("ids").alias("vec_id")), "vec_id") \
+        .select("query_id", "score", F.col("v").alias("w")).join(picked.select(F.col("id").alias("query_id"), "v"), "query_id")
+    pairs = near.orderBy("query_id", "score").collect()                      # at most SAMPLE_QUERIES * k rows or so
+    if not pairs:
+        return Tables(dim, tables, hashes, 1.0), PROBES[0]
+    rows = np.array([r["v"] for r in classes.orderBy(F.xxhash64("v", F.lit(1)), "v").limit(SAMPLE_ROWS).select("v").collect()], dtype=np.float64)
+    ids = sorted({r["query_id"] for r in pairs})
+    at = {q: i for i, q in enumerate(ids)}
+    vectors = np.array([next(r["v"] for r in pairs if r["query_id"] == q) for q in ids], dtype=np.float64)
+    owner = np.array([at[r["query_id"]] for r in pairs])
+    found = np.array([r["w"] for r in pairs], dtype=np.float64)
+    scale = float(np.median([r["score"] for r in pairs])) or 1.0
+    best = None
+    for width in WIDTHS:
+        lsh = Tables(dim, tables, hashes, width * scale)
+        visits = [lsh.probes(v, PROBES[-1]) for v in vectors]
+        hit, seen = lsh.buckets(found), lsh.buckets(rows)
+        for probes in PROBES:
+            recall = np.mean([any(hit[i, t] in visits[o][t, :probes] for t in range(tables)) for i, o in enumerate(owner)])
+            cost = np.mean([np.any([np.isin(seen[:, t], v[t, :probes]) for t in range(tables)], axis=0).mean() for v in visits])
+            rank = (recall < TARGET_RECALL, cost if recall >= TARGET_RECALL else -recall)
+            if best is None or rank < best[0]:
+                best = (rank, lsh, probes)
+    return best[1], best[2]
+
+
+def nearest(table: DataFrame, queries: Column, k: int = 10, tables: int = 8, hashes: int = 8,
+            id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows found for each query: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
     ``queries``: a condition on the id column's rows (over ``id``); candidates are all other rows.
@@ -136,53 +148,18 @@ def nearest(table: DataFrame, queries: Column, k: int = 10, tables: int = 8, pro
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = dims["d"]
-    rows = rows.where(F.size("v") == dim)
+    rows = rows.where(F.size("v") == dims["d"])
     # one entry per distinct vector, standing for its k + 1 smallest ids; a hot vector is combined map-side in two
     # steps (per salt, then over the salts), so its ids are not gathered in one place
     salted = rows.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids"))
-    classes = store(salted.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-                    .withColumn("class", F.xxhash64("v")), "vectors")
-    n = classes.count()
-    hashes = hashes or max(4, int(np.ceil(np.log2(max(2, n / 64)) * 0.8)))
-    width = width or _fit_width(classes)
+    classes = store(salted.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")), "vectors")
     asked = store(rows.where(queries).distinct(), "queries")
-    lsh = Tables(dim, tables, hashes, width)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _vectors(batch.column(0))
-            names = lsh.buckets(x)
-            pick = np.repeat(np.arange(len(x)), lsh.tables)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(lsh.tables, dtype=np.int32), len(x))), pa.array(names.ravel()),
-                 batch.column(1).take(pa.array(pick))], names=["t", "bucket", "class"])
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _vectors(batch.column(1))
-            ids, ts, names = [], [], []
-            for i, q in enumerate(batch.column(0).to_pylist()):
-                found = lsh.probes(x[i], probes)
-                ids.append(np.full(found.size, q))
-                ts.append(np.repeat(np.arange(lsh.tables, dtype=np.int32), found.shape[1]))
-                names.append(found.ravel())
-            if ids:
-                ids, ts, names = map(np.concatenate, (ids, ts, names))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ts, pa.int32()), pa.array(names, pa.int64())],
-                                             names=["query_id", "t", "bucket"])
-
-    indexed = classes.select("v", "class").mapInArrow(index, "t int, bucket long, class long")
-    probed = asked.select("id", "v").mapInArrow(look, "query_id long, t int, bucket long").distinct()
-    hits = probed.join(indexed, ["t", "bucket"]).select("query_id", "class").distinct().join(classes, "class")
-    scored = (hits.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
-              .select("query_id", F.sqrt(_squared(F.col("qv"), F.col("v"))).alias("score"), F.explode("ids").alias("vec_id"))
-              .where(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
-    best = store(_top(scored, k), "neighbours")
+    lsh, probes = _fit(asked, classes, dims["d"], tables, hashes, k)
+    best = store(_top(_search(asked, classes, k, lsh, probes), k), "neighbours")
     short = store(asked.join(best.where(F.col("rank") == k).select(F.col("query_id").alias("id")).distinct(), "id", "left_anti"), "short")
     if short.isEmpty():
         return best
-    exact = _top(_scan(short, classes, k), k)
+    exact = _top(_search(short, classes, k), k)
     return best.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(exact)
 
 
@@ -192,24 +169,48 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
-def _scan(asked: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """Exact: blocks of queries against every class; each (query block, class block) keeps its k best."""
-    qblocks = max(1, -(-asked.count() // SCAN_ROWS))
-    q = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(qblocks)).cast("int"))
-    c = classes.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)))) \
-        .withColumn("cb", F.pmod(F.col("class"), F.lit(max(1, -(-classes.count() // SCAN_ROWS)))).cast("int"))
-    tasks = c.select("qb", F.col("cb").alias("task")).distinct()
-    q = q.join(tasks, "qb").select("id", "v", F.col("qb").alias("left_qb"), F.col("task").alias("left_cb"))
+def _search(asked: DataFrame, classes: DataFrame, k: int, lsh: Tables | None = None, probes: int = 0) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each block of classes, for each query.
+
+    With ``lsh``, only classes in the buckets that the query's probes visit are looked at; without, all.
+    """
+    qblocks, cblocks = max(1, -(-asked.count() // BLOCK_QUERIES)), max(1, -(-classes.count() // BLOCK_ROWS))
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            yield t.assign(visits=[lsh.probes(np.asarray(v, dtype=np.float64), probes).tobytes() if lsh else b"" for v in t["v"]])
+
+    kind = asked.schema["v"].dataType.simpleString()
+    q = asked.select("id", "v").mapInPandas(visit, f"id long, v {kind}, visits binary") \
+        .withColumn("qb", F.pmod(F.xxhash64("id", "v"), F.lit(qblocks)).cast("int")) \
+        .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cblocks - 1))))
+    c = classes.select("v", "ids", F.pmod(F.xxhash64("v"), F.lit(cblocks)).cast("int").alias("cb")) \
+        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        x = np.stack(right["v"].to_numpy()).astype(np.float64) if len(right) else np.zeros((0, 1))
-        for i, v in zip(left["id"], left["v"]):
-            d = np.sqrt(((x - np.asarray(v, dtype=np.float64)) ** 2).sum(1)) if len(x) else np.zeros(0)
-            near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
-            found = sorted({(d[j], int(c)) for j in near for c in right["ids"].iloc[j] if c != i})[:k]
-            out += [(i, c, s) for s, c in found]
+        out: list[tuple[int, int, float]] = []
+        if len(left) and len(right):
+            x = np.stack(right["v"].to_numpy()).astype(np.float64)
+            ids = right["ids"].to_list()
+            if lsh:
+                names = lsh.buckets(x)
+                order = np.argsort(names, axis=0, kind="stable")
+                names = np.take_along_axis(names, order, axis=0)
+            for i, v, visits in zip(left["id"], left["v"], left["visits"]):
+                at = np.arange(len(x))
+                if lsh:
+                    seen = np.zeros(len(x), dtype=bool)
+                    for t, wanted in enumerate(np.frombuffer(visits, dtype=np.int64).reshape(lsh.tables, -1)):
+                        wanted = np.unique(wanted)
+                        lo, hi = (np.searchsorted(names[:, t], wanted, side=side) for side in ("left", "right"))
+                        for a, b in zip(lo[hi > lo], hi[hi > lo]):
+                            seen[order[a:b, t]] = True
+                    at = np.flatnonzero(seen)
+                d = np.sqrt(((x[at] - np.asarray(v, dtype=np.float64)) ** 2).sum(axis=1))
+                near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
+                scored = sorted({(float(d[j]), int(n)) for j in near for n in ids[at[j]] if n != i})
+                out += [(i, n, s) for s, n in scored[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    return q.groupBy("left_qb", "left_cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score double") \
+    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score double") \
         .groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
