@@ -17,7 +17,8 @@ Documents travel in blocks of about BLOCK_BYTES.  A block sends one message per
 gram in a third of all documents is a message per block, not per document; messages are dealt to
 buckets by hash, each bucket answers the blocks, and blocks apply the answers to their own text.
 
-64-bit names stand for contents; windows are compared by two of them (128 bits).
+64-bit names stand for contents; windows are compared by one and a half of them (96 bits), inside
+one block by two.
 """
 
 from __future__ import annotations
@@ -219,7 +220,7 @@ def deal(block: int, buckets: int, key: np.ndarray, *arrays: np.ndarray) -> list
 
 GRAM = ("<u8", "<u8", "<i8", "u1")              # name, context, smallest doc id, several contexts in the block
 ANSWER = ("<u8", "<i8", "u1")                   # name, smallest doc id with the block's context, look closer (2: hot)
-WINDOW = ("<u8", "<u8", "<i8")                  # two names, smallest doc id
+WINDOW = ("<u8", "<u4", "<i8")                  # two names (96 bits), smallest doc id
 FOUND = ("<u8", "<i8")                          # first name, smallest doc id anywhere
 MESSAGES = "bucket long, block long, data binary"
 
@@ -307,7 +308,12 @@ class Apply:
         self.least = look_up(q.names, name, least, LAST)
         self.closer = np.flatnonzero(look_up(q.names, name, closer, 0))
         self.hot = name[closer == 2]
-        self.starts = q.windows_at(self.closer)
+        self.whole = earlier((q.names, q.contexts), q.docs, q.row[q.sync], q.sync, q.shape.within, self.least)
+        # windows inside a covered context are settled; the first document that has one is not among them and speaks
+        inside = np.bincount(q.lo[self.whole], minlength=len(q.h) + 1) - np.bincount(
+            q.hi[self.whole] - q.shape.window + 1, minlength=len(q.h) + 1)
+        starts = q.windows_at(self.closer)
+        self.starts = starts[np.cumsum(inside)[starts] == 0]
         self.one, self.two = q.window_names(self.starts)
         self.window_docs = q.ids[q.row[self.starts]]
 
@@ -317,19 +323,17 @@ class Apply:
         new = np.ones(len(one), dtype=bool)
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         pick = order[np.flatnonzero(new)]
-        return deal(block, buckets, self.one[pick], self.two[pick], self.window_docs[pick])
+        return deal(block, buckets, self.one[pick], self.two[pick].astype(np.uint32), self.window_docs[pick])
 
     def covered(self, windows: pd.DataFrame) -> np.ndarray:
         """Per symbol, whether a window that starts earlier elsewhere covers it."""
         q, shape = self.q, self.q.shape
-        rows = q.row[q.sync]
-        whole = earlier((q.names, q.contexts), q.docs, rows, q.sync, shape.within, self.least)
         one, least = merged(windows, FOUND)
         single = earlier((self.one, self.two), self.window_docs, q.row[self.starts], self.starts, shape.within,
                          look_up(self.one, one, least, LAST))
         n = len(q.h)
-        edge = np.bincount(np.concatenate([q.lo[whole], self.starts[single]]), minlength=n + 1).astype(np.int64)
-        edge -= np.bincount(np.concatenate([q.hi[whole], self.starts[single] + shape.window]), minlength=n + 1)
+        edge = np.bincount(np.concatenate([q.lo[self.whole], self.starts[single]]), minlength=n + 1).astype(np.int64)
+        edge -= np.bincount(np.concatenate([q.hi[self.whole], self.starts[single] + shape.window]), minlength=n + 1)
         return np.cumsum(edge[:n]) > 0
 
 
