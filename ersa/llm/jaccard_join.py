@@ -44,7 +44,7 @@ from ersa.llm.components import components
 from ersa.llm.repeats import deal, group_starts, pack, unpack
 
 PIECE_BYTES = 2 << 20
-DIMENSIONS = 64
+DIMENSIONS = 128
 LEAF = 512
 #: Points of small keys that one group searches.
 SEARCH_ROWS = 50_000
@@ -301,7 +301,7 @@ def pairs_under_keys(key: np.ndarray, ids: np.ndarray, points: tuple, percent: i
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) of documents under a common key, of different components, whose minima allow a link.
 
-    ``members``: key, doc_id, n, counts, c.  A key of at most LEAF points is one leaf; many such keys are
+    ``members``: key, leader (the key's smallest document), doc_id, n, counts, c.  A key of at most LEAF points is one leaf; many such keys are
     searched together.  Leaves under a larger key hold about LEAF points, by size; pairs of leaves are
     formed on their boxes, and a pair of leaves is one group, so no key is one task.
     """
@@ -314,7 +314,8 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         pairs = pairs_under_keys(group["key"].to_numpy(), group["doc_id"].to_numpy(), _points(group), percent)
         return pd.DataFrame(pairs, columns=["a", "b"])
 
-    pairs = small.groupBy(spark_salt("key", n=groups).alias("group")).applyInPandas(search, "a long, b long")
+    # keys of one leader mostly have the same documents: searched together, their pairs come out once
+    pairs = small.groupBy(spark_salt("leader", n=groups).alias("group")).applyInPandas(search, "a long, b long")
     large = held.where(F.col("m") > LEAF)
     order = Window.partitionBy("key", "salt").orderBy("n", "counts", "doc_id")
     # leaves: the key's points dealt to blocks by size range, each block cut into runs of LEAF points
@@ -400,7 +401,7 @@ def jaccard_components(docs: DataFrame, gram: int = 4, percent: int = 85, id_col
     links = store(verify(_bounded(stars, points, percent), known, gram, percent).select("a", "b"), "links")
     first = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # round two: across components only
-    labelled = members.select("key", "doc_id").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left") \
+    labelled = members.join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left") \
         .withColumn("c", F.coalesce("component", "doc_id")).drop("component").join(points, "doc_id")
     tried = store(cross_pairs(labelled, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
     more = store(verify(tried, known, gram, percent).select("a", "b"), "links")
