@@ -1,7 +1,7 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance along directories.  DataFrames only.
 
 Every line of a file, and the file as a whole, is a unit.  Its vector has a weight tf * idf per word
-(letters and digits, lower case); idf comes from the templates, and a word in none of them weighs
+(letters and digits, lower case, no function words); idf comes from the templates, and a word in none of them weighs
 as much as the rarest.  A unit whose cosine with a template reaches ``threshold`` states its licence.
 A file's licence is its best line's (``header``), or its own as a whole (``file``).  A file that states
 none takes that of the nearest directory above it with a licence file (``inherited``): a file that is
@@ -48,11 +48,17 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 THRESHOLD = 0.75
+#: Function words: they say nothing about a licence and are left out of all vectors.
+STOP = tuple("a an and any are as at be but by can either for from have if in is it may not of on or such that the this to under use which "
+             "with without you your".split())
+#: Words that ordinary texts have too: they become anchors only where a template has too few others.
+COMMON = frozenset("code file following form forms found free general met mit option permitted person program provided public source "
+                   "subject terms version work".split())
 LICENCE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 
 
 def words(text: str) -> list[str]:
-    return [w for w in re.split(WORD, text.lower()) if w]
+    return [w for w in re.split(WORD, text.lower()) if w and w not in STOP]
 
 
 @cache
@@ -71,14 +77,14 @@ def template_weights() -> tuple[list[tuple[int, str, str, float]], dict[str, flo
 
 @cache
 def anchors(threshold: float) -> list[str]:
-    """Words of which a unit needs one to reach the threshold: per template the longest words
-    whose absence leaves a weight below it."""
+    """Words of which a unit needs one to reach the threshold: per template some (the heaviest, common
+    words last) whose absence leaves a weight below it."""
     rows, _, _ = template_weights()
     out: set[str] = set()
     for i in range(len(TEMPLATES)):
         weight = {w: v for t, _, w, v in rows if t == i}
         left = 1.0
-        for w in sorted(weight, key=lambda w: (w not in out, -len(w), w)):
+        for w in sorted(weight, key=lambda w: (w in COMMON or w.isdigit(), w not in out, -weight[w], w)):
             if left < threshold * threshold - 1e-9:
                 break
             out.add(w)
@@ -93,7 +99,7 @@ def _units(files: DataFrame, threshold: float) -> DataFrame:
     lines = near.select("fid", F.posexplode(F.split("text", "\n", -1)).alias("unit", "line")).where(F.col("line").rlike(pattern))
     whole = near.select("fid", F.lit(-1).alias("unit"), F.col("text").alias("line"))
     return lines.unionByName(whole).select("fid", "unit", F.explode(F.split(F.lower("line"), WORD, -1)).alias("word")) \
-        .where("word != ''").groupBy("fid", "unit", "word").agg(F.count("*").alias("tf"))
+        .where((F.col("word") != "") & ~F.col("word").isin(*STOP)).groupBy("fid", "unit", "word").agg(F.count("*").alias("tf"))
 
 
 def unit_scores(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -167,6 +173,7 @@ def scan_sql(threshold: float = THRESHOLD) -> str:
     """The scan of ``document_files`` in DuckDB, without the anchor pattern: every unit against every template."""
     rows, idf, unknown = template_weights()
     weights = ", ".join(f"({t}, '{lic}', '{w}', {v!r}::DOUBLE)" for t, lic, w, v in rows)
+    stop = ", ".join(f"'{w}'" for w in STOP)
     idfs = ", ".join(f"('{w}', {v!r}::DOUBLE)" for w, v in sorted(idf.items()))
     return f"""
 WITH d AS (SELECT doc_id, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'und'), doc_id::VARCHAR) AS path, coalesce(text, '') AS text FROM documents),
@@ -175,7 +182,7 @@ idfs(word, idf) AS (VALUES {idfs}),
 units AS (SELECT doc_id, path, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit, unnest(string_split(text, chr(10))) AS line FROM d
           UNION ALL SELECT doc_id, path, -1, text FROM d),
 tf AS (SELECT doc_id, path, unit, word, count(*) AS tf
-       FROM (SELECT doc_id, path, unit, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS word FROM units) GROUP BY ALL),
+       FROM (SELECT doc_id, path, unit, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS word FROM units) WHERE word NOT IN ({stop}) GROUP BY ALL),
 w AS (SELECT tf.*, tf * coalesce(idf, {unknown!r}::DOUBLE) AS w FROM tf LEFT JOIN idfs USING (word)),
 norms AS (SELECT doc_id, path, unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
 dots AS (SELECT doc_id, path, unit, template, licence, round(sum(w * weight) / any_value(norm), 6) AS score
