@@ -164,6 +164,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in cut.collect()}
 
 
+def test_pipeline_takes_five_words_and_four_fifths(spark):
+    import corpus_pipeline as P
+    from tests.llm.test_jaccard import brute
+
+    long = [[f"v{k}w{i}" for i in range(200)] for k in range(4)]
+    changed = {i: f"new{i}" for i in (20, 60, 100, 140)}
+    texts = [long[0], long[0][:165],                                                                     # 0.821
+             long[1], [changed.get(i, w) for i, w in enumerate(long[1])],                                # 0.815; on four words 0.850
+             long[2], long[2][:160],                                                                     # 0.796
+             long[3], [changed.get(i, w) if i != 140 else w for i, w in enumerate(long[3])]]             # 0.858
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in P.jaccard_stage(spark, df, SF).collect())
+    assert kept == sorted({c for _, c in brute(rows, 5, 80).values()}) == [0, 2, 4, 5, 6]
+
+
 def test_pipeline_on_empty_and_awkward_tables(spark, empty, awkward, tmp_path):
     import corpus_pipeline as P
 
