@@ -150,6 +150,65 @@ def test_anchors_lose_no_unit():
         assert left < L.THRESHOLD ** 2
 
 
+MIT = """MIT License
+
+Copyright (c) 2021 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GNU = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version {1} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_published_texts_and_wrapped_headers(spark):
+    code = "\n".join(f"value_{i} = compute({i})" for i in range(60))
+    hashed = lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n"))
+    starred = "/*\n" + "\n".join(f" * {x}" for x in GNU.format(";", 2).split("\n")) + "\n */\n"
+    files = {"m/LICENSE": (MIT, "MIT", "file"), "m/src/x.py": (code, "MIT", "inherited"), "m/wrapped.py": (f"{hashed(MIT)}\n{code}", "MIT", "header"),
+             "n/readme": (f"{PROSE}\n\n{MIT}\n{PROSE}\n" * 1 + f"{PROSE}\n" * 40, "MIT", "header"),
+             "g/three.py": (f"#!/usr/bin/python\n{hashed(GNU.format(':', 3))}\n{code}", "GPL-3.0", "header"), "g/two.c": (starred + code, "GPL-2.0", "header"),
+             "g/plain.c": (f"/*\n{APACHE}\n*/\n{code}", "Apache-2.0", "header"), "g/none.c": (code, None, "none")}
+    texts = dict(L.texts()[:len(L.TEXT_NAMES)])
+    files |= {f"texts/{n}/COPYING": (f"Copyright (c) 2019 John Doe\n\n{t}", n, "file") for n, t in texts.items()}
+    df = spark.createDataFrame([(i, p, t) for i, (p, (t, _, _)) in enumerate(files.items())], "doc_id long, path string, text string")
+    got = {r.path: (r.licence, r.origin) for r in L.scan(df).collect()}
+    assert got == {p: (n, o) for p, (_, n, o) in files.items()}
+
+
+def test_every_text_holds_a_legal_word():
+    assert all(set(L.LEGAL) & set(L.words(t)) for _, t in L.texts())
+
+
 def test_licence_edges(spark, awkward, empty):
     out = L.scan(L.document_files(awkward)).collect()
     assert len(out) == len(awkward_rows()) and all(r.origin == "none" for r in out)
