@@ -112,11 +112,13 @@ class ByteBpe:
     """Ids of the byte-level BPE in ``path`` (a tokenizers file with its rank file beside it).
 
     The rank file holds the same vocabulary; its encoder gives the same ids several times
-    faster.  A text on which it gives up (huge runs of blanks) is encoded by the other library.
+    faster.  A text on which it gives up (huge runs of blanks), or that holds an added token
+    (<|endoftext|>, which has an id of its own inside texts too), is encoded by the other library.
     """
 
     def __init__(self, path: str):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -126,8 +128,12 @@ class ByteBpe:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f)}
         self.encoding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN,
                                           mergeable_ranks=ranks, special_tokens={})
+        with open(path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
 
     def ids(self, text: str) -> np.ndarray:
+        if any(t in text for t in self.added):
+            return self.slow_ids(text)
         try:
             return self.encoding.encode_to_numpy(text, disallowed_special=())
         except BaseException as e:                      # the encoder's panics are not Exceptions
@@ -140,7 +146,6 @@ class ByteBpe:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self.path)
-            self._slow.encode_special_tokens = True
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 

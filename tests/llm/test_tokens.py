@@ -93,6 +93,20 @@ def test_ids_are_those_of_the_tokenizers_library():
         assert bpe.ids(text).tolist() == bpe.slow_ids(text).tolist()
 
 
+def test_added_tokens_keep_their_id_inside_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    library, bpe = Tokenizer.from_file(path), packing.ByteBpe(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext|", "<|ENDOFTEXT|> déjà", " " * 3000 + "<|endoftext|>", "plain text"]
+    for text in texts:
+        assert bpe.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert bpe.ids(texts[0]).tolist() == [64, 220, 50256, 275]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids_crc32 for r in packing.pack(df, seq_len=4096).collect()}
+    assert got == {i: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for i, t in enumerate(texts)}
+
+
 def test_packing(awkward, empty, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_ROWS", 7)
     out = packing.pack(awkward, seq_len=64).collect()
