@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ersa.llm import ann, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup, suffix_dedup
+from ersa.llm import (ann, jaccard_join, license_scan, line_dedup, merkle_manifest, packing, periodic_runs, quality_classifier, quality_rules,
+                      sentencepiece_codec, sharding, substring_dedup, suffix_dedup)
 from ersa.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +62,27 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table, F.col("id") % 100 == 0, k=10)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.with_planted_runs(documents(spark, sf_dir)))
+    best = F.get("runs", F.col("strongest"))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+                        best["period"].alias("period"), F.expr("1000 * runs[strongest].length div runs[strongest].period").alias("exponent_milli"),
+                        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.document_proofs(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_substring_dedup, op4_jaccard_join, op5_sentencepiece, op6_quality_rules, op7_packing, op8_license_scan, op9_sharding, op10_nearest)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_substring_dedup, op4_jaccard_join, op5_sentencepiece, op6_quality_rules,
+                                    op7_packing, op8_license_scan, op9_sharding, op10_nearest, op11_periodic_runs, op12_line_dedup, op13_merkle_manifest)}
 
 
 _STOCK = "|".join(quality_rules.BOILERPLATE)
@@ -131,4 +151,5 @@ FROM fit WHERE nth = 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL, "op8_license_scan": license_scan.scan_sql(), "op9_sharding": OP9_SQL}
+    return {"op6_quality_rules": OP6_SQL, "op8_license_scan": license_scan.scan_sql(), "op9_sharding": OP9_SQL,
+            "op12_line_dedup": line_dedup.OP12_SQL, "op13_merkle_manifest": merkle_manifest.OP13_SQL}
