@@ -5,13 +5,14 @@ document's counts per group are a point; the overlap of two documents is at most
 coordinate minima of their points, so points (and boxes around points) whose minima are too small
 cannot link.  Surviving pairs are verified on the token sets.
 
-*Routing.*  Points are compared only where a link is possible.  Linked sets differ in few tokens,
-so if a size class deals tokens into more groups than a pair can differ in, some group must be
-equal in both.  The tokens of each group make a key; documents meet under equal keys.  Sizes are
-cut into classes so that linked sizes lie in one or two neighbouring classes, and a document sends
-keys for its own class and the next.  Groups of fewer than two tokens would make common keys; they
-are left out where enough others must agree, and sent where not.  So no link is missed, and a
-passage that a third of all documents share does not bring them together.
+*Routing.*  Points are compared only where a link is possible.  A class holds the pairs whose larger set has a size
+in a certain range; it deals tokens into groups, and two sets that link can differ in d groups at most, where d
+follows from the sizes.  So of any d + 1 groups of a set one agrees in whole with the other set's, and it is enough
+that each sends its d + 1 groups that come first in one order of group contents (most tokens first): the set whose last sent
+group comes earlier finds an agreeing group among what the other has sent.  The contents of these groups are the keys under
+which documents meet.  They are never empty and hold several tokens (a set with too few filled groups, as may happen to a
+few tokens, sends single tokens, its prefix in the order of their hashes).  So no link is missed, documents that
+have nothing in common do not meet, and a passage that a third of all documents share does not bring them together.
 
 *Search.*  The points under a key form leaves of bounded size, ordered by size and coordinates, with
 a box (the coordinate maxima and the smallest size) each: an R-tree of one level under the key.  Pairs
@@ -48,6 +49,12 @@ DIMENSIONS = 128
 LEAF = 512
 #: Points of small keys that one group searches.
 SEARCH_ROWS = 50_000
+#: Pairs whose points are held against each other at once.
+PAIRS_AT_ONCE = 8_000
+#: Leaves of one size range under a key that are cut in one task.
+LEAVES_AT_ONCE = 64
+#: Tokens of the partners that meet one document's set in one row.
+PARTNER_TOKENS = 200_000
 #: Documents of one piece under one key from which the key is known to be shared and goes around its bucket.
 HOT_IN_PIECE = 8
 
@@ -94,20 +101,34 @@ def count_vectors(tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 # ---- keys ----------------------------------------------------------------------------------
 
+#: Classes that a document sends keys for, beside its own: linked sizes n and 100 n / percent lie this many classes apart.
+STEPS = 2
+
+
 @cache
 def size_classes(percent: int, limit: int = 1 << 40) -> np.ndarray:
-    """Upper sizes of the classes: sizes that can link are in one class or in neighbouring ones."""
-    out = [0, 1]
+    """Upper sizes of the classes of larger sets."""
+    ratio, out = (100 / percent) ** (1 / STEPS), [0]
     while out[-1] < limit:
-        out.append(max(out[-1] + 1, out[-1] * 100 // percent))
+        out.append(max(out[-1] + 1, int(out[-1] * ratio)))
     return np.array(out, dtype=np.int64)
 
 
-def class_groups(upper: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that linked sets of at most ``upper`` tokens can differ in, and the number of groups."""
+def class_groups(upper: np.ndarray, percent: int) -> np.ndarray:
+    """Groups that a class deals tokens into: a few more than the tokens that its sets can differ in.
+
+    Fewer groups hold more tokens each, so unrelated documents with a passage in common rarely have a group without
+    tokens of their own; with more groups, those that are sent could be chosen better."""
     differ = 2 * upper * (100 - percent) // (100 + percent)
-    groups = differ + 1 + np.where(differ > 0, upper * 6 // 100 + 2, 0)
-    return differ, groups
+    return differ + differ * 15 // 100 + 2
+
+
+def _first_of(doc: np.ndarray, order: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of ``order`` (sorted by document), the first ``most[d]`` entries of each document d."""
+    sorted_doc = doc[order]
+    starts = group_starts(sorted_doc)
+    nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[nth < most[sorted_doc]]
 
 
 def group_keys(tokens: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,35 +136,44 @@ def group_keys(tokens: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.
     size = np.diff(begin)
     uppers = size_classes(percent)
     own = np.searchsorted(uppers, size)
+    most = size * 100 // percent                       # the largest set that can link
     doc_of = np.repeat(np.arange(len(size)), size)
     where, value = mix(tokens + U64(1234567)), mix(tokens + U64(7654321))
     keys, docs = [], []
-    for shift in (0, 1):
-        upper = uppers[own + shift]
-        differ, groups = class_groups(upper, percent)
-        offset = np.concatenate(([0], np.cumsum(groups)))
-        slot = offset[:-1][doc_of] + (where % groups[doc_of].astype(np.uint64)).astype(np.int64)
+    shift = 0
+    while True:
+        sends = (size > 0) & (uppers[np.maximum(own + shift - 1, 0)] < most) | ((shift == 0) & (size > 0))
+        if not sends.any():
+            break
+        upper = np.where(sends, uppers[own + shift], 1)
+        # tokens that the set and one that it may link with in this class can differ in; none: only equal sets link
+        differ = (size + np.minimum(upper, most)) * (100 - percent) // (100 + percent)
+        sends &= differ > 0
+        groups = class_groups(upper, percent)
+        take = np.flatnonzero(sends[doc_of])
+        d = doc_of[take]
+        offset = np.concatenate(([0], np.cumsum(np.where(sends, groups, 0))))
+        slot = offset[:-1][d] + (where[take] % groups[d].astype(np.uint64)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         starts = group_starts(slot[order])
         used = slot[order][starts]
         count = np.diff(np.append(starts, len(slot)))
-        total = np.add.reduceat(value[order], starts) if len(starts) else np.zeros(0, dtype=np.uint64)
+        total = np.add.reduceat(value[take][order], starts) if len(starts) else np.zeros(0, dtype=np.uint64)
         doc = np.searchsorted(offset, used, side="right") - 1
-        # a pair agrees in at least groups - differ groups; if fewer than that are small, one of them is not small
-        large = np.bincount(doc[count >= 2], minlength=len(size))
-        must = (groups - large >= groups - differ) & (size > 0)
-        keep = (count >= 2) | must[doc]
-        group = used - offset[doc]
-        salt = (own[doc] + shift).astype(np.uint64) * U64(1 << 40) + group.astype(np.uint64)
-        keys.append(pair_name(total[keep] + count[keep].astype(np.uint64), salt[keep]))
-        docs.append(doc[keep])
-        for d in np.flatnonzero(must):               # its empty groups may be all that it shares
-            have = set(group[doc == d].tolist())
-            empty = np.array([g for g in range(int(groups[d])) if g not in have], dtype=np.uint64)
-            if len(empty):
-                keys.append(pair_name(np.zeros(len(empty), dtype=np.uint64), U64(own[d] + shift) * U64(1 << 40) + empty))
-                docs.append(np.full(len(empty), d))
-    return np.concatenate(keys), np.concatenate(docs)
+        salt = (own[doc] + shift).astype(np.uint64) * U64(1 << 40) + (used - offset[doc]).astype(np.uint64)
+        name = pair_name(total + count.astype(np.uint64), salt)
+        pick = _first_of(doc, np.lexsort((name, -count, doc)), differ + 1)
+        keys.append(name[pick])
+        docs.append(doc[pick])
+        # too few filled groups: sets of this kind meet under a token that both have in their prefix
+        few = sends & (np.bincount(doc, minlength=len(size)) <= differ)
+        if few.any():
+            t = take[few[d]]
+            pick = _first_of(doc_of, t[np.lexsort((where[t], doc_of[t]))], size - -(-size * percent // 100) + 1)
+            keys.append(pair_name(where[pick], (own[doc_of[pick]] + shift).astype(np.uint64) + U64(1 << 62)))
+            docs.append(doc_of[pick])
+        shift += 1
+    return (np.concatenate(keys), np.concatenate(docs)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
@@ -249,12 +279,15 @@ def bounded_pairs(left: tuple, right: tuple, percent: int) -> tuple[np.ndarray,
     for i in range(len(n)):
         ok = np.flatnonzero((d != c[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])))
         if len(ok):
-            ok = ok[np.minimum(y[ok], x[i]).sum(axis=1) >= needed(n[i], m[ok], percent)]
+            ok = ok[overlap_bound(y[ok], x[i]) >= needed(n[i], m[ok], percent)]
             out_i.append(np.full(len(ok), i))
             out_j.append(ok)
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
 
 
+_WIDTHS = {1: "u1", 2: "<u2", 4: "<u4"}
+
+
 def encode_counts(vectors: np.ndarray) -> list[bytes]:
     """Count vectors in the narrowest of 1, 2 or 4 bytes a count that holds them exactly."""
     most = vectors.max(axis=1, initial=0)
@@ -263,20 +296,26 @@ def encode_counts(vectors: np.ndarray) -> list[bytes]:
 
 
 def decode_counts(blobs) -> np.ndarray:
-    out = np.zeros((len(blobs), DIMENSIONS), dtype=np.int64)
-    sizes = np.array([len(b) for b in blobs], dtype=np.int64)
-    for width, kind in ((1, "u1"), (2, "<u2"), (4, "<u4")):
-        at = np.flatnonzero(sizes == width * DIMENSIONS)
+    """The vectors, in the narrowest type that holds them all."""
+    sizes = np.array([len(b) // DIMENSIONS for b in blobs], dtype=np.int64)
+    out = np.zeros((len(blobs), DIMENSIONS), dtype=_WIDTHS.get(int(sizes.max(initial=1)), "<u4"))
+    for width, kind in _WIDTHS.items():
+        at = np.flatnonzero(sizes == width)
         if len(at):
             out[at] = np.frombuffer(b"".join([blobs[i] for i in at]), dtype=kind).reshape(-1, DIMENSIONS)
     return out
 
 
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima of points, row by row."""
+    return np.minimum(x, y).sum(axis=1, dtype=np.int64)
+
+
 def _points(table: pd.DataFrame) -> tuple:
     return table["n"].to_numpy(), decode_counts(table["counts"].to_list()), table["c"].to_numpy()
 
 
-def pairs_under_keys(key: np.ndarray, ids: np.ndarray, points: tuple, percent: int, step: int = 200_000) -> np.ndarray:
+def pairs_under_keys(key: np.ndarray, ids: np.ndarray, points: tuple, percent: int, step: int = PAIRS_AT_ONCE) -> np.ndarray:
     """Distinct id pairs (smaller first) under a common key that the bounds allow, for many small keys at once."""
     n, x, c = points
     order = np.lexsort((ids, key))
@@ -292,8 +331,9 @@ def pairs_under_keys(key: np.ndarray, ids: np.ndarray, points: tuple, percent: i
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
         ok = (c[i] != c[j]) & (ids[i] != ids[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         i, j = i[ok], j[ok]
-        ok = np.minimum(x[i], x[j]).sum(axis=1) >= needed(n[i], n[j], percent)
-        found.append(np.unique(np.stack([ids[i][ok], ids[j][ok]], axis=1), axis=0))
+        ok = overlap_bound(x[i], x[j]) >= needed(n[i], n[j], percent)
+        if ok.any():
+            found.append(np.unique(np.stack([ids[i][ok], ids[j][ok]], axis=1), axis=0))
         a = b
     return np.unique(np.concatenate(found), axis=0)
 
@@ -317,10 +357,14 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     # keys of one leader mostly have the same documents: searched together, their pairs come out once
     pairs = small.groupBy(spark_salt("leader", n=groups).alias("group")).applyInPandas(search, "a long, b long")
     large = held.where(F.col("m") > LEAF)
-    order = Window.partitionBy("key", "salt").orderBy("n", "counts", "doc_id")
-    # leaves: the key's points dealt to blocks by size range, each block cut into runs of LEAF points
-    cut = large.withColumn("salt", F.floor(F.log2(F.col("n")) * 8).cast("int"))
-    leaves = store(cut.withColumn("leaf", F.floor((F.row_number().over(order) - 1) / LEAF)), "leaves")
+    # leaves: the key's points dealt to blocks by size range, and within a range that many share by id; each block cut into
+    # runs of LEAF points
+    ranged = large.withColumn("salt", F.floor(F.log2(F.col("n")) * 8).cast("int"))
+    blocks = ranged.groupBy("key", "salt").agg(F.ceil(F.count("*") / (LEAF * LEAVES_AT_ONCE)).alias("blocks"))
+    cut = ranged.join(blocks, ["key", "salt"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    order = Window.partitionBy("key", "salt", "block").orderBy("n", "counts", "doc_id")
+    within = F.floor((F.row_number().over(order) - 1) / LEAF)
+    leaves = store(cut.withColumn("leaf", F.col("block") * (1 << 32) + within).drop("block", "blocks"), "leaves")
     if leaves.isEmpty():
         return pairs.distinct()
 
@@ -339,7 +383,7 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     def allow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             x, y = decode_counts(t["corner"].to_list()), decode_counts(t["l_corner"].to_list())
-            ok = np.minimum(x, y).sum(axis=1) >= needed(t["least"].to_numpy(), t["l_least"].to_numpy(), percent)
+            ok = overlap_bound(x, y) >= needed(t["least"].to_numpy(), t["l_least"].to_numpy(), percent)
             yield t.loc[ok, ["key", "l_salt", "l_leaf", "salt", "leaf"]]
 
     pairs_of = near.mapInPandas(allow, "key long, l_salt int, l_leaf long, salt int, leaf long") \
@@ -374,9 +418,14 @@ def verify(pairs: DataFrame, docs: DataFrame, gram: int, percent: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), sets], names=["doc_id", "tokens"])
 
     sets = store(docs.join(asked, "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, tokens array<long>"), "sets")
-    both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b"))
-    counted = both.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("o"))
+    # a document's set goes once to each row of partners, however many partners it has
+    partners = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
+    rows = partners.groupBy("a").agg(F.ceil((F.sum(F.size("y")) + F.count("*")) / PARTNER_TOKENS).alias("rows"))
+    dealt = partners.join(rows, "a").groupBy("a", F.pmod(F.xxhash64("b"), F.col("rows")).alias("row")) \
+        .agg(F.collect_list(F.struct("b", "y")).alias("partners"))
+    one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
+    overlap = F.transform("partners", lambda p: F.struct(p["b"].alias("b"), F.size(p["y"]).alias("nb"), F.size(F.array_intersect(F.col("x"), p["y"])).alias("o")))
+    counted = dealt.join(one, "a").select("a", F.size("x").alias("na"), F.explode(overlap).alias("p")).select("a", "p.b", "na", "p.nb", "p.o")
     return counted.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o")))
 
 
@@ -426,7 +475,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             x, y = (decode_counts(batch.column(c).to_pylist()) for c in ("x", "y"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            ok = np.minimum(x, y).sum(axis=1) >= needed(na, nb, percent)
+            ok = overlap_bound(x, y) >= needed(na, nb, percent)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     return near.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long").distinct()

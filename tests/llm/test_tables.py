@@ -156,7 +156,7 @@ def test_pipeline_stages(spark, tmp_path):
     kept = {r.doc_id for r in queries.quality_rules.quality(docs).where("kept").collect()}
     assert {r.doc_id for r in rules.collect()} == kept
     assert {r.doc_id for r in scored.collect()} <= kept
-    groups = brute([(r.doc_id, r.text) for r in scored.collect()])
+    groups = brute([(r.doc_id, r.text) for r in scored.collect()], 5, 80)
     assert sorted(r.doc_id for r in near.collect()) == sorted({c for _, c in groups.values()} if groups else [])
     words = brute_words([(r.doc_id, r.text) for r in near.collect()])
     import hashlib
