@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ersa.functions.scalars import epoch_seconds
+from ersa.operators.dominance import dominance_counts
+from ersa.session import materialize
 
 DEFAULT_BIN_SECONDS = 3600
 
@@ -93,10 +95,6 @@ def call_concurrency(calls: DataFrame, key: str = "CallID", start: str = "start"
     return terms.groupBy(F.col("_k").alias(key)).agg(F.sum("_c").cast("bigint").alias("concurrent_count"))
 
 
-# Levels of the dyadic intervals that cover epoch seconds: 2^41 s is 70,000 years.
-LEVELS = 41
-
-
 def row_overlap_pairs(rows: DataFrame, key: str = "CallID", start: str = "start", end: str = "end",
                       bin_seconds: int = DEFAULT_BIN_SECONDS) -> DataFrame:
     """Per key, the number of (own row, any row) pairs with ``a.start <= b.end`` and
@@ -108,70 +106,37 @@ def row_overlap_pairs(rows: DataFrame, key: str = "CallID", start: str = "start"
     * count(f) = #{F starts <= f.end} - #{F ends < f.start} + #{R inside f}
     * count(r) = #{F that contain r}
 
-    The first two terms are prefix counts.  The containment counts are running sums too: see
-    ``_containment``.  No term builds pairs of rows.
+    The first two terms are prefix counts.  Containment counts dominated points: see
+    ``dominance``.  No term builds pairs of rows, and all are taken once per distinct interval.
     """
     s, e = F.col(start), F.col(end)
     base = rows.where(s.isNotNull() & e.isNotNull()).select(F.col(key).alias("_k"), s.alias("_s"), e.alias("_e"))
+    own = materialize(base.groupBy("_k", "_s", "_e").agg(F.count(F.lit(1)).alias("_n")))
+    intervals = own.groupBy("_s", "_e").agg(F.sum("_n").alias("_n"))
     well = F.col("_e") >= F.col("_s")
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    formed = F.when(well, one).otherwise(zero)
-    ev = base.select(F.explode(F.array(
+    zero = F.lit(0).cast("bigint")
+    formed = F.when(well, F.col("_n")).otherwise(zero)
+    ev = intervals.select(F.explode(F.array(
         F.struct(F.col("_s").alias("t"), formed.alias("S"), zero.alias("E"), zero.alias("R")),
-        F.struct(F.col("_e").alias("t"), zero.alias("S"), formed.alias("E"), (one - formed).alias("R")),
+        F.struct(F.col("_e").alias("t"), zero.alias("S"), formed.alias("E"), (F.col("_n") - formed).alias("R")),
     )).alias("x")).select("x.*")
     pc = prefix_counts(ev, ["S", "E", "R"], bin_seconds)
-    # rows of one key with the same interval are one query row with a weight
-    own = base.groupBy("_k", "_s", "_e").agg(F.count(one).alias("_n"))
-    queries = own.where(well).select("_k", "_s", "_e", "_n", F.explode(F.array(
+    queries = intervals.where(well).select("_s", "_e", "_n", F.explode(F.array(
         F.struct(F.col("_e").alias("_t"), F.lit(0).alias("_role")),     # + starts <= a.end
         F.struct(F.col("_s").alias("_t"), F.lit(1).alias("_role")),     # - ends   <  a.start
-    )).alias("q")).select("_k", "_s", "_e", "_n", "q.*")
-    terms = _terms_at(queries, pc).groupBy("_k", "_s", "_e", "_n").agg(
+    )).alias("q")).select("_s", "_e", "_n", "q.*")
+    terms = materialize(_terms_at(queries, pc).groupBy("_s", "_e", "_n").agg(
         F.sum(F.when(F.col("_role") == 0, F.col("cum_S")).otherwise(F.col("E") - F.col("cum_E"))).alias("_c"),
-        F.sum(F.when(F.col("_role") == 0, F.col("cum_R")).otherwise(F.col("R") - F.col("cum_R"))).alias("_ends_inside"))
-    linear = terms.select("_k", (F.col("_c") * F.col("_n")).alias("_c"))
+        F.sum(F.when(F.col("_role") == 0, F.col("cum_R")).otherwise(F.col("R") - F.col("cum_R"))).alias("_ends_inside")))
     # only rows of F that hold the end of a row of R can contain one
-    holders = terms.where(F.col("_ends_inside") > 0).select("_k", "_s", "_e", "_n")
-    contained = _containment(holders, own.where(~well).select("_k", "_s", "_e", "_n"))
-    return linear.unionByName(contained).groupBy(F.col("_k").alias(key)).agg(F.sum("_c").alias("concurrent_count")) \
-        .where(F.col("concurrent_count") > 0)
-
-
-def _dyadic_cover(lo: Column, hi: Column) -> Column:
-    """The dyadic intervals (level, index) that together are the whole seconds ``lo``..``hi``: two a level at most."""
-    def at(level: Column) -> Column:
-        width = F.pow(F.lit(2.0), level).cast("bigint")
-        left = -F.floor(-lo / width).cast("bigint")               # first index that starts at or after lo
-        right = F.floor((hi + 1) / width).cast("bigint")          # first index that ends after hi
-        node = lambda i: F.struct(level.alias("level"), i.alias("index"))
-        none = F.array().cast("array<struct<level:int,index:bigint>>")
-        return F.when(left < right, F.concat(
-            F.when(F.pmod(left, F.lit(2)) == 1, F.array(node(left))).otherwise(none),
-            F.when(F.pmod(right, F.lit(2)) == 1, F.array(node(right - 1))).otherwise(none))).otherwise(none)
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at))
-
-
-def _containment(holders: DataFrame, reversed_rows: DataFrame) -> DataFrame:
-    """Rows ``(_k, _c)``: per well-formed row the reversed rows inside it, per reversed row the
-    well-formed rows that contain it (``_n`` rows share an entry and weigh accordingly).
-
-    r is inside f if r.end lies in [f.start, f.end] and r.start <= f.end.  The first condition is an
-    equality: f is cut into dyadic intervals and r.end lies in one of each level, so they meet in
-    exactly one.  In each interval the second condition is a running sum over times.
-    """
-    lo, hi = epoch_seconds(F.col("_s")), epoch_seconds(F.col("_e"))
-    f = holders.select("_k", "_n", hi.alias("t"), F.explode(_dyadic_cover(lo, hi)).alias("node")) \
-        .select("_k", "_n", "t", "node.level", "node.index", F.lit(1).alias("holds"))
-    used = f.select("level", "index").distinct()
-    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(
-        k.alias("level"), F.floor(hi / F.pow(F.lit(2.0), k).cast("bigint")).cast("bigint").alias("index")))
-    r = reversed_rows.select("_k", "_n", lo.alias("t"), F.explode(levels).alias("node")) \
-        .select("_k", "_n", "t", "node.level", "node.index", F.lit(0).alias("holds")).join(used, ["level", "index"])
-    both = f.unionByName(r.select(*f.columns))
-    to_here = Window.partitionBy("level", "index").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    from_here = Window.partitionBy("level", "index").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    reverse = F.when(F.col("holds") == 0, F.col("_n")).otherwise(F.lit(0))
-    holding = F.when(F.col("holds") == 1, F.col("_n")).otherwise(F.lit(0))
-    met = F.when(F.col("holds") == 1, F.sum(reverse).over(to_here)).otherwise(F.sum(holding).over(from_here))
-    return both.select("_k", (met * F.col("_n")).alias("_c")).where(F.col("_c") > 0)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    lo, hi = (F.timestamp_diff("MICROSECOND", epoch, F.col(c)) for c in ("_s", "_e"))
+    holders = terms.where(F.col("_ends_inside") > 0).select(lo.alias("x"), hi.alias("y"), F.lit(True).alias("lower"), F.col("_n").alias("w"))
+    inside = intervals.where(~well).select(hi.alias("x"), lo.alias("y"), F.lit(False).alias("lower"), F.col("_n").alias("w"))
+    met = dominance_counts(holders.unionByName(inside))
+    time = lambda c: F.timestamp_add("MICROSECOND", c, epoch)
+    contained = met.select(time(F.when(F.col("lower"), F.col("x")).otherwise(F.col("y"))).alias("_s"),
+                           time(F.when(F.col("lower"), F.col("y")).otherwise(F.col("x"))).alias("_e"), F.col("c").alias("_c"))
+    counts = terms.select("_s", "_e", "_c").unionByName(contained).groupBy("_s", "_e").agg(F.sum("_c").alias("_c"))
+    return own.join(counts, ["_s", "_e"]).groupBy(F.col("_k").alias(key)) \
+        .agg(F.sum(F.col("_c") * F.col("_n")).alias("concurrent_count")).where(F.col("concurrent_count") > 0)

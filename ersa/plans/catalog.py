@@ -78,6 +78,7 @@ def queries() -> dict[str, Query]:
         q[name] = _on_fire_dep(erf.erf_report, spec)
     q.update({
         "c1_row_pairs": _on_fire_dep(concurrency.row_pair_concurrency),
+        "c1_call_pairs": _on_fire_dep(concurrency.call_pairs),
         "c2_calls": _on_fire_dep(concurrency.concurrent_calls),
         "c3_histogram": _on_events(concurrency.concurrency_histogram),
         "c4_cohort_stats": _on_events(concurrency.cohort_response_stats),

@@ -48,16 +48,21 @@ def _staffing_frame(spark, staffing: Staffing) -> tuple[DataFrame, bool]:
     """(_prefix, firefighters_per_unit) of a seed list, or of the first two columns of a table, and
     whether every unit brings at least one firefighter.  Whole, non-negative numbers are required;
     prefixes compare case-insensitively, and each may occur once."""
-    if isinstance(staffing, DataFrame):
-        prefix, number = staffing.columns[:2]
-        table = staffing.select(F.upper(col(prefix)).alias("_prefix"), col(number).cast("decimal(20,6)").alias("n"))
-    else:
-        schema = T.StructType([T.StructField("_prefix", T.StringType()), T.StructField("n", T.DecimalType(20, 6))])
-        table = spark.createDataFrame([(p.upper(), Decimal(str(n))) for p, n in staffing], schema)
+    wrong = ValueError("a staffing table needs one whole, non-negative number of firefighters for each unit prefix")
+    if not isinstance(staffing, DataFrame):
+        seed = [(p, Decimal(str(n)) if n is not None else None) for p, n in staffing]
+        if any(p is None or n is None or n < 0 or n != int(n) for p, n in seed) or len({p.upper() for p, _ in seed}) != len(seed):
+            raise wrong
+        schema = T.StructType([T.StructField("_prefix", T.StringType()), T.StructField("firefighters_per_unit", T.IntegerType())])
+        table = spark.createDataFrame([(p.upper(), int(n)) for p, n in seed], schema)
+        everyone = bool(seed) and min(n for _, n in seed) >= 1
+        return (F.broadcast(table) if len(seed) <= BROADCAST_STAFFING_ROWS else table), everyone
+    prefix, number = staffing.columns[:2]
+    table = staffing.select(F.upper(col(prefix)).alias("_prefix"), col(number).cast("decimal(20,6)").alias("n"))
     seen = table.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("_prefix").alias("prefixes"), F.min("n").alias("least"),
                      F.count_if(F.col("n").isNull() | F.col("_prefix").isNull() | (F.col("n") < 0) | (F.col("n") != F.floor("n"))).alias("bad")).first()
     if seen["bad"] or seen["rows"] != seen["prefixes"]:
-        raise ValueError("a staffing table needs one whole, non-negative number of firefighters for each unit prefix")
+        raise wrong
     table = table.select("_prefix", F.col("n").cast("int").alias("firefighters_per_unit"))
     everyone = seen["least"] is not None and seen["least"] >= 1
     return (F.broadcast(table) if seen["rows"] <= BROADCAST_STAFFING_ROWS else table), everyone

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from ersa.sources.fixture import fire_dep_from_lineitem, lineitem_path, load_lin
 TABLE_VERSION = "v8"
 # Rows per output file when clustering the stored table by time.
 ROWS_PER_FILE = 2_000_000
+# Bytes of source text per output file.
+BYTES_PER_FILE = 512 << 20
 # Rows per Parquet page: the unit that a time window skips inside a file.
 ROWS_PER_PAGE = 5_000
 
@@ -40,13 +44,15 @@ def normalise(df: DataFrame) -> DataFrame:
         year_month(F.col("StartDatetime")).alias(START_MONTH))
 
 
-def cluster_by_time(df: DataFrame, rows_hint: int | None = None) -> DataFrame:
+def cluster_by_time(df: DataFrame, rows_hint: int | None = None, bytes_hint: int = 0, spread: str | None = None) -> DataFrame:
     """Range-partition by start time and sort inside files, so that file, row-group and page
     statistics are narrow in time.  At least one file per task slot, so a scan is never narrower
-    than the cluster."""
+    than the cluster; beyond that, files follow the rows or the bytes of the input.  ``spread``: a column that tells apart rows
+    without a start time, which would otherwise meet in one range."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    n = max(slots, (rows_hint or ROWS_PER_FILE) // ROWS_PER_FILE)
-    return df.repartitionByRange(n, "StartDatetime", "CallID").sortWithinPartitions("StartDatetime", "CallID")
+    n = max(slots, (rows_hint or ROWS_PER_FILE) // ROWS_PER_FILE, bytes_hint // BYTES_PER_FILE)
+    keys = ["StartDatetime", "CallID"]
+    return df.repartitionByRange(n, *keys, *([spread] if spread else [])).sortWithinPartitions(*keys)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -62,17 +68,32 @@ def _fs_path(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
 
 
+_ENTRY = re.compile(r"path=(.*?); isDirectory=(true|false);(?: length=(\d+);)?.*?modification_time=(\d+)")
+
+
+def _files(spark: SparkSession, fs, folder) -> Iterator[tuple[str, int, int]]:
+    """(path, bytes, modification time) of the files below a folder, or of the file: one listing a folder, handed over
+    as one text."""
+    for path, is_folder, size, time in _ENTRY.findall(spark._jvm.org.apache.commons.lang3.ArrayUtils.toString(fs.listStatus(folder))):
+        if is_folder == "true":
+            yield from _files(spark, fs, spark._jvm.org.apache.hadoop.fs.Path(path))
+        else:
+            yield path, int(size), int(time)
+
+
 def source_key(spark: SparkSession, source: str) -> str:
     """A digest of a source's full address and of its files' names, sizes and modification times:
     other content, or another place, is another key."""
     fs, hpath = _fs_path(spark, source)
     root = fs.makeQualified(hpath)
-    seen = [root.toString()]
-    files = fs.listFiles(root, True)
-    while files.hasNext():
-        f = files.next()
-        seen.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
-    return hashlib.sha256("\n".join([seen[0], *sorted(seen[1:])]).encode()).hexdigest()[:32]
+    seen = sorted(f"{p} {n} {t}" for p, n, t in _files(spark, fs, root))
+    return hashlib.sha256("\n".join([root.toString(), *seen]).encode()).hexdigest()[:32]
+
+
+def source_bytes(spark: SparkSession, source: str) -> int:
+    """Bytes of the files that a path, a folder or a pattern names."""
+    fs, hpath = _fs_path(spark, source)
+    return sum(fs.getContentSummary(s.getPath()).getLength() for s in fs.globStatus(hpath) or [])
 
 
 def table_path(spark: SparkSession, name: str, source: str) -> str:
@@ -110,26 +131,30 @@ def stored(spark: SparkSession, path: str, write, refresh: bool = False) -> str:
     return f"{path}/{version}"
 
 
-def fire_dep(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
-    """The normalised dispatch table for a test-data folder.
+def fire_dep_folder(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
+    """The folder of the normalised dispatch table for a test-data folder.
 
     Built from ``lineitem`` (see ``ersa.sources.fixture``), clustered by time and stored as
-    Parquet in the shared folder; later calls read the stored table while the source is the same.
+    Parquet in the shared folder; later calls find the stored table while the source is the same.
     """
     def write(folder: str) -> None:
         lineitem = load_lineitem(spark, sf_dir)
         write_table(cluster_by_time(normalise(fire_dep_from_lineitem(lineitem)), lineitem.count()), folder)
 
-    return spark.read.parquet(stored(spark, table_path(spark, "fire_dep", lineitem_path(sf_dir)), write, refresh))
+    return stored(spark, table_path(spark, "fire_dep", lineitem_path(sf_dir)), write, refresh)
+
+
+def fire_dep(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """The normalised dispatch table for a test-data folder."""
+    return spark.read.parquet(fire_dep_folder(spark, sf_dir, refresh))
 
 
 def derived_table(spark: SparkSession, name: str, sf_dir: str, write, refresh: bool = False) -> str:
     """The folder of a table derived from the dispatch table by ``write(folder)``.
 
     It is kept per version of the dispatch table, so a new one is never answered from an old one's."""
-    parent = table_path(spark, "fire_dep", lineitem_path(sf_dir))
-    fire_dep(spark, sf_dir)
-    return stored(spark, f"{parent}-{current_version(spark, parent)}-{name}", write, refresh)
+    parent, version = fire_dep_folder(spark, sf_dir).rsplit("/", 1)
+    return stored(spark, f"{parent}-{version}-{name}", write, refresh)
 
 
 def staffing(spark: SparkSession, seed: list[tuple[str, int]] | None = None) -> DataFrame:

@@ -123,3 +123,20 @@ def test_ingested_table_applies_code_and_time_filters_in_the_scan(spark, tmp_pat
     assert day.count() == 1441 and scan_rows(day) <= 3 * ROWS_PER_PAGE
     text = rows.where(ci_eq("FDID", "31D04"))._jdf.queryExecution().toString()
     assert "EqualTo(FDID_uc,31D04)" in text
+
+
+def test_rejects_are_spread_and_files_follow_the_input(spark, tmp_path, monkeypatch):
+    from ersa.sources import tables
+    from ersa.sources.csv_ingest import ingest_csv
+    lines = [",".join(NAMES)] + [_line(CallID=str(i), StartDatetime="2024-01-02 03:04:05" if i % 10 == 0 else "never", Location=f"{i} Oak") for i in range(4000)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_bytes(("\r\n".join(lines) + "\r\n").encode())
+    size = tables.source_bytes(spark, str(tmp_path / "in" / "*.csv"))
+    assert size == (tmp_path / "in" / "a.csv").stat().st_size == tables.source_bytes(spark, str(tmp_path / "in"))
+    monkeypatch.setattr(tables, "BYTES_PER_FILE", size // 12)
+    rows, rejects = ingest_csv(spark, str(tmp_path / "in" / "*.csv"), str(tmp_path / "t"))
+    assert rows.count() == 400 and rejects.count() == 3600
+    stored = list((tmp_path / "t" / "accepted=false").rglob("*.parquet"))
+    assert len(stored) >= 9                                  # 90 % rejects, in nine ranges of twelve or more
+    most = max(spark.read.parquet(str(p)).count() for p in stored)
+    assert most <= 3600 // 5

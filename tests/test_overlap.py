@@ -132,6 +132,13 @@ def test_row_pairs_with_long_and_far_reversals(spark, seed):
     assert got == _brute_pairs(rows)
 
 
+def test_row_pairs_with_parts_of_seconds(spark):
+    rows = [(f"k{i % 7}", i / 8, i / 8 + (0.75 if i % 3 else -0.625)) for i in range(60)]
+    rows.append(("wide", -1.5, 9.25))
+    got = {r.k: r.concurrent_count for r in row_overlap_pairs(_df(spark, rows), "k", "s", "e").collect()}
+    assert got == _brute_pairs(rows)
+
+
 def test_reversed_rows_make_no_pairs_of_rows(spark):
     rows = [(f"k{i}", i * 30, i * 30 + 1000) for i in range(3000)] + [(f"r{i}", i * 400, i * 400 - 366 * 86_400) for i in range(40)]
     df = row_overlap_pairs(_df(spark, rows), "k", "s", "e")

@@ -42,6 +42,17 @@ def test_source_key_follows_content_and_place(spark, tmp_path):
     assert source_key(spark, str(tmp_path / "b-c")) != one
 
 
+def test_source_files_are_listed_a_folder_at_a_time(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"p={i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"p={i % 3}" / f"odd, name; length=7 {i}.csv").write_text("x" * i)
+    fs, root = tables._fs_path(spark, str(tmp_path))
+    seen = sorted((p.rsplit("/", 1)[1], n) for p, n, t in tables._files(spark, fs, root) if t > 10**12)
+    assert seen == sorted((f"odd, name; length=7 {i}.csv", i) for i in range(30))
+    alone = next((tmp_path / "p=0").iterdir())
+    assert source_key(spark, str(alone)) != source_key(spark, str(tmp_path))
+
+
 def _write_lineitem(spark, folder, orders):
     spark.read.parquet(LINEITEM).where(F.col("l_orderkey") < orders).coalesce(1).write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
 
