@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ersa.plans import concurrency, counts, erf, oracle, times
+from ersa.operators.order_stats import trimmed_rows_summary
+from ersa.plans import concurrency, counts, erf, oracle, sketched, times
 from ersa.schema import FIRE_DEP_COLUMNS
 from ersa.sources import csv_ingest
+from ersa.sources.fixture import lineitem_path
 from ersa.sources.tables import derived_table, district_extract, fire_dep, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +57,22 @@ def csv_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[f"`{n}`" for n, _, _ in FIRE_DEP_COLUMNS])
 
 
+def call_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily sketches of the dispatch table, written once beside it."""
+    return spark.read.parquet(derived_table(spark, "sketches", sf_dir, lambda to: write_table(sketched.call_sketches(fire_dep(spark, sf_dir)), to)))
+
+
+def sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketched.sketches_against_rows(call_sketches(spark, sf_dir), fire_dep(spark, sf_dir))
+
+
+def price_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trimmed statistics of a measure with as many distinct values as rows, by group."""
+    rows = spark.read.parquet(lineitem_path(sf_dir)).select("l_returnflag", "l_extendedprice")
+    st = trimmed_rows_summary(rows, "l_extendedprice", ["l_returnflag"], sigma=1.5, goal=30_000)
+    return st.select("l_returnflag", "original_count", "trimmed_count", *[F.round(c, 2).alias(c) for c in ("mean", "median", "pctl", "stddev", "min_v", "max_v", "pct_goal")])
+
+
 def _time_query(spec) -> Query:
     return _on_fire_dep(times.time_stat_report, spec)
 
@@ -77,6 +96,9 @@ def queries() -> dict[str, Query]:
     for name, spec in erf.ERF_SPECS.items():
         q[name] = _on_fire_dep(erf.erf_report, spec)
     q.update({
+        "w3_ranked_process_times": _on_fire_dep(times.ranked_values, times.TIME_SPECS["r11_call_process_v2024"]),
+        "a10_price_statistics": price_statistics,
+        "a1_sketch_bounds": sketch_bounds,
         "c1_row_pairs": _on_fire_dep(concurrency.row_pair_concurrency),
         "c1_call_pairs": _on_fire_dep(concurrency.call_pairs),
         "c2_calls": _on_fire_dep(concurrency.concurrent_calls),
@@ -100,6 +122,9 @@ def oracle_sql() -> dict[str, str]:
         o[name] = oracle.time_stat_sql(spec)
     for name, spec in erf.ERF_SPECS.items():
         o[name] = oracle.erf_sql(spec)
+    o["w3_ranked_process_times"] = oracle.ranked_values_sql(times.TIME_SPECS["r11_call_process_v2024"])
+    o["a10_price_statistics"] = oracle.PRICE_SQL
+    o["a1_sketch_bounds"] = oracle.SKETCH_SQL
     o.update(oracle.CONCURRENCY_SQL)
     o["r23_csv_ingest"] = oracle.with_fixture() + "\nSELECT * FROM fire_dep"
     o["r23_csv_ingested_table"] = o["r23_csv_ingest"]

@@ -13,8 +13,10 @@ from ersa import schema as S
 from ersa.functions.scalars import (
     arrived_first, ci_eq, ci_in, ci_rlike, col, in_window, sec_to_time, seconds_between, window_columns,
 )
+from ersa.operators.global_rank import global_rank
 from ersa.operators.trimmed_stats import compact, trimmed_summary
 from ersa.schema import TimeStatSpec, Window, uc
+from ersa.session import materialize
 
 CREATE_WINDOW = Window(column="CreateDatetime")
 CREATE_WINDOW_2025 = Window(*S.WINDOW_2025, column="CreateDatetime")
@@ -113,6 +115,21 @@ def time_stat_report(fd: DataFrame, spec: TimeStatSpec) -> DataFrame:
     return st.select(*out)
 
 
+def trimmed_values(fd: DataFrame, spec: TimeStatSpec) -> DataFrame:
+    """The measures that a report keeps after its trim, as rows (``v``): the band is one row beside them."""
+    rows = first_dispatched_rows(fd, _needed_columns(spec)) if spec.first_dispatch_row else fd
+    base = materialize(rows.where(base_filter(spec)).select(col(spec.measure).alias("v")))
+    band = base.agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
+    lo = F.lit(1.0) if spec.trim_low_floor else F.col("mu") - spec.sigma * F.col("sd")
+    return base.crossJoin(F.broadcast(band)).where(F.col("v").between(lo, F.col("mu") + spec.sigma * F.col("sd"))).select("v")
+
+
+def ranked_values(fd: DataFrame, spec: TimeStatSpec) -> DataFrame:
+    """The kept measures with their number in ascending order and how many there are (what the original's median and
+    percentile steps read), numbered without a single-partition window."""
+    return global_rank(trimmed_values(fd, spec), ["v"], "rn", "total").select(F.col("v").alias(f"{spec.out}_sec"), "rn", "total")
+
+
 def _spec(name, measure, out, goal, **kw) -> TimeStatSpec:
     return TimeStatSpec(name=name, measure=measure, out=out, window=CREATE_WINDOW, goal_seconds=goal, **kw)
 
