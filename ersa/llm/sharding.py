@@ -126,7 +126,13 @@ def shard_documents(docs: DataFrame, limit: int, id_col: str = "doc_id", text_co
     return assign_shards(slim, limit, hash_key("doc_id"), F.col("n_bytes"), [F.col("doc_id"), F.col("n_bytes")])
 
 
-def write_shards(df: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write ``df`` as Parquet, one folder per shard; a shard fits one task by its byte limit."""
-    place = assigned.select(F.col(id_col), F.concat_ws("-", "shard_depth", "shard_prefix", "shard_page").alias("shard")).distinct()
-    (df.join(place, id_col).repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path))
+def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write ``docs`` with all their columns as Parquet, one folder (``shard``) per shard; a shard fits one task by its byte limit.
+
+    Rows carry their shard through the assignment and are not joined to it, so null and repeated ids are written as they are.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+                         F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("n_bytes"))
+    placed = assign_shards(packed, limit, hash_key("doc_id"), F.col("n_bytes"), [F.col("doc_id"), F.col("n_bytes")])
+    shard = F.concat_ws("-", "shard_depth", "shard_prefix", "shard_page").alias("shard")
+    placed.select("row.*", shard).repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
