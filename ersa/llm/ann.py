@@ -112,9 +112,9 @@ class Tables:
 def _fit(asked: DataFrame, classes: DataFrame, dim: int, tables: int, hashes: int, k: int) -> tuple[Tables, int]:
     """Tables and number of probes (see the module's text)."""
     picked = store(asked.orderBy(F.xxhash64("v"), "id", "v").limit(SAMPLE_QUERIES), "sample")
-    near = _search(picked, classes, k).join(classes.select("v", F.explode("ids").alias("vec_id")), "vec_id") \
+    near = _top(_search(picked, classes, k), k).join(classes.select("v", F.explode("ids").alias("vec_id")), "vec_id") \
         .select("query_id", "score", F.col("v").alias("w")).join(picked.select(F.col("id").alias("query_id"), "v"), "query_id")
-    pairs = near.orderBy("query_id", "score").collect()                      # at most SAMPLE_QUERIES * k rows or so
+    pairs = near.orderBy("query_id", "score").collect()                      # k a query
     if not pairs:
         return Tables(dim, tables, hashes, 1.0), PROBES[0]
     rows = np.array([r["v"] for r in classes.orderBy(F.xxhash64("v", F.lit(1)), "v").limit(SAMPLE_ROWS).select("v").collect()], dtype=np.float64)

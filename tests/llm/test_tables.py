@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ersa.llm import ann, queries, sharding
+from tests.llm.conftest import rows_of
 
 SF = "/root/testdata/sf0.01"
 DATA = pytest.mark.skipif(not os.path.exists(f"{SF}/documents.parquet"), reason="test data not present")
@@ -53,10 +54,15 @@ def test_equal_keys_get_overflow_pages(spark, monkeypatch):
 def test_sharding_edges(spark, awkward, empty, tmp_path):
     out = sharding.shard_documents(awkward, 1000)
     assert out.count() == awkward.count() and sharding.shard_documents(empty, 1000).collect() == []
-    whole = awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    sharding.write_shards(whole, sharding.shard_documents(whole, 1000), str(tmp_path / "s"))
+    # null and repeated ids, an id on several overflow pages, equal rows
+    more = spark.createDataFrame([(7, "x" * 300, "en", "s", 300)] * 60 + [(None, "y" * 90, None, None, None)] * 20, awkward.schema)
+    whole = awkward.unionByName(more)
+    sharding.write_shards(whole, 1000, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == whole.count() and back.select("shard").distinct().count() > 3
+    assert rows_of(back.drop("shard")) == rows_of(whole) and back.select("shard").distinct().count() > 3
+    sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
+    assert all((r.b or 0) <= 1000 or r.n == 1 for r in sizes)
+    sharding.write_shards(empty, 1000, str(tmp_path / "e"))
 
 
 # ---- nearest neighbours --------------------------------------------------------------------
@@ -121,6 +127,24 @@ def test_copies_and_unusable_vectors(spark):
     assert recall(got, best) >= 0.9
 
 
+def test_blocks_of_rows_do_not_change_the_fit(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    classes = df.select(F.col("embedding").alias("v"), F.array("vec_id").alias("ids"))
+    asked = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    whole, fitted = ann._fit(asked, classes, 6, 8, 8, 10), []
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
+    collected = []
+    real = ann._top
+    monkeypatch.setattr(ann, "_top", lambda *a: collected.append(real(*a)) or collected[-1])
+    fitted = ann._fit(asked, classes, 6, 8, 8, 10)
+    assert (fitted[0].width, fitted[1]) == (whole[0].width, whole[1]) and collected[0].count() == 10 * asked.count()
+    got, best = found(ann.nearest(df, F.col("id") % 50 == 0)), exact(rows, 50)
+    assert set(got) == set(best) and recall(got, best) >= 0.9
+
+
 def test_few_vectors_are_all_found(spark):
     rows = [(i, [float(i * i * 100), float(i)]) for i in range(1, 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
