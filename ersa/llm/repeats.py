@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -55,6 +56,12 @@ class Shape:
     def span(self) -> int:
         return self.window - self.gram
 
+    @property
+    def offsets(self) -> list[int]:
+        """Offsets of grams that together cover a window: from 0 to ``span``, no two further apart than a gram."""
+        steps = max(2, 2 * -(-self.span // (2 * self.gram)))
+        return [self.span * i // steps for i in range(steps + 1)]
+
 
 # ---- blocks -------------------------------------------------------------------------------
 
@@ -132,17 +139,18 @@ class Sequences:
 
     def _contexts(self) -> np.ndarray:
         """Names of the contexts: of grams that overlap all along, and of where the context is cut."""
-        p, span, last = self.sync, self.shape.span, self.hi - self.shape.gram
+        p, last = self.sync, self.hi - self.shape.gram
         c = mix((p - self.lo).astype(np.uint64) * U64(1 << 20) + (self.hi - p).astype(np.uint64))
-        for off in (-span, -(span // 2), 0, span // 2, span):
+        ahead = self.shape.offsets
+        for off in (*(-o for o in ahead[:0:-1]), *ahead):
             c = pair_name(c, self.h[np.clip(p + off, self.lo, np.maximum(last, self.lo))])
         return c
 
     def window_names(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two names of the windows that start at ``s``: of ranks at growing offsets, pair by pair."""
-        half, span = self.shape.span // 2, self.shape.span
-        a, b, c = self.h[s], self.h[s + half], self.h[s + span]
-        return pair_name(pair_name(a, b), c), pair_name(c, pair_name(b, a, 2), 3)
+        parts = [self.h[s + o] for o in self.shape.offsets]
+        other = reduce(lambda name, part: pair_name(part, name, 2), parts[:-1])
+        return reduce(pair_name, parts), pair_name(parts[-1], other, 3)
 
     def windows_at(self, which: np.ndarray) -> np.ndarray:
         """Starts of the valid windows whose sync points are among ``sync[which]``, each once."""

@@ -20,6 +20,7 @@ empty result; other columns are kept by ``dedup_documents`` and ignored by ``rem
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -164,9 +165,8 @@ def answer_suffixes(window: int):
         if not told:
             return _answers(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         told, least = np.concatenate(told), np.concatenate(least)
-        span = window - GRAM
-        a, b, c = (column_grams(rows[told], at) for at in (0, span // 2, span))
-        return _answers(blocks[told], pair_name(pair_name(a, b), c), least)
+        named = reduce(pair_name, (column_grams(rows[told], at) for at in _shape(window).offsets))
+        return _answers(blocks[told], named, least)
     return answer
 
 

@@ -97,6 +97,32 @@ def test_awkward_rows(awkward, empty):
     assert got_bytes(empty) == [] and got_words(empty) == []
 
 
+@pytest.mark.parametrize("window", [14, 25, 50, 77])
+def test_one_difference_at_any_place_of_a_long_window(spark, window):
+    rnd = random.Random(window)
+    rows = []
+    for k in range(3):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(window)]
+        rows.append((len(rows), " ".join(words)))
+        for i in range(window):
+            rows.append((len(rows), " ".join([*words[:i], "other", *words[i + 1:]])))
+        rows.append((len(rows), " ".join(["before", *words, "behind"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    got = substring_dedup.remove_repeats(df, window).select("doc_id", "n_words", lost, F.sha2(F.col("kept").cast("binary"), 256))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_words(rows, window)
+
+
+@pytest.mark.parametrize("length", [46, 73, 130])
+def test_one_different_byte_at_any_place_of_a_long_string(spark, length):
+    rnd = random.Random(length)
+    base = "".join(rnd.choice("abcdefgh") for _ in range(length))
+    rows = [(0, base)] + [(1 + i, base[:i] + "#" + base[i + 1:]) for i in range(length)] + [(500, "x" + base + "y"), (501, base[1:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(df, length).select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("removed"), F.sha2("kept", 256))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_bytes(rows, length)
+
+
 def test_prefix_groups_split_until_they_fit():
     rng = np.random.default_rng(0)
     rows = rng.integers(0, 3, (500, 20)).astype(np.uint64)
