@@ -7,8 +7,8 @@ difference and the compression rate, fitted on other labelled texts with the cla
 they occur, turns the evidence into a probability that the label is good.
 
 Fitting reads a bounded sample: at most ``Sample.rows`` labelled documents of each class, those
-with the smallest hash of doc_id, a third of them kept for the curve; of each document at most
-``Sample.bytes`` bytes go into a dictionary.  Scoring reads every whole text.  Only rows that the
+with the smallest hash of doc_id, a third of them kept for the curve.  The others' whole texts are cut into pieces of PIECE
+bytes, and at most ``Sample.pieces`` of a class, those with the smallest hash, go into its dictionary.  Scoring reads every whole text.  Only rows that the
 caller's ``learn`` condition admits are learnt from, and a score depends on the text alone.
 
 Edge cases: a null text is empty; an empty text compresses alike with both and gets the curve's
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from ersa.llm.common import id_text, store
 
+#: Bytes of a learning text that are one sample of a dictionary.
+PIECE = 1_024
 #: Bytes compressed at a time: short, so that the dictionary rather than the text itself is what helps.
 CHUNK = 512
 LEVEL = 3
@@ -37,10 +39,10 @@ LEVEL = 3
 
 @dataclass(frozen=True)
 class Sample:
-    """What fitting reads at most: labelled rows of each class, bytes of each for a dictionary, dictionary size."""
+    """What fitting takes at most: labelled rows of each class, pieces of their texts for its dictionary, dictionary bytes."""
 
     rows: int = 1_500
-    bytes: int = 8_192
+    pieces: int = 20_000
     dictionary: int = 112_640
 
 
@@ -96,17 +98,15 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """A trained dictionary, or the raw text where there is too little of it to train on."""
+def _dictionary(pieces: list[bytes], size: int) -> bytes:
+    """A dictionary trained on the pieces, an eighth of them in size at most; the pieces themselves where the trainer
+    finds nothing that they have in common."""
     import zstandard
 
-    pieces = [t[i:i + 1024] for t in texts for i in range(0, len(t), 1024)]
-    if sum(map(len, pieces)) >= 8 * size and len(pieces) >= 64:
-        try:
-            return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(pieces)[-size:]
+    try:
+        return zstandard.train_dictionary(max(256, min(size, sum(map(len, pieces)) // 8)), pieces, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(pieces)[-size:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: Sample = Sample(), id_col: str = "doc_id",
@@ -125,9 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: Sample = Samp
                    .unionByName(pairs.where("y = 1").select("doc_id", "y").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample.rows)), "labelled")
     picked = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")        # at most 2 * sample.rows ids
     curve_part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0
-    excerpts = (picked.where(~curve_part).groupBy("doc_id", "y").agg(F.min(F.substring(F.encode("text", "UTF-8"), 1, sample.bytes)).alias("t"))
-                .orderBy("doc_id").collect())
-    model = Model(*(_dictionary([bytes(r["t"]) for r in excerpts if r["y"] == y], sample.dictionary) for y in (1, 0)))
+    whole = picked.where(~curve_part).groupBy("doc_id", "y").agg(F.min(F.encode("text", "UTF-8")).alias("t"))
+    at = F.sequence(F.lit(0), F.ceil(F.octet_length("t") / PIECE).cast("int") - 1)
+    pieces = whole.where(F.octet_length("t") > 0).select("doc_id", "y", "t", F.explode(at).alias("i")) \
+        .select("doc_id", "y", "i", F.substring(F.col("t"), F.col("i") * PIECE + 1, F.lit(PIECE)).alias("piece"))
+
+    def sampled(y: int) -> list[bytes]:                   # at most sample.pieces * PIECE bytes
+        rows = pieces.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", "i"), "doc_id", "i").limit(sample.pieces).collect()
+        return [bytes(r["piece"]) for r in rows]
+
+    model = Model(*(_dictionary(sampled(y), sample.dictionary) for y in (1, 0)))
     measured = measure(picked.where(curve_part).select("doc_id", "text"), model)
     rows = measured.join(F.broadcast(chosen), "doc_id").select("doc_id", "n_bytes", "size_good", "size_bad", "y").distinct().orderBy("doc_id").collect()
     if len({r["y"] for r in rows}) < 2:

@@ -27,11 +27,17 @@ SPACES = "\\x20\\x09-\\x0D"
 SYMBOLS = "#*$%&|<>"
 SPLIT = f"[{SPACES}]+"
 
-#: Stock phrases of web boilerplate, in lower case.
+#: Stock phrases of web boilerplate in English, German, French and Spanish, in lower case.
 BOILERPLATE = (
     "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "javascript is disabled",
     "log in to", "lorem ipsum", "privacy policy", "read more", "share this", "sign in to", "sign up for",
     "skip to content", "subscribe to our", "terms of service", "terms of use", "use of cookies",
+    "alle rechte vorbehalten", "cookie-richtlinie", "hier klicken", "javascript aktivieren", "nach oben", "nutzungsbedingungen",
+    "verwendung von cookies", "weiterlesen", "zum inhalt springen",
+    "accepter les cookies", "aller au contenu", "cliquez ici", "conditions générales", "haut de page", "lire la suite", "politique de confidentialité",
+    "tous droits réservés", "utilisation de cookies",
+    "aviso legal", "haga clic aquí", "ir al contenido", "leer más", "política de cookies", "política de privacidad", "todos los derechos reservados",
+    "términos de uso", "uso de cookies", "volver arriba",
 )
 
 
@@ -144,7 +150,7 @@ def _verdict(lines: Column, full: Column, distinct: Column, bad: Column) -> Colu
             F.when(whole, F.lit(0).cast("long")).otherwise(chars(full) - chars(kept)).alias("lost"),
             F.when(whole, F.array_join(lines, "\n")).otherwise(F.array_join(kept, "\n")).alias("cleaned"))
 
-    return let(F.when(F.size(bad) == 0, distinct).otherwise(F.filter(distinct, lambda x: ~F.array_contains(bad, x))), outcome)
+    return let(F.when(F.size(bad) == 0, distinct).otherwise(F.array_except(distinct, bad)), outcome)
 
 
 def clean_documents(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

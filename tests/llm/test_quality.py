@@ -1,10 +1,12 @@
 """Quality rules, classifier and licence scan."""
 
+import math
 import os
 import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,27 @@ def test_rules_separate_the_labelled_documents(spark):
     assert {r.quality: r.share for r in rows}.get(1) >= 0.99 and {r.quality: r.share for r in rows}.get(0, 0) <= 0.05
 
 
+def test_many_failing_lines_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"menu {i} | one | two | three | four" for i in range(n)) + "\n" + "a plain line of words " * 20
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        t = time.time()
+        row = Q.quality(df).first()
+        assert row.n_lines_removed == n and row.cleaned.startswith("a plain")
+        return time.time() - t
+
+    seconds(100)
+    assert seconds(120_000) < 40                              # 5 MB; quadratic time would be minutes
+
+
+def test_stock_phrases_of_other_languages(spark):
+    rows = [(i, "Ein Satz über den Fluss und die Stadt.\n" + x) for i, x in enumerate(("Alle Rechte vorbehalten 2024", "Lire la suite", "Volver arriba", "ein Satz mehr"))]
+    got = {r.doc_id: r.n_lines_removed for r in Q.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 0}
+
+
 # ---- classifier ----------------------------------------------------------------------------
 
 @DATA
@@ -91,6 +114,57 @@ def test_classifier_on_held_out_labels(spark):
     assert good >= 0.98 and bad >= 0.93 and brier <= 0.03
 
 
+def test_sizes_and_curve_against_brute_force(spark):
+    import random
+    import zstandard
+
+    rnd = random.Random(6)
+    good, bad = [[f"{p}{i}" for i in range(60)] for p in ("river", "zzz")]
+    docs, labels = [], []
+    for i in range(120):
+        y = i % 2
+        docs.append((i, " ".join(rnd.choice(good if (y if rnd.random() < 0.8 else 1 - y) else bad) for _ in range(rnd.choice([30, 300])))))
+        labels.append((i, y))
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = C.fit(df, lab, F.lit(True))
+
+    def size(text, raw):
+        d = zstandard.ZstdCompressionDict(raw)
+        d.precompute_compress(level=C.LEVEL)
+        c = zstandard.ZstdCompressor(level=C.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(c.compress(text[k:k + C.CHUNK])) for k in range(0, len(text), C.CHUNK))
+
+    got = {r.doc_id: r for r in C.measure(df, model).collect()}
+    for i, t in docs:
+        b = t.encode()
+        g, x = size(b, model.good), size(b, model.bad)
+        z = model.weights[0] + model.weights[1] * 20 * (x - g) / (x + g) + model.weights[2] * math.log(min(1, (g + x) / (2 * len(b))))
+        assert (got[i].n_bytes, got[i].size_good, got[i].size_bad) == (len(b), g, x)
+        assert abs(got[i].score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-12
+    # the curve is where the weighted log loss of the documents kept for it is least
+    part = {r.doc_id for r in df.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).collect()}
+    y = np.array([labels[i][1] for i in sorted(part)], dtype=float)
+    x = np.stack([C.features(got[i].n_bytes, got[i].size_good, got[i].size_bad) for i in sorted(part)])
+    w = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
+
+    def loss(b):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        return -(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() + 0.5e-3 * (b @ b)
+    best = np.array(model.weights)
+    assert all(loss(best) <= loss(best + d) + 1e-9 for d in np.vstack([np.eye(3), -np.eye(3)]) * 0.01)
+    assert np.mean([(got[i].score >= 0.5) == labels[i][1] for i in got]) > 0.9
+
+
+def test_learning_reads_past_a_texts_beginning(spark):
+    head = "the same opening for all of them " * 600                 # 20 KB
+    docs = [(i, head + ("calm river stones " if i % 2 else "buy cheap pills ") * 200) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    out = C.measure(spark.createDataFrame([(1, "calm river stones " * 40), (0, "buy cheap pills " * 40)], "doc_id long, text string"),
+                    C.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels, F.lit(True)))
+    got = {r.doc_id: (r.size_good, r.size_bad) for r in out.collect()}
+    assert got[1][0] < got[1][1] and got[0][0] > got[0][1]
+
+
 def test_classifier_edges(spark, awkward, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {round(r.score, 6) for r in C.classify(awkward, none).collect()} == {0.5}
