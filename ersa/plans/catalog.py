@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ersa.operators.order_stats import trimmed_rows_summary
 from ersa.plans import concurrency, counts, erf, oracle, sketched, times
 from ersa.schema import FIRE_DEP_COLUMNS
+from ersa.session import shared_dir
 from ersa.sources import csv_ingest
 from ersa.sources.fixture import lineitem_path
 from ersa.sources.tables import derived_table, district_extract, fire_dep, write_table
@@ -73,6 +75,11 @@ def price_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.select("l_returnflag", "original_count", "trimmed_count", *[F.round(c, 2).alias(c) for c in ("mean", "median", "pctl", "stddev", "min_v", "max_v", "pct_goal")])
 
 
+def calls_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-call concurrency, half of it built and half appended."""
+    return concurrency.concurrency_state(fire_dep(spark, sf_dir), f"{shared_dir(spark)}/ersa_state/{uuid.uuid4().hex}")
+
+
 def _time_query(spec) -> Query:
     return _on_fire_dep(times.time_stat_report, spec)
 
@@ -101,6 +108,7 @@ def queries() -> dict[str, Query]:
         "a1_sketch_bounds": sketch_bounds,
         "c1_row_pairs": _on_fire_dep(concurrency.row_pair_concurrency),
         "c1_call_pairs": _on_fire_dep(concurrency.call_pairs),
+        "c2_calls_appended": calls_appended,
         "c2_calls": _on_fire_dep(concurrency.concurrent_calls),
         "c3_histogram": _on_events(concurrency.concurrency_histogram),
         "c4_cohort_stats": _on_events(concurrency.cohort_response_stats),
@@ -128,6 +136,7 @@ def oracle_sql() -> dict[str, str]:
     o.update(oracle.CONCURRENCY_SQL)
     o["r23_csv_ingest"] = oracle.with_fixture() + "\nSELECT * FROM fire_dep"
     o["r23_csv_ingested_table"] = o["r23_csv_ingest"]
+    o["c2_calls_appended"] = o["c2_calls"]
     o["c6_call_units"] = oracle.with_fixture() + "\nSELECT * FROM fire_dep WHERE CallID = '100'"
     o["r25_district_extract"] = oracle.with_fixture() + f"\nSELECT * FROM fire_dep WHERE {oracle.ci_eq('CallGEOFDID', oracle.D)}"
     return o
