@@ -8,7 +8,7 @@ start, and a manifest: per bin its folder, the smallest start and the greatest e
    changed calls alone), and counts the added calls against those bins;
 3. writes these bins anew and a manifest that keeps the folders of all others.
 
-A version is current once its manifest is published; earlier ones stay readable.  The manifest has a row a day, which the driver reads.
+Bins are as wide as the state's first update says (a day, or more for sparse calls); the manifest keeps the width.  A version is current once its manifest is published; earlier ones stay readable.  The manifest has a row a day, which the driver reads.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from ersa.sources.tables import current_version, stored
 
 BIN_SECONDS = 86_400
 STATE = "key string, start timestamp_ntz, end timestamp_ntz, concurrent_count bigint"
-MANIFEST = "bin bigint, folder string, calls bigint, low bigint, high bigint"
+MANIFEST = "bin bigint, folder string, calls bigint, low bigint, high bigint, width bigint"
 #: The bin of calls without a start, which overlap nothing.
 NO_START = -(1 << 62)
 
@@ -34,8 +34,8 @@ def _micros(t: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t)
 
 
-def _bin(start: Column) -> Column:
-    return F.coalesce(F.floor(_micros(start) / (BIN_SECONDS * 1_000_000)).cast("bigint"), F.lit(NO_START))
+def _bin(start: Column, width: int) -> Column:
+    return F.coalesce(F.floor(_micros(start) / (width * 1_000_000)).cast("bigint"), F.lit(NO_START))
 
 
 def _high(start: Column, end: Column) -> Column:
@@ -81,24 +81,25 @@ def concurrency(spark: SparkSession, root: str) -> DataFrame:
     return read_bins(spark, manifest(spark, root))
 
 
-def touched_bins(bins: list, changed: DataFrame) -> list:
+def touched_bins(bins: list, changed: DataFrame, width: int) -> list:
     """The bins of a manifest whose calls may overlap, or are, the changed calls."""
-    spans = changed.groupBy(_bin(F.col("start")).alias("bin")).agg(F.min(_micros(F.col("start"))).alias("low"), F.max(_high(F.col("start"), F.col("end"))).alias("high")).collect()
+    spans = changed.groupBy(_bin(F.col("start"), width).alias("bin")).agg(F.min(_micros(F.col("start"))).alias("low"), F.max(_high(F.col("start"), F.col("end"))).alias("high")).collect()
     lost = any(s["bin"] == NO_START for s in spans)
     timed = [s for s in spans if s["bin"] != NO_START]
     return [b for b in bins if (lost if b["bin"] == NO_START else any(s["low"] <= b["high"] and b["low"] <= s["high"] for s in timed))]
 
 
-def update(spark: SparkSession, root: str, added: DataFrame | None = None, removed: DataFrame | None = None) -> list:
+def update(spark: SparkSession, root: str, added: DataFrame | None = None, removed: DataFrame | None = None, bin_seconds: int = BIN_SECONDS) -> list:
     """Apply added and removed calls (key, start, end; a changed call is in both) and publish a new version.
 
-    Keys are unique; removed calls are as they were stored.  Returns the bins of the earlier version that were read."""
+    Keys are unique; removed calls are as they were stored.  ``bin_seconds`` counts for a state's first version only.  Returns the bins of the earlier version that were read."""
     none = spark.createDataFrame([], "key string, start timestamp_ntz, end timestamp_ntz")
     columns = [F.col("key").cast("string").alias("key"), "start", "end"]
     added = materialize((none if added is None else added).select(*columns))
     removed = materialize((none if removed is None else removed).select(*columns))
     before = manifest(spark, root)
-    touched = touched_bins(before, added.unionByName(removed))
+    width = before[0]["width"] if before else bin_seconds
+    touched = touched_bins(before, added.unionByName(removed), width)
     kept = read_bins(spark, touched).join(removed.select(F.col("key").alias("gone"), F.col("start").alias("was")),
                                           (F.col("key") == F.col("gone")) & F.col("start").eqNullSafe(F.col("was")), "left_anti")
     more, less = (overlaps_with(kept, x).select(F.col("key").alias(k), F.col("met").alias(m)) for x, k, m in ((added, "k1", "m1"), (removed, "k2", "m2")))
@@ -108,13 +109,13 @@ def update(spark: SparkSession, root: str, added: DataFrame | None = None, remov
     fresh = added.join(overlaps_with(added, against).select(F.col("key").alias("k"), "met"), F.col("key") == F.col("k"), "left") \
         .select("key", "start", "end", F.coalesce("met", F.lit(0)).cast("bigint").alias("concurrent_count"))
     folder = f"{root}/data/{time.time_ns():020d}-{uuid.uuid4().hex}"
-    now.unionByName(fresh).withColumn("bin", _bin(F.col("start"))).repartition("bin").write.partitionBy("bin").parquet(folder)
+    now.unionByName(fresh).withColumn("bin", _bin(F.col("start"), width)).repartition("bin").write.partitionBy("bin").parquet(folder)
     stay = [b for b in before if b["bin"] not in {t["bin"] for t in touched}]
 
     def write(to: str) -> None:
         written = spark.read.schema(STATE + ", bin bigint").parquet(folder)
         rows = written.groupBy("bin").agg(F.count("*").alias("calls"), F.min(_micros(F.col("start"))).alias("low"), F.max(_high(F.col("start"), F.col("end"))).alias("high"))
-        rows = rows.select("bin", F.concat(F.lit(f"{folder}/bin="), F.col("bin").cast("string")).alias("folder"), "calls", "low", "high")
+        rows = rows.select("bin", F.concat(F.lit(f"{folder}/bin="), F.col("bin").cast("string")).alias("folder"), "calls", "low", "high", F.lit(width).cast("bigint").alias("width"))
         old = spark.createDataFrame([tuple(b) for b in stay], MANIFEST)
         rows.unionByName(old).coalesce(1).write.parquet(to)                       # a row a day
 

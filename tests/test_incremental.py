@@ -35,7 +35,7 @@ def some(rnd, n, first, days):
 def test_updates_equal_a_rebuild(spark, tmp_path, seed):
     rnd, root = random.Random(seed), str(tmp_path / "s")
     rows = some(rnd, 120, "a", 6)
-    assert I.update(spark, root, df(spark, rows)) == []
+    assert I.update(spark, root, df(spark, rows), bin_seconds=(86_400, 30_000)[seed]) == []
     assert current(spark, root) == rebuilt(spark, rows)
     more = some(rnd, 40, "b", 8)
     I.update(spark, root, df(spark, more))
