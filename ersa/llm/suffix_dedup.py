@@ -1,12 +1,13 @@
-"""Exact substring removal by ranks of positions at growing offsets (prefix doubling).
-
-Every byte position has a rank at length 8, its eight bytes.  Ranks of pairs at growing offsets
-give ranks at 16, 24 and, past the threshold, ``min_length`` bytes; equal ranks mean equal strings.  Spark
-deals positions with their ranks to buckets, a bucket sorts them and drops what is unique, and only
-the rest goes on to the next length.  At length 24 the positions are the sync points of their
-windows (see ``repeats``), which no repeated string of ``min_length`` bytes can miss; where a
-string's surroundings agree as a whole it is settled at once, else all its positions are ranked at
-the full length.
+"""Exact substring removal by names of grams at growing lengths.
+
+The method dealt is prefix doubling: Spark sorts (position, rank, rank at an offset) of all positions at growing offsets and
+reranks until unique or past the threshold.  It is not what runs here, because a single such round moves at least 16 bytes for
+every byte of text: 0.86 GB of text of 0.51 GB of Parquet are 13.8 GB, 27 times the input, where the check tool stops a run at 4
+times, and lengths 8, 16, 32 and 50 take four rounds.  What runs instead keeps two of its ideas: the name of a position at length 16
+and 24 is made of the names at 8, pair by pair, and what is unique at a length is not looked at again.  The names are
+computed inside blocks of documents; at length 24 only the sync points of windows (see ``repeats``), which no repeated string of ``min_length``
+bytes can miss, go to buckets, once.  Where a string's surroundings agree as a whole it is settled at once, else all its
+positions are named at the full length and compared once more.
 
 A byte is removed if a ``min_length``-byte string that covers it also starts in a document with a
 smaller doc_id.  Strings are judged on the input.
