@@ -32,6 +32,8 @@ _UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Units, and token pairs, that a worker remembers before it starts afresh (memory bound only).
 KEEP_UNITS, KEEP_PAIRS = 1_000_000, 1_000_000
 KEEP_LENGTH = 64
+#: Characters of units whose decoding differs from them, and of these decodings, that are kept from text to text.
+KEEP_ODD_CHARS = 8_000_000
 
 COLUMNS = {
     "n_tokens": (pa.int64(), "long"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string"),
@@ -87,6 +89,7 @@ class Codec:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.units: dict[str, str] = {}
         self.odd: dict[str, str] = {}
+        self.odd_chars = 0
         self.per_token: dict[str, tuple[str, str]] = {}
 
     # ---- encoding -------------------------------------------------------------------------
@@ -229,11 +232,17 @@ class Codec:
                 self.units.clear()
             self.units[unit] = ids
         if decoded != unit.replace(BLANK, " "):
+            if unit not in self.odd:
+                self.odd_chars += len(unit) + len(decoded)
             self.odd[unit] = decoded
         return ids
 
     def row(self, text: str) -> tuple[str, int, str]:
         """Decimal ids joined by spaces (with the end id), their number, and the decoded text."""
+        if self.odd_chars > KEEP_ODD_CHARS:                # between texts only, and with the units, which are then learnt anew
+            self.units.clear()
+            self.odd.clear()
+            self.odd_chars = 0
         units = self.split(text)
         try:
             parts = list(map(self.units.__getitem__, units))

@@ -11,7 +11,7 @@ suffixes fit ``GROUP_ROWS``; each such part is sorted into its subtree, and inte
 
 So trees are built for branching prefixes only, and a window's first occurrence is answered by names where a prefix does not branch;
 subtrees end at ``window`` words, as nothing asks for deeper nodes, and maximal repeats are given as the removed spans of a document,
-not as strings.  Trees for all repeated prefixes would send every suffix of every copied passage (the given tables are about 40 % copies) and
+not as strings.  Trees for all repeated prefixes would send every suffix of every copied passage and
 build what the answer does not need.
 
 A word is removed if a window of ``window`` words that covers it also starts earlier: under a smaller

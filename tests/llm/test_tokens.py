@@ -31,6 +31,16 @@ def test_codec_equals_the_library(library):
         assert codec.decode(some) == library.decode(some)
 
 
+def test_memory_of_odd_units_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(S, "KEEP_ODD_CHARS", 2_000)
+    codec, rnd = S.Codec(S.default_model()), random.Random(2)
+    for i in range(600):
+        text = " ".join("".join(rnd.choice("a▁☃\u0378\ue000b") for _ in range(rnd.randint(1, 12))) for _ in range(6))
+        ids = library.encode(text, add_eos=True)
+        assert codec.row(text) == (" ".join(map(str, ids)), len(ids), library.decode(ids))
+        assert sum(len(u) + len(d) for u, d in codec.odd.items()) <= codec.odd_chars <= 2_000 + 400
+
+
 def test_codec_on_documents(spark, awkward, empty, library, monkeypatch):
     out = S.encode_documents(awkward, columns=("n_tokens", "ids", "decoded"))
     expected = []
