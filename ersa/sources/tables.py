@@ -7,6 +7,7 @@ import re
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,6 +132,59 @@ def stored(spark: SparkSession, path: str, write, refresh: bool = False) -> str:
     return f"{path}/{version}"
 
 
+RETIRED, LEASE = ".retired", ".lease-"
+
+
+def _marks(fs, hpath) -> list[str]:
+    return [s.getPath().getName() for s in fs.listStatus(hpath) if not s.isDirectory()] if fs.exists(hpath) else []
+
+
+@contextmanager
+def reading(spark: SparkSession, path: str, seconds: int = 86_400) -> Iterator[str]:
+    """The folder of the current version of the table kept at ``path``, which ``remove_old_versions`` leaves alone while the
+    block runs, and for ``seconds`` at most should the reader be lost.
+
+    The reader writes its lease, then looks whether the version is still published; clean-up withdraws the version, then looks for
+    leases.  So one of the two sees the other."""
+    fs, hpath = _fs_path(spark, path)
+    lease = None
+    while lease is None:
+        version = current_version(spark, path)
+        if version is None:
+            raise FileNotFoundError(f"no version of {path} is published")
+        mark = _fs_path(spark, f"{path}/{version}{LEASE}{time.time_ns() + seconds * 10**9:020d}-{uuid.uuid4().hex}")[1]
+        fs.create(mark, True).close()
+        if fs.exists(_fs_path(spark, f"{path}/{version}{PUBLISHED}")[1]):
+            lease = mark
+        else:
+            fs.delete(mark, False)
+    try:
+        yield f"{path}/{version}"
+    finally:
+        fs.delete(lease, False)
+
+
+def remove_old_versions(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Remove the versions of the table at ``path`` but the newest ``keep`` (1 or more) and those that a reader holds.  Returns
+    the versions removed.  A version that is being written, without its mark, is not touched."""
+    if keep < 1:
+        raise ValueError("the current version stays")
+    fs, hpath = _fs_path(spark, path)
+    published = sorted(n.removesuffix(PUBLISHED) for n in _marks(fs, hpath) if n.endswith(PUBLISHED))
+    for version in published[:-keep]:
+        fs.create(_fs_path(spark, f"{path}/{version}{RETIRED}")[1], True).close()
+        fs.delete(_fs_path(spark, f"{path}/{version}{PUBLISHED}")[1], False)
+    names, now, removed = _marks(fs, hpath), time.time_ns(), []
+    for version in sorted(n.removesuffix(RETIRED) for n in names if n.endswith(RETIRED)):
+        leases = [n for n in names if n.startswith(version + LEASE)]
+        if any(int(n.removeprefix(version + LEASE).split("-")[0]) > now for n in leases):
+            continue
+        for name, deep in ((version, True), *((n, False) for n in leases), (version + RETIRED, False)):
+            fs.delete(_fs_path(spark, f"{path}/{name}")[1], deep)
+        removed.append(version)
+    return removed
+
+
 def fire_dep_folder(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
     """The folder of the normalised dispatch table for a test-data folder.
 

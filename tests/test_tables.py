@@ -1,5 +1,6 @@
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from ersa.plans import catalog
@@ -32,6 +33,37 @@ def test_an_unpublished_version_is_not_read(spark, tmp_path):
     assert spark.read.parquet(folder).count() == 3
 
 
+def test_old_versions_go_unless_they_are_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError), tables.reading(spark, path):
+        pass
+    one, two, three = (stored(spark, path, lambda to, n=n: spark.range(n).write.parquet(to), refresh=True) for n in (1, 2, 3))
+    (tmp_path / "t" / "99999999999999999999-building").mkdir()                       # no mark yet
+    assert tables.remove_old_versions(spark, path, keep=3) == []
+    with tables.reading(spark, path) as held:
+        assert held == three
+        four = stored(spark, path, lambda to: spark.range(4).write.parquet(to), refresh=True)
+        assert tables.remove_old_versions(spark, path) == [v.rsplit("/", 1)[1] for v in (one, two)]
+        assert spark.read.parquet(held).count() == 3                                  # withdrawn, but in use
+        with tables.reading(spark, path) as newer:
+            assert newer == four
+    assert tables.remove_old_versions(spark, path) == [three.rsplit("/", 1)[1]]
+    assert spark.read.parquet(four).count() == 4 and current_version(spark, path) == four.rsplit("/", 1)[1]
+    left = sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith("."))
+    assert left == sorted([four.rsplit("/", 1)[1], four.rsplit("/", 1)[1] + ".published", "99999999999999999999-building"])
+
+
+def test_a_lost_readers_lease_ends(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = stored(spark, path, lambda to: spark.range(1).write.parquet(to))
+    lost = tables.reading(spark, path, seconds=0)
+    lost.__enter__()
+    stored(spark, path, lambda to: spark.range(2).write.parquet(to), refresh=True)
+    assert tables.remove_old_versions(spark, path) == [first.rsplit("/", 1)[1]]
+    with pytest.raises(ValueError):
+        tables.remove_old_versions(spark, path, keep=0)
+
+
 def test_source_key_follows_content_and_place(spark, tmp_path):
     for name in ("b-c", "b_c"):
         (tmp_path / name).mkdir()
