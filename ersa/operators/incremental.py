@@ -1,14 +1,15 @@
 """Call concurrency kept up to date: appended, changed and removed calls touch only the bins they overlap.
 
-The state holds every call with its ``concurrent_count`` (see ``overlap.call_concurrency``), in one folder per bin (day) of its
-start, and a manifest: per bin its folder, the smallest start and the greatest end of its calls.  An update
+The state holds every call with its ``concurrent_count`` (see ``overlap.call_concurrency``), in one folder per bin of its start,
+and a manifest: per bin its folder, the smallest start and the greatest end of its calls.  An update
 
 1. compares the spans of the changed calls, bin by bin, with the manifest: a bin whose calls cannot overlap any of them is not read;
 2. adds, to the calls of the other bins, how many added calls they overlap, less how many removed ones (prefix counts over the
    changed calls alone), and counts the added calls against those bins;
 3. writes these bins anew and a manifest that keeps the folders of all others.
 
-Bins are as wide as the state's first update says (a day, or more for sparse calls); the manifest keeps the width.  A version is current once its manifest is published; earlier ones stay readable.  The manifest has a row a day, which the driver reads.
+Bins are as wide as the state's first update says (a day, or more for sparse calls), which the manifest keeps.  A version is
+current once its manifest is published; earlier ones stay readable.  The manifest has a row a bin, which the driver reads.
 """
 
 from __future__ import annotations
@@ -42,6 +43,12 @@ def _high(start: Column, end: Column) -> Column:
     return F.greatest(_micros(start), F.coalesce(_micros(end), _micros(start)))
 
 
+def _reach() -> list[Column]:
+    """Aggregates: the smallest start and the greatest end."""
+    s, e = F.col("start"), F.col("end")
+    return [F.min(_micros(s)).alias("low"), F.max(_high(s, e)).alias("high")]
+
+
 def overlaps_with(queries: DataFrame, population: DataFrame) -> DataFrame:
     """(key, met): per query call, how many calls b of ``population`` satisfy ``b.start <= start <= b.end`` or
     ``start <= b.start <= end``; calls that meet none are absent.  Both have key, start and end."""
@@ -83,10 +90,13 @@ def concurrency(spark: SparkSession, root: str) -> DataFrame:
 
 def touched_bins(bins: list, changed: DataFrame, width: int) -> list:
     """The bins of a manifest whose calls may overlap, or are, the changed calls."""
-    spans = changed.groupBy(_bin(F.col("start"), width).alias("bin")).agg(F.min(_micros(F.col("start"))).alias("low"), F.max(_high(F.col("start"), F.col("end"))).alias("high")).collect()
+    spans = changed.groupBy(_bin(F.col("start"), width).alias("bin")).agg(*_reach()).collect()
     lost = any(s["bin"] == NO_START for s in spans)
     timed = [s for s in spans if s["bin"] != NO_START]
-    return [b for b in bins if (lost if b["bin"] == NO_START else any(s["low"] <= b["high"] and b["low"] <= s["high"] for s in timed))]
+
+    def near(b) -> bool:
+        return lost if b["bin"] == NO_START else any(s["low"] <= b["high"] and b["low"] <= s["high"] for s in timed)
+    return [b for b in bins if near(b)]
 
 
 def update(spark: SparkSession, root: str, added: DataFrame | None = None, removed: DataFrame | None = None, bin_seconds: int = BIN_SECONDS) -> list:
@@ -114,8 +124,9 @@ def update(spark: SparkSession, root: str, added: DataFrame | None = None, remov
 
     def write(to: str) -> None:
         written = spark.read.schema(STATE + ", bin bigint").parquet(folder)
-        rows = written.groupBy("bin").agg(F.count("*").alias("calls"), F.min(_micros(F.col("start"))).alias("low"), F.max(_high(F.col("start"), F.col("end"))).alias("high"))
-        rows = rows.select("bin", F.concat(F.lit(f"{folder}/bin="), F.col("bin").cast("string")).alias("folder"), "calls", "low", "high", F.lit(width).cast("bigint").alias("width"))
+        place = F.concat(F.lit(f"{folder}/bin="), F.col("bin").cast("string")).alias("folder")
+        rows = written.groupBy("bin").agg(F.count("*").alias("calls"), *_reach()) \
+            .select("bin", place, "calls", "low", "high", F.lit(width).cast("bigint").alias("width"))
         old = spark.createDataFrame([tuple(b) for b in stay], MANIFEST)
         rows.unionByName(old).coalesce(1).write.parquet(to)                       # a row a day
 
