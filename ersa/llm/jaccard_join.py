@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ersa.llm.common import U64, doc_words, id_text, mix, pair_name, spark_salt, store
 from ersa.llm.components import components
-from ersa.llm.repeats import deal, group_starts, pack, unpack
+from ersa.llm.repeats import deal, group_starts, unpack
 
 PIECE_BYTES = 2 << 20
 DIMENSIONS = 128
