@@ -9,6 +9,9 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: The largest method, in bytes, that the JVM compiles.
+METHOD_BYTES = 8_000
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ersa") -> SparkSession:
     """Local session used by tests and the bench (no UI, AQE on, UTC, NTZ-safe)."""
@@ -63,6 +66,15 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def compile_wide_rows(spark: SparkSession) -> None:
+    """Let Spark generate many small methods for rows of very many expressions, instead of one large one.
+
+    The JVM never compiles a method of more than 8,000 bytes of bytecode; the 51 columns of the dispatch table make one of 12,000
+    to 50,000, which then runs interpreted, several times slower.  The setting changes no result.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", METHOD_BYTES)
+
+
 def cluster_conf(total_input_bytes: int, cores: int) -> dict[str, str]:
     """Suggested settings for a large cluster run (pass to ``SparkSession.builder.config``).
 
@@ -82,6 +94,7 @@ def cluster_conf(total_input_bytes: int, cores: int) -> dict[str, str]:
         "spark.sql.files.maxPartitionBytes": str(target),
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.codegen.hugeMethodLimit": str(METHOD_BYTES),
         # checkpoints cut lineage inside one report; drop their files once unreferenced
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }

@@ -43,8 +43,8 @@ def _ts(seconds: Column) -> Column:
     return F.timestamp_add("SECOND", seconds.cast("int"), F.lit(EPOCH).cast("timestamp_ntz"))
 
 
-def fire_dep_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    """Unit-response rows (51 columns, typed) built from ``lineitem``."""
+def call_units(lineitem: DataFrame) -> DataFrame:
+    """The narrow rows that all columns follow from: call ``c``, unit ``u`` of the call, start ``st`` in seconds after EPOCH."""
     li = lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
     ).withColumn("c", ((F.col("l_orderkey") - F.col("l_orderkey") % 4) / 4).cast("bigint"))
@@ -53,13 +53,34 @@ def fire_dep_from_lineitem(lineitem: DataFrame) -> DataFrame:
     )
     c, u = F.col("c"), F.col("u")
     x = li.withColumn("u", F.row_number().over(w).cast("bigint"))
-    x = x.select(
+    return x.select(
         c,
         u,
         # created, or started, exactly at a window's end; crowds of calls within six hours; all others anywhere
         F.when(c % 211 == 7, YEAR_2025).when(c % 223 == 9, YEAR_2025 - 5).when(c % 227 == 11, YEAR_2026)
         .when(c % 31 == 1, (c % 5) * 150 * 86400 + c * 37 % 21600)
         .otherwise((c * c * 7919 + c * 104729) % SPAN_SECONDS).alias("st"),
+    )
+
+
+def start_time() -> Column:
+    """StartDatetime of a row of ``call_units``."""
+    return _ts(F.col("st") + 5)
+
+
+def fire_dep_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """Unit-response rows (51 columns, typed) built from ``lineitem``."""
+    return fire_dep_columns(call_units(lineitem))
+
+
+def fire_dep_columns(units: DataFrame, *carry: str) -> DataFrame:
+    """The 51 columns of ``call_units`` rows, in their order, and the columns named in ``carry``."""
+    c, u = F.col("c"), F.col("u")
+    x = units.select(
+        c,
+        u,
+        "st",
+        *carry,
         F.when(c % 53 == 0, 0).when(c % 97 == 1, 2000 + c % 7).otherwise(10 + (c * 31) % 120).alias("disp"),
         F.when((c + u) % 41 == 0, 0)
         .when((c + u) % 101 == 1, 3000 + u)
@@ -77,7 +98,7 @@ def fire_dep_from_lineitem(lineitem: DataFrame) -> DataFrame:
     st, disp, turn, trav = F.col("st"), F.col("disp"), F.col("turn"), F.col("trav")
     noarr, noclr = F.col("noarr"), F.col("noclr")
     clear_off = 1200 + (c * 37) % 3600 + u * 60
-    start_ts = _ts(st + 5)
+    start_ts = start_time()
     cols = {
         "CallID": c.cast("string"),
         "UnitNumber": F.concat(_pick(F.col("px"), UNIT_PREFIXES), (40 + (c + u) % 4).cast("string")),
@@ -118,7 +139,7 @@ def fire_dep_from_lineitem(lineitem: DataFrame) -> DataFrame:
             out.append(F.lit("").alias(f.name))
         else:
             out.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return x.select(*out)
+    return x.select(*out, *carry)
 
 
 def _case(expr: str, values: list[str], default: str | None = None) -> str:
