@@ -140,3 +140,20 @@ def test_rejects_are_spread_and_files_follow_the_input(spark, tmp_path, monkeypa
     assert len(stored) >= 9                                  # 90 % rejects, in nine ranges of twelve or more
     most = max(spark.read.parquet(str(p)).count() for p in stored)
     assert most <= 3600 // 5
+
+
+def test_wide_rows_run_compiled_and_are_sorted_once(spark, tmp_path, monkeypatch):
+    from ersa.sources import csv_ingest as C
+    lines = [",".join(NAMES)] + [_line(CallID=str(i), StartDatetime=f"1969-12-{1 + i % 31:02d} 23:59:{i % 60:02d}") for i in range(300)] + [_line(CallID="r", StartDatetime="never")]
+    path = tmp_path / "in.csv"
+    path.write_bytes(("\r\n".join(lines) + "\r\n").encode())
+    for run in (lambda: C.load_dispatch_csv(spark, str(path))[0], lambda: C.ingest_csv(spark, str(path), str(tmp_path / "t"))[0]):
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        rows = run()
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000          # larger methods run interpreted
+        # a whole second stays as it is, before 1970 too
+        assert {(r.CallID, str(r.StartDatetime)) for r in rows.collect()} == {(str(i), f"1969-12-{1 + i % 31:02d} 23:59:{i % 60:02d}") for i in range(300)}
+    seen = []
+    monkeypatch.setattr(C, "cluster_by_time", lambda df, **kw: seen.append(kw["folders"]) or df)
+    C.ingest_csv(spark, str(path), str(tmp_path / "u"))
+    assert seen == [["accepted", "StartDatetime_m"]]                                      # the order that the folders need
