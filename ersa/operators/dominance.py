@@ -5,12 +5,15 @@ lie inside it, without forming pairs.
 [x, y] of the lower side holds the interval of the upper side).
 
 All points are put in one order, by x and then by falling y, lower before upper, so that every match of a lower point comes behind it
-and only y is left to compare.  The order is cut into bins of about BIN_POINTS points:
+and only y is left to compare.  The order is cut into bins of about BIN_POINTS points, and bins in a row are put together to leaves that
+hold about BIN_POINTS points of the rarer side:
 
-* inside a bin, matches are counted in arrays;
-* between bins, bins are the leaves of a binary tree: at each level a lower point of a left child meets the upper points of
+* inside a leaf, the points of the other side are counted bin by bin in arrays, with the leaf's rarer points sent to each of its bins;
+* between leaves, these are the leaves of a binary tree: at each level a lower point of a left child meets the upper points of
   the right child, so a point takes part once a level.  There the count is one-dimensional, a running sum over y, taken
   inside time bins with offsets, so no task holds a whole child.
+
+So the levels, which all points pass through, follow the logarithm of the rarer side, and the copies are no more than twice the points.
 """
 
 from __future__ import annotations
@@ -61,12 +64,21 @@ def dominance_counts(points: DataFrame, bin_points: int = BIN_POINTS, y_bin: int
     """``points(x long, y long, lower boolean, w long)``, each (x, y, lower) once -> the points with a match, with the
     matched weight ``c``."""
     held = materialize(points)
-    bins = held.count() // bin_points + 1
+    seen = held.agg(F.count("*").alias("n"), F.count_if("lower").alias("lower")).first()
+    bins = seen["n"] // bin_points + 1
     order = [F.col("x"), F.col("y").desc(), F.col("lower").desc()]
     if bins == 1:
-        cut = held.withColumn("bin", F.lit(0))
+        tiles, levels = held.withColumn("bin", F.lit(0)), 0
     else:
         cut = materialize(held.repartitionByRange(bins, *order).withColumn("bin", F.spark_partition_id()))
+        rarer = F.col("lower") if 2 * seen["lower"] <= seen["n"] else ~F.col("lower")
+        before = F.sum("rarer").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))      # one row a bin
+        leaves = materialize(cut.groupBy("bin").agg(F.count_if(rarer).alias("rarer")).select(
+            "bin", F.floor(F.coalesce(before, F.lit(0)) / bin_points).cast("int").alias("leaf")))
+        placed = cut.join(F.broadcast(leaves), "bin")
+        copies = placed.where(rarer).drop("bin").join(F.broadcast(leaves), "leaf")
+        tiles = placed.where(~rarer).unionByName(copies)
+        levels = leaves.agg(F.max("leaf")).first()[0].bit_length()
 
     def inside(group: pd.DataFrame) -> pd.DataFrame:
         x, y, lower = (group[c].to_numpy() for c in ("x", "y", "lower"))
@@ -74,17 +86,16 @@ def dominance_counts(points: DataFrame, bin_points: int = BIN_POINTS, y_bin: int
         c = count_in_order(y[by], lower[by], group["w"].to_numpy()[by])
         return pd.DataFrame({"x": x[by], "y": y[by], "lower": lower[by], "c": c})[c > 0]
 
-    counts = cut.groupBy("bin").applyInPandas(inside, "x long, y long, lower boolean, c long")
-    levels = (bins - 1).bit_length()
+    counts = tiles.groupBy("bin").applyInPandas(inside, "x long, y long, lower boolean, c long")
     if levels:
-        counts = counts.unionByName(_between_bins(cut, levels, y_bin))
+        counts = counts.unionByName(_between_leaves(placed, levels, y_bin))
     return counts.groupBy("x", "y", "lower").agg(F.sum("c").alias("c"))
 
 
-def _between_bins(cut: DataFrame, levels: int, y_bin: int) -> DataFrame:
-    bit = F.expr("shiftright(bin, level) & 1")
-    at = cut.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")) \
-        .withColumn("node", F.expr("shiftright(bin, level + 1)")).where(F.col("lower") == (bit == 0)) \
+def _between_leaves(placed: DataFrame, levels: int, y_bin: int) -> DataFrame:
+    bit = F.expr("shiftright(leaf, level) & 1")
+    at = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")) \
+        .withColumn("node", F.expr("shiftright(leaf, level + 1)")).where(F.col("lower") == (bit == 0)) \
         .withColumn("ybin", F.floor(F.col("y") / y_bin))
     one = at.groupBy("level", "node", "ybin", "y").agg(
         F.sum(F.when(~F.col("lower"), F.col("w")).otherwise(0)).alias("u"), F.sum(F.when(F.col("lower"), F.col("w")).otherwise(0)).alias("l"))

@@ -59,3 +59,21 @@ def test_no_task_holds_more_than_a_bin(spark, monkeypatch):
     got = {(r.x, r.y, r.lower): r.c for r in D.dominance_counts(df, 200).collect()}
     assert max(sizes) < 800 and len(sizes) >= 15
     assert got == brute(points)
+
+
+def test_levels_follow_the_rarer_side(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    points = {(int(x), int(y), bool(k % 20)) for k, (x, y) in enumerate(zip(rng.integers(0, 500, 3000), rng.integers(0, 500, 3000)))}
+    rows = [(x, y, low, 1 + (x + y) % 3) for x, y, low in sorted(points)]
+    want = brute(rows)
+    levels = []
+    between = D._between_leaves
+    monkeypatch.setattr(D, "_between_leaves", lambda placed, n, y_bin: levels.append(n) or between(placed, n, y_bin))
+    df = spark.createDataFrame(rows, "x long, y long, lower boolean, w long")
+    for flipped in (False, True):                                          # either side may be the rarer one
+        if flipped:
+            df = df.selectExpr("-x AS x", "-y AS y", "NOT lower AS lower", "w")
+            want = {(-x, -y, not low): c for (x, y, low), c in want.items()}
+        got = {(r.x, r.y, r.lower): r.c for r in D.dominance_counts(df, bin_points=100, y_bin=50).collect()}
+        assert got == want
+    assert levels == [1, 1]                                                # 30 bins, but two leaves: 150 rarer points
