@@ -6,7 +6,8 @@ group and rank at once and counts the values below a, equal to a, between, and e
 approximate quantiles of those between (mergeable, of bounded size), from which the next cut points are taken around the wanted rank.
 Counts are exact, so the sketch's error only costs a pass, and a value that very many rows share is met as a cut point and
 found, or left behind.  A pass narrows a range about GRID / 3 times, so 10**10 rows take three or four; when a range holds LIMIT values
-at most, they are counted one by one and the rank is read off.  A hot group combines map-side like any other.
+at most, they are counted one by one and the rank is read off.  Rows meet their group's cut points where they lie (these are
+broadcast), so a hot group is as many tasks as its rows and combines map-side like any other.
 """
 
 from __future__ import annotations
@@ -24,6 +25,12 @@ GRID = 128
 ACCURACY = 4_000
 #: Values of a range that are counted one by one.
 LIMIT = 100_000
+#: Groups up to which their one row each is broadcast to the rows; more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
+
+
+def _one_a_group(groups: DataFrame, number: int) -> DataFrame:
+    return F.broadcast(groups) if number <= BROADCAST_GROUPS else groups
 
 
 def _within(v: Column, lo: Column, hi: Column) -> Column:
@@ -67,6 +74,8 @@ def select_ranks(rows: DataFrame, value: str, ranks: Mapping[str, Callable[[Colu
         ranks[name](F.col("n")).cast("bigint").alias("k"), none.alias("lo"), none.alias("hi"), zero.alias("below"), F.col("n").alias("m"),
         F.col("grid").alias("grid"), none.alias("value")).alias(f"r{i}") for i, name in enumerate(names)]))
 
+    number = state.count()
+
     def is_open(i: int) -> Column:
         r = F.col(f"r{i}")
         return r["k"].between(0, F.col("n") - 1) & r["value"].isNull() & (r["m"] > limit)
@@ -89,7 +98,7 @@ def select_ranks(rows: DataFrame, value: str, ranks: Mapping[str, Callable[[Colu
             counts.append(F.struct(F.first(a).alias("a"), F.first(b).alias("b"), F.count_if(o & (v < a)).alias("lt"), F.count_if(o & (v == a)).alias("at_a"),
                                    F.count_if(mid).alias("mid"), F.count_if(o & (v == b) & ~F.coalesce(a == b, F.lit(False))).alias("at_b"),
                                    grid(F.when(mid, v)).alias("grid")).alias(f"c{i}"))
-        counted = meet(held, tried).groupBy(*keys).agg(*counts).select(*[F.col(k).alias("s" + k) for k in keys], *[f"c{i}" for i in range(len(names))])
+        counted = meet(held, _one_a_group(tried, number)).groupBy(*keys).agg(*counts).select(*[F.col(k).alias("s" + k) for k in keys], *[f"c{i}" for i in range(len(names))])
         following = []
         for i in range(len(names)):
             r, c = F.col(f"r{i}"), F.col(f"c{i}")
@@ -112,7 +121,7 @@ def select_ranks(rows: DataFrame, value: str, ranks: Mapping[str, Callable[[Colu
         r = F.col(f"r{i}")
         one = state.where(r["k"].between(0, F.col("n") - 1) & r["value"].isNull()).select(
             *[F.col(k).alias("s" + k) for k in keys], r["lo"].alias("lo"), r["hi"].alias("hi"), (r["k"] - r["below"]).alias("k"))
-        part = meet(held, one).where(_within(F.col("v"), F.col("lo"), F.col("hi")))
+        part = meet(held, _one_a_group(one, number)).where(_within(F.col("v"), F.col("lo"), F.col("hi")))
         values = part.groupBy(*keys, "k", "v").agg(F.count("*").alias("m"))                # LIMIT values a group at most
         upto = F.sum("m").over(Window.partitionBy(*keys, "k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         hit = values.withColumn("upto", upto).where((F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("m")))
@@ -152,7 +161,7 @@ def trimmed_rows_summary(rows: DataFrame, value: str, groups: Sequence[str] = ()
     match = _same(keys, "s")
     stats = materialize(stats.select(*[F.col(k).alias(f"s{k}") for k in keys], "original_count", "mean_rt", "stddev_rt"))
     lo = F.lit(float(low_floor)) if low_floor is not None else F.col("mean_rt") - sigma * F.col("stddev_rt")
-    kept = held.join(stats if keys else F.broadcast(stats), match).where(x.between(lo, F.col("mean_rt") + sigma * F.col("stddev_rt")))
+    kept = held.join(_one_a_group(stats, stats.count()) if keys else F.broadcast(stats), match).where(x.between(lo, F.col("mean_rt") + sigma * F.col("stddev_rt")))
     goals = F.count_if(x <= F.lit(goal)) if goal is not None else F.lit(None).cast("bigint")
     moments = kept.groupBy(*keys).agg(
         F.first("original_count").alias("original_count"), F.first("mean_rt").alias("mean_rt"), F.first("stddev_rt").alias("stddev_rt"),

@@ -74,3 +74,25 @@ def test_global_rank(spark):
     ties = global_rank(spark.createDataFrame([(1,)] * 200, "v int"), ["v"], range_rows=20)
     assert sorted(r.rn for r in ties.collect()) == list(range(1, 201)) and ties.groupBy(F.spark_partition_id()).count().count() > 1
     assert global_rank(df.where("id < 0"), ["v"]).collect() == []
+
+
+def test_a_group_is_not_gathered_in_one_task(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ersa.operators import order_stats as O
+    n = 40_000
+    rows = spark.range(n, numPartitions=8).select((F.col("id") % 2).cast("string").alias("g"), ((F.col("id") * 7919) % n).alias("v"))
+    plans, real = [], O.materialize
+    monkeypatch.setattr(O, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    out = O.trimmed_rows_summary(rows, "v", ["g"])
+    got = {r.g: (r.trimmed_count, r.median) for r in out.collect()}
+    assert got == {"0": (n // 2, n / 2 - 1), "1": (n // 2, float(n // 2))}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:                                                                   # the rows of a group never meet by a shuffle of rows
+        kept = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    joins = [line for text in [*plans, kept] for line in text.splitlines() if "Join Inner" in line]
+    assert joins and any("rightHint=(strategy=broadcast)" in line for line in joins)
+    monkeypatch.setattr(O, "BROADCAST_GROUPS", 1)                          # more groups than that: the same result by a shuffle
+    assert {r.g: (r.trimmed_count, r.median) for r in O.trimmed_rows_summary(rows, "v", ["g"]).collect()} == got
