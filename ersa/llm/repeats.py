@@ -40,6 +40,8 @@ BLOCK_BYTES = 2 << 20
 #: Text bytes whose messages one bucket takes.
 BUCKET_BYTES = 16 << 20
 LAST = np.iinfo(np.int64).max
+#: Positions worked on at a time: their arrays stay in the processor's cache.
+CHUNK = 1 << 14
 #: Blocks that look closer at one gram from which on the gram counts as hot (answer 2 instead of 1).
 HOT_BLOCKS = 32
 
@@ -99,14 +101,15 @@ def read_block(data: bytes) -> pa.Table:
 
 # ---- sequences of one block ----------------------------------------------------------------
 
-def _slide(x: np.ndarray, width: int, op: Callable) -> np.ndarray:
-    """op over x[i : i + width] for each i (shorter at the end), by doubling."""
+def _slide(x: np.ndarray, width: int, op: Callable, back: bool = False) -> np.ndarray:
+    """op over x[i : i + width] for each i, or with ``back`` over x[i - width + 1 : i + 1] (fewer at the end of the array), by doubling."""
     done, out = 1, x
-    while done < width:
+    while done < width and done < len(out):
         step = min(done, width - done)
-        grown = out.copy()
-        if step < len(out):
-            op(out[:-step], out[step:], out=grown[:-step])
+        grown = np.empty_like(out)
+        both = (grown[step:], grown[:step], out[:step]) if back else (grown[:-step], grown[-step:], out[-step:])
+        op(out[:-step], out[step:], out=both[0])
+        both[1][:] = both[2]
         out, done = grown, done + step
     return out
 
@@ -122,14 +125,12 @@ class Sequences:
         self.shape, self.h, self.first, self.ids = shape, grams, first, ids
         n = len(grams)
         self.row = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(first))
-        self.least = _slide(grams, shape.span + 1, np.minimum)
         room = np.zeros(n + 1, dtype=np.int8)                  # +1 where valid window starts begin, -1 behind them
         whole = np.diff(first) >= shape.window
         np.add.at(room, first[:-1][whole], 1)
         np.add.at(room, first[1:][whole] - shape.window + 1, -1)
         self.valid = np.cumsum(room[:-1], dtype=np.int8).astype(bool)
-        most = _slide(np.where(self.valid, self.least, U64(0))[::-1], shape.span + 1, np.maximum)[::-1]
-        self.sync = np.flatnonzero((most == grams) & (most > 0))
+        self.least, self.sync = self._sync_points()
         rows = self.row[self.sync]
         self.lo = np.maximum(self.sync - shape.span, first[rows])
         self.hi = np.minimum(self.sync + shape.window, first[rows + 1])
@@ -137,13 +138,25 @@ class Sequences:
         self.contexts = self._contexts()
         self.docs = ids[rows]
 
+    def _sync_points(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least gram of the window at each position, and the positions that are the least of some valid window."""
+        n, span, grams = len(self.h), self.shape.span, self.h
+        least, sync = np.empty(n, dtype=np.uint64), []
+        for a in range(0, n, CHUNK):
+            b, before = min(a + CHUNK, n), max(a - span, 0)
+            least[a:b] = _slide(grams[a:b + span], span + 1, np.minimum)[:b - a]
+            most = _slide(least[before:b] * self.valid[before:b], span + 1, np.maximum, back=True)[a - before:]
+            at = np.flatnonzero(most == grams[a:b])
+            sync.append(at[most[at] > 0] + a)
+        return least, np.concatenate(sync) if sync else np.zeros(0, dtype=np.int64)
+
     def _contexts(self) -> np.ndarray:
         """Names of the contexts: of grams that overlap all along, and of where the context is cut."""
         p, last = self.sync, self.hi - self.shape.gram
         c = mix((p - self.lo).astype(np.uint64) * U64(1 << 20) + (self.hi - p).astype(np.uint64))
         ahead = self.shape.offsets
         for off in (*(-o for o in ahead[:0:-1]), *ahead):
-            c = pair_name(c, self.h[np.clip(p + off, self.lo, np.maximum(last, self.lo))])
+            c = pair_name(c, self.h[np.maximum(p + off, self.lo) if off < 0 else np.minimum(p + off, last)])
         return c
 
     def window_names(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +168,12 @@ class Sequences:
     def windows_at(self, which: np.ndarray) -> np.ndarray:
         """Starts of the valid windows whose sync points are among ``sync[which]``, each once."""
         p = self.sync[which]
-        s = (p[:, None] - np.arange(self.shape.span + 1)[None, :])
-        s, at = s.ravel(), np.repeat(p, self.shape.span + 1)
-        ok = s >= 0
-        s, at = s[ok], at[ok]
-        ok = self.valid[s] & (self.least[s] == self.h[at]) & (self.row[s] == self.row[at])
-        return np.unique(s[ok])
+        name, row = self.h[p], self.row[p]
+        starts = np.zeros(len(self.h), dtype=bool)
+        for back in range(self.shape.span + 1):
+            s = np.maximum(p - back, 0)          # p >= back tells where the array begins
+            starts[s[(p >= back) & (self.least[s] == name) & self.valid[s] & (self.row[s] == row)]] = True
+        return np.flatnonzero(starts)
 
 
 def group_starts(sorted_key: np.ndarray) -> np.ndarray:
@@ -169,30 +182,52 @@ def group_starts(sorted_key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
 
 
-def earlier(keys: tuple[np.ndarray, ...], docs: np.ndarray, rows: np.ndarray, places: np.ndarray, within: bool,
+def pair_order(one: np.ndarray, two: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal pairs stand together, and where each pair starts in it; ``kind="stable"``: as they came."""
+    if not len(one):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    both = pair_name(one, two)
+    order = np.argsort(both, kind=kind)
+    a, b, c = one[order], two[order], both[order]
+    new = c[1:] != c[:-1]
+    other = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    if (other & ~new).any():                     # two pairs under one name: sort by the pairs themselves
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+        other = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, np.flatnonzero(np.concatenate(([True], other)))
+
+
+def earlier(keys: tuple[np.ndarray, np.ndarray], docs: np.ndarray, rows: np.ndarray, within: bool,
             least: np.ndarray | None = None) -> np.ndarray:
-    """Per occurrence, whether the same keys occur under a smaller doc id (in the block, or ``least``,
-    the smallest id known elsewhere), or (``within``) earlier in the same row."""
-    order = np.lexsort((places, rows, docs, *keys[::-1]))
-    new = np.zeros(len(order), dtype=bool)
-    if len(new):
-        new[0] = True
-    for k in keys:
-        ks = k[order]
-        new[1:] |= ks[1:] != ks[:-1]
-    starts = np.flatnonzero(new)
-    size = np.diff(np.append(starts, len(order)))
+    """Per occurrence, in the order of their places, whether the same two keys occur under a smaller doc id (in the block, or
+    ``least``, the smallest id known elsewhere), or (``within``) earlier in the same row."""
+    order, starts = pair_order(*keys, kind="stable" if within else None)
+    if not len(order):
+        return np.zeros(0, dtype=bool)
     d = docs[order]
-    smallest = np.repeat(d[starts], size)
-    out = d > smallest
+    out = d > np.repeat(np.minimum.reduceat(d, starts), np.diff(np.append(starts, len(order))))
     if within:
         r = rows[order]
-        out[1:] |= ~new[1:] & (r[1:] == r[:-1])
+        again = r[1:] == r[:-1]
+        again[starts[1:] - 1] = False
+        out[1:] |= again
     back = np.empty_like(out)
     back[order] = out
     return back | (docs > least) if least is not None else back
 
 
+def painted(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of ``n`` places lie in a span [begin, end); both ascend, and no span is empty."""
+    gap = begin[1:] > end[:-1]
+    edges = np.empty(2 * (np.count_nonzero(gap) + 1 if len(begin) else 0) + 2, dtype=np.int64)
+    edges[0], edges[-1] = 0, n
+    if len(begin):
+        edges[1:-1:2] = begin[np.concatenate(([True], gap))]
+        edges[2:-1:2] = end[np.concatenate((gap, [True]))]
+    return np.repeat(np.arange(len(edges) - 1) % 2 == 1, np.diff(edges))
+
+
 # ---- messages ------------------------------------------------------------------------------
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -216,8 +251,9 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 def deal(block: int, buckets: int, key: np.ndarray, *arrays: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Rows (bucket, block, message) of one block: its arrays dealt by the hash of ``key``, sorted by key."""
-    bucket = (mix(key) % U64(buckets)).astype(np.int64)
-    order = np.lexsort((key, bucket))
+    bucket = (mix(key) % U64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)      # short ones sort by digits
+    order = np.argsort(key, kind="stable") if (key[1:] < key[:-1]).any() else np.arange(len(key))
+    order = order[np.argsort(bucket[order], kind="stable")]
     starts = group_starts(bucket[order])
     out = []
     for i, a in enumerate(starts):
@@ -234,13 +270,14 @@ MESSAGES = "bucket long, block long, data binary"
 
 
 def gram_messages(block: int, buckets: int, q: Sequences) -> list[tuple]:
-    order = np.lexsort((q.docs, q.contexts, q.names))
+    order = np.argsort(q.names)
     names, contexts, docs = q.names[order], q.contexts[order], q.docs[order]
     starts = group_starts(names)
     if not len(starts):
         return []
-    several = np.minimum.reduceat(contexts, starts) != np.maximum.reduceat(contexts, starts)
-    return deal(block, buckets, names[starts], contexts[starts], np.minimum.reduceat(docs, starts), several.astype(np.uint8))
+    context = np.minimum.reduceat(contexts, starts)
+    several = context != np.maximum.reduceat(contexts, starts)
+    return deal(block, buckets, names[starts], context, np.minimum.reduceat(docs, starts), several.astype(np.uint8))
 
 
 def answer_grams(group: pd.DataFrame) -> pd.DataFrame:
@@ -248,12 +285,18 @@ def answer_grams(group: pd.DataFrame) -> pd.DataFrame:
     parts = [unpack(b, *GRAM) for b in group["data"]]
     blocks = np.repeat(group["block"].to_numpy(), [len(p[0]) for p in parts])
     name, context, doc, several = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((doc, context, name))
+    order = np.argsort(name)
+    starts = group_starts(name[order])
+    size = np.diff(np.append(starts, len(name)))
+    # a gram of one block, with one context there, is done with
+    order = order[np.repeat(size > 1, size) | (several[order] > 0)]
+    order = order[np.lexsort((doc[order], context[order], name[order]))]
     name, context, doc, several, blocks = name[order], context[order], doc[order], several[order], blocks[order]
     starts = group_starts(name)
+    if not len(starts):
+        return _answers(blocks, name, doc, several)
     size = np.diff(np.append(starts, len(name)))
     branch = (np.minimum.reduceat(context, starts) != np.maximum.reduceat(context, starts)) | (np.maximum.reduceat(several, starts) > 0)
-    tell = np.repeat((size > 1) | branch, size)
     branch = np.repeat(branch, size)
     same = np.ones(len(name), dtype=bool)
     same[1:] = (name[1:] != name[:-1]) | (context[1:] != context[:-1]) | (several[1:] != several[:-1])
@@ -263,7 +306,7 @@ def answer_grams(group: pd.DataFrame) -> pd.DataFrame:
     least = np.where(several > 0, LAST, least)
     closer = branch & ((several > 0) | (doc == least))
     hot = np.repeat(np.add.reduceat(closer.astype(np.int64), starts) > HOT_BLOCKS, size)
-    return _answers(blocks[tell], name[tell], least[tell], (closer.astype(np.uint8) << hot.astype(np.uint8))[tell])
+    return _answers(blocks, name, least, closer.astype(np.uint8) << hot.astype(np.uint8))
 
 
 def _answers(blocks: np.ndarray, name: np.ndarray, *arrays: np.ndarray) -> pd.DataFrame:
@@ -281,12 +324,11 @@ def answer_windows(group: pd.DataFrame) -> pd.DataFrame:
     parts = [unpack(b, *WINDOW) for b in group["data"]]
     blocks = np.repeat(group["block"].to_numpy(), [len(p[0]) for p in parts])
     one, two, doc = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((doc, two, one))
-    one, two, doc, blocks = one[order], two[order], doc[order], blocks[order]
-    new = np.ones(len(one), dtype=bool)
-    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    heads = np.flatnonzero(new)
-    least = np.repeat(doc[heads], np.diff(np.append(heads, len(one))))
+    order, heads = pair_order(one, two)
+    if not len(order):
+        return _answers(blocks, one, doc)
+    one, doc, blocks = one[order], doc[order], blocks[order]
+    least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.append(heads, len(one))))
     tell = doc > least
     return _answers(blocks[tell], one[tell], least[tell])
 
@@ -300,11 +342,15 @@ def merged(group: pd.DataFrame, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return [a[order] for a in arrays]
 
 
-def look_up(names: np.ndarray, known: np.ndarray, value: np.ndarray, default) -> np.ndarray:
+def look_up(names: np.ndarray, known: np.ndarray, *values: tuple[np.ndarray, int]) -> list[np.ndarray]:
+    """For each (value, default), the values of ``names`` in the sorted ``known``."""
     if not len(known):
-        return np.full(len(names), default, dtype=value.dtype)
-    at = np.minimum(np.searchsorted(known, names), len(known) - 1)
-    return np.where(known[at] == names, value[at], default)
+        return [np.full(len(names), default, dtype=value.dtype) for value, default in values]
+    order = np.argsort(names)                    # neighbours look at the same places
+    at = np.empty(len(names), dtype=np.int64)
+    at[order] = np.minimum(np.searchsorted(known, names[order]), len(known) - 1)
+    hit = known[at] == names
+    return [np.where(hit, value[at], default) for value, default in values]
 
 
 class Apply:
@@ -313,36 +359,32 @@ class Apply:
     def __init__(self, q: Sequences, grams: pd.DataFrame):
         self.q = q
         name, least, closer = merged(grams, ANSWER)
-        self.least = look_up(q.names, name, least, LAST)
-        self.closer = np.flatnonzero(look_up(q.names, name, closer, 0))
+        self.least, look = look_up(q.names, name, (least, LAST), (closer, 0))
+        self.closer = np.flatnonzero(look)
         self.hot = name[closer == 2]
-        self.whole = earlier((q.names, q.contexts), q.docs, q.row[q.sync], q.sync, q.shape.within, self.least)
+        self.whole = earlier((q.names, q.contexts), q.docs, q.row[q.sync], q.shape.within, self.least)
         # windows inside a covered context are settled; the first document that has one is not among them and speaks
-        inside = np.bincount(q.lo[self.whole], minlength=len(q.h) + 1) - np.bincount(
-            q.hi[self.whole] - q.shape.window + 1, minlength=len(q.h) + 1)
+        inside = painted(len(q.h), q.lo[self.whole], q.hi[self.whole] - q.shape.window + 1)
         starts = q.windows_at(self.closer)
-        self.starts = starts[np.cumsum(inside)[starts] == 0]
+        self.starts = starts[~inside[starts]]
         self.one, self.two = q.window_names(self.starts)
         self.window_docs = q.ids[q.row[self.starts]]
 
     def window_messages(self, block: int, buckets: int) -> list[tuple]:
-        order = np.lexsort((self.window_docs, self.two, self.one))
-        one, two = self.one[order], self.two[order]
-        new = np.ones(len(one), dtype=bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        pick = order[np.flatnonzero(new)]
-        return deal(block, buckets, self.one[pick], self.two[pick].astype(np.uint32), self.window_docs[pick])
+        order, starts = pair_order(self.one, self.two)
+        if not len(order):
+            return []
+        pick = order[starts]
+        return deal(block, buckets, self.one[pick], self.two[pick].astype(np.uint32), np.minimum.reduceat(self.window_docs[order], starts))
 
     def covered(self, windows: pd.DataFrame) -> np.ndarray:
         """Per symbol, whether a window that starts earlier elsewhere covers it."""
         q, shape = self.q, self.q.shape
         one, least = merged(windows, FOUND)
-        single = earlier((self.one, self.two), self.window_docs, q.row[self.starts], self.starts, shape.within,
-                         look_up(self.one, one, least, LAST))
-        n = len(q.h)
-        edge = np.bincount(np.concatenate([q.lo[self.whole], self.starts[single]]), minlength=n + 1).astype(np.int64)
-        edge -= np.bincount(np.concatenate([q.hi[self.whole], self.starts[single] + shape.window]), minlength=n + 1)
-        return np.cumsum(edge[:n]) > 0
+        single = earlier((self.one, self.two), self.window_docs, q.row[self.starts], shape.within,
+                         *look_up(self.one, one, (least, LAST)))
+        n, starts = len(q.h), self.starts[single]
+        return painted(n, q.lo[self.whole], q.hi[self.whole]) | painted(n, starts, starts + shape.window)
 
 
 # ---- the passes ----------------------------------------------------------------------------

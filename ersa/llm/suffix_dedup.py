@@ -23,20 +23,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ersa.llm.common import id_text, mix, pair_name
-from ersa.llm.repeats import Sequences, Shape, doc_ids, find
+from ersa.llm.common import U64, id_text, mix
+from ersa.llm.repeats import CHUNK, Sequences, Shape, doc_ids, find
 
 GRAM = 24
+#: Odd factor between the names at 8 bytes that make one at 16 or 24.
+STEP = U64(0xD6E8FEB86659FD93)
 
 
 def byte_grams(buf: np.ndarray) -> np.ndarray:
     """Ranks at length 24 of all positions, from ranks at 8 and 16."""
     padded = np.zeros(len(buf) + 32, dtype=np.uint8)
     padded[:len(buf)] = buf
-    n = len(buf)
-    eight = mix(np.ndarray((n + 24,), dtype="<u8", buffer=padded.data, strides=(1,)).astype(np.uint64))
-    sixteen = pair_name(eight[:n + 8], eight[8:n + 16])
-    return pair_name(sixteen[:n], sixteen[8:n + 8], 2)
+    words = np.ndarray((len(buf) + 24,), dtype="<u8", buffer=padded.data, strides=(1,))
+    names = np.empty(len(buf), dtype=np.uint64)
+    for a in range(0, len(buf), CHUNK):
+        n = min(CHUNK, len(buf) - a)
+        eight = mix(words[a:a + n + 16].astype(np.uint64))
+        sixteen = eight[:n] * STEP + eight[8:n + 8]
+        names[a:a + n] = mix(sixteen * STEP + eight[16:])
+    return names
 
 
 def spans(covered: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -153,3 +154,74 @@ def test_registered_queries_on_a_fixture(spark, tmp_path):
     assert sorted((tuple(r) for r in one.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=repr) == brute_bytes(rows)
     three = queries.queries()["op3_substring_dedup"](spark, str(tmp_path))
     assert sorted((tuple(r) for r in three.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == brute_words(rows)
+
+
+def literal_sync_points(shape, grams, first):
+    sync = set()
+    for a, b in zip(first[:-1], first[1:]):
+        for s in range(a, b - shape.window + 1):
+            inside = grams[s:s + shape.span + 1]
+            sync |= {s + int(i) for i in np.flatnonzero(inside == inside.min())}
+    return sorted(sync)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 40, 1 << 14])
+def test_names_and_sync_points_do_not_depend_on_the_chunk(monkeypatch, chunk):
+    rng = np.random.default_rng(3)
+    first = np.cumsum([0, 0, 49, 50, 51, 300, 1, 120, 0])
+    buf = rng.integers(97, 99, first[-1]).astype(np.uint8)
+    whole = suffix_dedup.byte_grams(buf)
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    grams = suffix_dedup.byte_grams(buf)
+    assert (grams == whole).all()
+    names = {}
+    for i in range(len(buf) - 23):
+        assert names.setdefault(buf[i:i + 24].tobytes(), grams[i]) == grams[i]
+    assert len(set(names.values())) == len(names)
+    shape = repeats.Shape(50, 24, False)
+    for some in (grams, grams % np.uint64(5)):                       # ties within windows, and the name 1 as the least
+        some = some + np.uint64(1)
+        q = repeats.Sequences(shape, some, first, np.arange(len(first) - 1))
+        assert q.sync.tolist() == literal_sync_points(shape, some, first)
+        starts = [s for a, b in zip(first[:-1], first[1:]) for s in range(a, b - 49)]
+        assert q.windows_at(np.arange(len(q.sync))).tolist() == starts
+
+
+def test_the_work_arrays_of_a_block_stay_small():
+    buf = np.random.default_rng(4).integers(0, 255, 1 << 20).astype(np.uint8)
+    suffix_dedup.byte_grams(buf[:100])
+    tracemalloc.start()
+    grams = suffix_dedup.byte_grams(buf)
+    names = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    repeats.Sequences(repeats.Shape(50, 24, False), grams, np.array([0, len(buf)]), np.array([1]))
+    points = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names < 12 * len(buf) and points < 32 * len(buf)          # names alone: 8 bytes a position
+
+
+def test_equal_pairs_stand_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    one, two = rng.integers(0, 6, 500).astype(np.uint64), rng.integers(0, 4, 500).astype(np.uint64)
+    docs, rows = np.sort(rng.integers(0, 9, 500)), np.sort(rng.integers(0, 40, 500))
+    keys = list(zip(one.tolist(), two.tolist()))
+    smaller = [any(k == keys[i] and docs[j] < docs[i] for j, k in enumerate(keys)) for i in range(500)]
+    here = [any(keys[j] == keys[i] and rows[j] == rows[i] for j in range(i)) for i in range(500)]
+    for name in (repeats.pair_name, lambda a, b: a % np.uint64(2)):  # also where different pairs get one name
+        monkeypatch.setattr(repeats, "pair_name", name)
+        order, starts = repeats.pair_order(one, two)
+        assert len(starts) == len(set(keys)) == len({keys[i] for i in order[starts]})
+        assert repeats.earlier((one, two), docs, rows, False).tolist() == smaller
+        assert repeats.earlier((one, two), docs, rows, True).tolist() == [a or b for a, b in zip(smaller, here)]
+
+
+def test_painted_spans():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 40):
+        begin = np.sort(rng.integers(0, 60, n))
+        end = np.maximum.accumulate(begin + rng.integers(1, 9, n))
+        mask = np.zeros(70, dtype=bool)
+        for a, b in zip(begin, end):
+            mask[a:b] = True
+        assert (repeats.painted(70, begin, end) == mask).all()
