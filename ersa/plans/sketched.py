@@ -43,7 +43,7 @@ def sketches_against_rows(sketches: DataFrame, fd: DataFrame) -> DataFrame:
     s = sketches.groupBy(F.col(GEO).alias("district")).agg(distinct_count("calls").alias("about"), merged_values("response").alias("s"))
     s = s.select("district", "about", quantile(F.col("s"), 0.5).alias("q50"), quantile(F.col("s"), 0.9).alias("q90"))
     rows = fd.select(F.col(GEO).alias("district"), "CallID", col(RESPONSE).cast("bigint").alias("v"))
-    joined = rows.join(s, "district")
+    joined = rows.join(F.broadcast(s), "district")          # one row a district: else all rows of a district meet in one task
     v = F.col("v")
     share = lambda q: (F.count_if(v < F.col(q)) / F.count(v), F.count_if(v <= F.col(q)) / F.count(v))
     out = joined.groupBy("district").agg(

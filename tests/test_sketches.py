@@ -55,3 +55,17 @@ def test_scorecard_from_sketches(spark):
     assert 0 < day.calls_in_district < whole.calls_in_district
     p = {r.district: (r.p50, r.p90) for r in sketched.sketched_response(s, date(2024, 3, 1), date(2024, 3, 31)).collect()}
     assert set(p) == {"31D04", "Y"} and all(a < b for a, b in p.values())
+
+
+def test_rows_of_a_district_do_not_meet_in_one_task(spark):
+    names = [sketched.GEO, "CallID", "TotalResponseTime(Sec)"]
+    fd = spark.createDataFrame([("31D04", str(i // 3), i) for i in range(90)], f"`{sketched.GEO}` string, CallID string, `TotalResponseTime(Sec)` int")
+    sketches = S.daily_sketches(fd.withColumn("t", F.current_timestamp()), "t", [sketched.GEO], {"calls": F.col("CallID")}, {"response": F.col(f"`{names[2]}`")})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sketched.sketches_against_rows(sketches, fd)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in out.collect()] == [("31D04", 30, 90, True, True)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
