@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ersa.schema import FIRE_DEP_SCHEMA
 
@@ -32,6 +31,8 @@ EPOCH = "2024-01-01 00:00:00"
 SPAN_SECONDS = 760 * 86400
 # Starts of the two later years, in seconds after EPOCH (2024 has 366 days).
 YEAR_2025, YEAR_2026 = 366 * 86400, 731 * 86400
+# Units numbered at once: no array grows with a call, and a call of very many units is many rows to deal.
+UNITS_PER_BLOCK = 1_000
 
 
 def _pick(index: Column, values: list[str], default: str | None = None) -> Column:
@@ -45,19 +46,13 @@ def _ts(seconds: Column) -> Column:
     return F.timestamp_add("SECOND", seconds.cast("int"), F.lit(EPOCH).cast("timestamp_ntz"))
 
 
-def call_units(lineitem: DataFrame) -> DataFrame:
-    """The narrow rows that all columns follow from: call ``c``, unit ``u`` of the call, start ``st`` in seconds after EPOCH."""
-    li = lineitem.select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
-    ).withColumn("c", ((F.col("l_orderkey") - F.col("l_orderkey") % 4) / 4).cast("bigint"))
-    w = Window.partitionBy("c").orderBy(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
-    )
-    c, u = F.col("c"), F.col("u")
-    x = li.withColumn("u", F.row_number().over(w).cast("bigint"))
-    return x.select(
-        c,
-        u,
+def calls(lineitem: DataFrame) -> DataFrame:
+    """One row per call: call ``c``, ``n`` units, start ``st`` in seconds after EPOCH."""
+    c = F.col("c")
+    key = ((F.col("l_orderkey") - F.col("l_orderkey") % 4) / 4).cast("bigint").alias("c")
+    return lineitem.select(key).groupBy("c").agg(F.count(F.lit(1)).alias("n")).select(
+        "c",
+        "n",
         # created, or started, exactly at a window's end; crowds of calls within six hours; all others anywhere
         F.when(c % 211 == 7, YEAR_2025).when(c % 223 == 9, YEAR_2025 - 5).when(c % 227 == 11, YEAR_2026)
         .when(c % 31 == 1, (c % 5) * 150 * 86400 + c * 37 % 21600)
@@ -65,14 +60,29 @@ def call_units(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def call_blocks(calls: DataFrame) -> DataFrame:
+    """The units of a call, 1 to ``n``, as ranges of at most UNITS_PER_BLOCK numbers: ``c``, ``st``, ``units`` (first, last)."""
+    first, last = F.col("first"), F.col("first") + (UNITS_PER_BLOCK - 1)
+    numbers = F.sequence(F.lit(1).cast("bigint"), F.col("n"), F.lit(UNITS_PER_BLOCK).cast("bigint"))
+    return calls.select("c", "st", "n", F.explode(numbers).alias("first")).select(
+        "c", "st", F.struct(first, F.least(last, F.col("n")).alias("last")).alias("units"))
+
+
+def call_units(blocks: DataFrame) -> DataFrame:
+    """The narrow rows that all columns follow from: call ``c``, unit ``u`` of the call, start ``st``, and the blocks' other columns.
+
+    No column of a line item but its call goes into a unit, so a call's line items are numbered from their count, not sorted."""
+    return blocks.select("*", F.explode(F.sequence("units.first", "units.last")).alias("u")).drop("units")
+
+
 def start_time() -> Column:
-    """StartDatetime of a row of ``call_units``."""
+    """StartDatetime of a row of ``calls``."""
     return _ts(F.col("st") + 5)
 
 
 def fire_dep_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Unit-response rows (51 columns, typed) built from ``lineitem``."""
-    return fire_dep_columns(call_units(lineitem))
+    return fire_dep_columns(call_units(call_blocks(calls(lineitem))))
 
 
 def fire_dep_columns(units: DataFrame, *carry: str) -> DataFrame:

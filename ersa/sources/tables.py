@@ -18,7 +18,7 @@ from ersa.schema import (
     CI_COLUMNS, DERIVED_COLUMNS, DISTRICT, STAFFING_SEED, START_MONTH, TEXT_COLUMNS, WINDOW_COLUMNS, epoch, uc,
 )
 from ersa.session import compile_wide_rows, shared_dir
-from ersa.sources.fixture import call_units, fire_dep_columns, lineitem_path, load_lineitem, start_time
+from ersa.sources.fixture import call_blocks, call_units, calls, fire_dep_columns, lineitem_path, load_lineitem, start_time
 
 # Changes with the layout and with the recipe of the derived dispatch table.
 TABLE_VERSION = "v8"
@@ -49,11 +49,13 @@ def cluster_by_time(df: DataFrame, rows_hint: int | None = None, bytes_hint: int
                     folders: Sequence[str] = ()) -> DataFrame:
     """Range-partition by start time and sort inside files, so that file, row-group and page
     statistics are narrow in time.  At least one file per task slot, so a scan is never narrower
-    than the cluster; beyond that, files follow the rows or the bytes of the input.  ``spread``: a column that tells apart rows
+    than the cluster; beyond that, files follow the rows or the bytes of the input, in whole rounds of the slots, none of which
+    then idles in the last one.  ``spread``: a column that tells apart rows
     without a start time, which would otherwise meet in one range.  ``folders``: the columns that the table will be partitioned by;
     rows sorted by them first are written as they come, without a second sort."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     n = max(slots, (rows_hint or ROWS_PER_FILE) // ROWS_PER_FILE, bytes_hint // BYTES_PER_FILE)
+    n = -(-n // slots) * slots
     keys = ["StartDatetime", "CallID"]
     return df.repartitionByRange(n, *keys, *([spread] if spread else [])).sortWithinPartitions(*folders, *keys)
 
@@ -192,15 +194,17 @@ def fire_dep_folder(spark: SparkSession, sf_dir: str, refresh: bool = False) ->
 
     Built from ``lineitem`` (see ``ersa.sources.fixture``), clustered by time and stored as
     Parquet in the shared folder; later calls find the stored table while the source is the same.
-    The narrow rows are clustered, and the wide ones follow from them in place: only calls, units and times are sampled,
-    shuffled and sorted.
+    Line items are counted by call, the calls are clustered, and their units and the wide rows follow from them in place: no
+    line item is shuffled or sorted, and what is sampled and shuffled is a row per call.
     """
     def write(folder: str) -> None:
         compile_wide_rows(spark)
         lineitem = load_lineitem(spark, sf_dir)
         start = start_time()
-        units = call_units(lineitem).select("*", start.alias("StartDatetime"), F.col("c").cast("string").alias("CallID"), year_month(start).alias("_month"))
-        placed = cluster_by_time(units, lineitem.count(), folders=["_month"])
+        blocks = call_blocks(calls(lineitem)).select("*", start.alias("StartDatetime"), F.col("c").cast("string").alias("CallID"), year_month(start).alias("_month"))
+        placed = cluster_by_time(blocks, lineitem.count(), spread="units", folders=["_month"])
+        # Units keep the order of their blocks; Spark does not know, and this sort finds them in place.
+        placed = call_units(placed).sortWithinPartitions("_month", "StartDatetime", "CallID")
         write_table(normalise(fire_dep_columns(placed, "_month")).withColumn(START_MONTH, F.col("_month")).drop("_month"), folder)
 
     return stored(spark, table_path(spark, "fire_dep", lineitem_path(sf_dir)), write, refresh)

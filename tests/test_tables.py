@@ -184,3 +184,44 @@ def test_the_dispatch_table_is_clustered_before_its_columns_are_derived(spark, m
     for f in files[:5]:
         starts = [r[0] for r in spark.read.parquet(f).coalesce(1).select("StartDatetime").collect()]
         assert starts == sorted(starts)
+
+
+def test_the_dispatch_table_is_built_from_calls_not_line_items(spark, monkeypatch):
+    if not os.path.exists(LINEITEM):
+        pytest.skip("test data not present")
+    seen = []
+
+    def clustered(df, *args, **kw):
+        seen.append((df.count(), df._jdf.queryExecution().optimizedPlan().toString()))
+        return cluster(df, *args, **kw)
+    cluster = tables.cluster_by_time
+    monkeypatch.setattr(tables, "cluster_by_time", clustered)
+    folder = tables.fire_dep_folder(spark, "/root/testdata/sf0.001", refresh=True)
+    lines = spark.read.parquet(LINEITEM)
+    (rows, plan), = seen
+    assert rows == lines.select(F.floor(F.col("l_orderkey") / 4)).distinct().count() < lines.count() / 10   # what is sampled and dealt
+    assert "Window" not in plan and "l_shipdate" not in plan.split("Relation")[0]
+    table = spark.read.parquet(folder)
+    numbered = lines.groupBy(F.floor(F.col("l_orderkey") / 4).cast("string").alias("CallID")).count()
+    assert table.count() == lines.count()
+    assert table.groupBy("CallID").count().exceptAll(numbered).count() == 0
+
+
+def test_units_are_numbered_as_line_items_would_be(spark, monkeypatch):
+    from ersa.sources import fixture
+    monkeypatch.setattr(fixture, "UNITS_PER_BLOCK", 10)
+    keys = [None] * 3 + [0] * 9 + [4] * 10 + [7] * 1 + [9] * 95 + [2]
+    lines = spark.createDataFrame([(k,) for k in keys], "l_orderkey bigint")
+    blocks = fixture.call_blocks(fixture.calls(lines))
+    assert blocks.select(F.max(F.col("units.last") - F.col("units.first") + 1)).first()[0] == 10     # no call is one long array
+    assert blocks.where("c = 2").count() == 10
+    got = sorted((r.c if r.c is not None else -1, r.u) for r in fixture.call_units(blocks).collect())
+    sizes = {-1: 3, 0: 10, 1: 11, 2: 95}
+    assert got == [(c, u) for c, n in sizes.items() for u in range(1, n + 1)]
+
+
+def test_clustering_fills_whole_rounds_of_task_slots(spark):
+    slots = spark.sparkContext.defaultParallelism
+    for files, rounds in ((1, 1), (slots, 1), (slots + 1, 2), (3 * slots, 3)):
+        df = cluster_by_time(spark.range(1000).selectExpr("id AS StartDatetime", "id AS CallID"), files * tables.ROWS_PER_FILE)
+        assert df.rdd.getNumPartitions() == rounds * slots
