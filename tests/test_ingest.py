@@ -157,3 +157,53 @@ def test_wide_rows_run_compiled_and_are_sorted_once(spark, tmp_path, monkeypatch
     monkeypatch.setattr(C, "cluster_by_time", lambda df, **kw: seen.append(kw["folders"]) or df)
     C.ingest_csv(spark, str(path), str(tmp_path / "u"))
     assert seen == [["accepted", "StartDatetime_m"]]                                      # the order that the folders need
+
+
+def shuffle_files(spark):
+    from pathlib import Path
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p for f in folders for p in Path(f.getPath()).rglob("shuffle_*.data")}
+
+
+def test_a_large_extract_is_clustered_in_rounds_that_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from ersa.session import shared_dir
+    from ersa.sources import csv_ingest as C
+    starts = ["2024-05-05 05:05:05" if i % 3 == 0 else str(datetime(2024, 1, 1) + timedelta(minutes=(i * 7919) % 90_000)) for i in range(3_000)]
+    lines = [",".join(NAMES)] + [_line(CallID=str(i // 4), UnitNumber=f"E{i % 4}", Location=f"{i} Oak", StartDatetime="" if i % 10 == 1 else "never" if i % 10 == 2 else t)
+                                 for i, t in enumerate(starts)]
+    path = tmp_path / "in.csv"
+    path.write_bytes(("\r\n".join(lines) + "\r\n").encode())
+    want, bad = load_dispatch_csv(spark, str(path))
+    want, bad = sorted(map(str, want.collect())), bad.count()
+    text, slots = path.stat().st_size, spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(C, "BYTES_PER_FILE", text // (5 * C.FILES_PER_ROUND * slots))
+    sizes, cluster = [], C.cluster_by_time
+    monkeypatch.setattr(C, "cluster_by_time", lambda df, **kw: sizes.append(df.count()) or cluster(df, **kw))
+    before = shuffle_files(spark)
+    rows, rejects = C.ingest_csv(spark, str(path), str(tmp_path / "t"))
+    assert not {p for p in shuffle_files(spark) - before if p.stat().st_size > 10_000}    # those of the rows are gone
+    assert len(sizes) >= 5 and sum(sizes) == 3_000 and max(sizes) < 1_000                 # a third of the rows in one second too
+    assert sorted(map(str, rows.collect())) == want and rejects.count() == bad == 300
+    assert {r.reject_reason for r in rejects.collect()} == {"bad StartDatetime"}
+    assert not [p for p in Path(shared_dir(spark).removeprefix("file:")).glob("ersa_runs/*/*")]
+
+
+def test_the_extract_is_compressed_and_read_in_bounded_files(spark, tmp_path, monkeypatch):
+    import gzip
+    from pathlib import Path
+
+    from ersa.plans import catalog
+    from ersa.sources import csv_ingest as C
+    from ersa.sources.tables import fire_dep
+    spark.createDataFrame([(i // 3,) for i in range(900)], "l_orderkey long").write.parquet(str(tmp_path / "sf" / "lineitem.parquet"))
+    monkeypatch.setattr(C, "LINES_PER_FILE", 50)
+    files = [p for p in Path(catalog.csv_extract(spark, str(tmp_path / "sf")).removeprefix("file:")).rglob("part-*")]
+    assert files and all(p.suffix == ".gz" for p in files)
+    lines = [gzip.decompress(p.read_bytes()).decode().split("\r\n") for p in files]
+    assert max(len(x) for x in lines) <= 52 and sum(len(x) - 2 for x in lines if len(x) > 1) == 900     # a header, and nothing after the last line break
+    fd = fire_dep(spark, str(tmp_path / "sf"))
+    for query in (catalog.csv_roundtrip, catalog.csv_ingested):
+        got = query(spark, str(tmp_path / "sf"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, fd.select(*[f"`{c}`" for c in got.columns]).collect()))
